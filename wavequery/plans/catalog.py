@@ -1,0 +1,135 @@
+"""Query catalog: one Spark query per operator family and its DuckDB oracle.
+
+Each query reads the driver tables through the stand-in views and runs over
+whole tables. Outputs are flat: list-valued results are rendered as text with
+a fixed separator, numeric arrays are returned in long form, floats that are
+sums of inexact values are rounded to 6 decimals on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavequery.plans.oracle_views import with_views
+from wavequery.schemas import ATTRIBUTE_TYPES
+from wavequery.sources import standins as S
+from wavequery.operators import evaluate as EV
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(key: str, sql: str | None = None):
+    def deco(fn: Query) -> Query:
+        QUERIES[key] = fn
+        if sql is not None:
+            ORACLE[key] = sql
+        return fn
+
+    return deco
+
+
+# --------------------------------------------------------------------------- evaluation
+
+_SCORED_SQL = """
+scored as (
+  select qa.*, string_split(regexp_replace(p.prediction, '^\\s+|\\s+$', '', 'g'), '.') as pred_list
+  from qa join predictions p using (seq)),
+judged as (
+  select *, list_sort(list_distinct(pred_list)) = list_sort(list_distinct(answer)) as correct from scored)"""
+
+
+def scored_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.mark_correct(EV.attach_predictions(S.qa(spark, sf_dir), S.predictions(spark, sf_dir)))
+
+
+@register(
+    "accuracy_by_question_type",
+    with_views(
+        ["qa", "predictions"],
+        f"""with {_SCORED_SQL}
+select question_type, cast(sum(case when correct then 1 else 0 end) as bigint) as correct,
+       cast(count(*) as bigint) as total,
+       cast(sum(case when correct then 1 else 0 end) as double) / count(*) * 100.0 as acc_pct
+from judged group by question_type""",
+    ),
+)
+def accuracy_by_question_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.accuracy_by(scored_examples(spark, sf_dir), "question_type")
+
+
+@register(
+    "accuracy_by_attribute_type",
+    with_views(
+        ["qa", "predictions"],
+        f"""with {_SCORED_SQL},
+dim(attribute_type) as (values {", ".join(f"('{a}')" for a in ATTRIBUTE_TYPES)}),
+rows_ as (
+  select attribute_type, case when correct then 1 else 0 end as c, 1 as n from judged
+  union all select attribute_type, 0, 0 from dim)
+select attribute_type, cast(sum(c) as bigint) as correct, cast(sum(n) as bigint) as total,
+       case when sum(n) > 0 then cast(sum(c) as double) / sum(n) * 100.0 end as acc_pct
+from rows_ group by attribute_type""",
+    ),
+)
+def accuracy_by_attribute_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.accuracy_by(scored_examples(spark, sf_dir), "attribute_type", categories=ATTRIBUTE_TYPES, keep_empty=True)
+
+
+@register(
+    "accuracy_detail_sets",
+    with_views(
+        ["qa", "predictions"],
+        f"""with {_SCORED_SQL}
+select question_type, attribute_type, cast(grouping(question_type, attribute_type) as integer) as level,
+       cast(sum(case when correct then 1 else 0 end) as bigint) as correct, cast(count(*) as bigint) as total,
+       cast(sum(case when correct then 1 else 0 end) as double) / count(*) * 100.0 as acc_pct
+from judged
+group by grouping sets ((question_type, attribute_type), (question_type), (attribute_type), ())""",
+    ),
+)
+def accuracy_detail_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.accuracy_detail(scored_examples(spark, sf_dir))
+
+
+@register(
+    "elementwise_accuracy",
+    with_views(
+        ["binary_labels"],
+        """select series_id, cast(grouping(series_id) as integer) as level,
+       avg(case when pred = gt then 1.0 else 0.0 end)::double as accuracy, count(*) as n
+from binary_labels group by rollup (series_id)""",
+    ),
+)
+def elementwise_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.elementwise_accuracy(S.binary_labels(spark, sf_dir), by="series_id")
+
+
+@register(
+    "point_adjust",
+    with_views(
+        ["binary_labels"],
+        """with r as (
+  select *, sum(1 - gt) over (partition by series_id order by t rows between unbounded preceding and current row) as run,
+         t = min(t) over (partition by series_id) as first_row
+  from binary_labels),
+h as (select *, max(case when gt = 1 then pred end) over (partition by series_id, run) as hit from r)
+select series_id, t, gt, pred,
+       case when gt = 1 and hit = 1 and not first_row then 1 else pred end as adjusted
+from h""",
+    ),
+)
+def point_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.point_adjust(S.binary_labels(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
