@@ -127,6 +127,168 @@ def point_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.point_adjust(S.binary_labels(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- preparation
+
+_ORDER_GROUPED = "md5('42|' || question), question, md5('42|' || question || '|' || seq), seq"
+_BATCHED_SQL = f"""
+ordered as (select *, row_number() over (order by {_ORDER_GROUPED}) - 1 as pos from qa),
+keep as (select (count(*) // 32) * 32 as n_keep from qa),
+batched as (select ordered.*, pos // 32 as batch_id, cast(pos % 32 as integer) as idx from ordered, keep where pos < n_keep),
+lookup as (select question, record_id, arg_max(answer, seq) as answer from qa group by question, record_id),
+pairs as (
+  select a.batch_id, a.idx as i, b.idx as j, a.answer as gt, l.answer as la
+  from batched a join batched b on a.batch_id = b.batch_id
+  left join lookup l on l.question = a.question and l.record_id = b.record_id),
+scores as (
+  select batch_id, i, j,
+         case when la is not null
+              then cast(len(list_distinct(list_filter(gt, lambda x: list_contains(la, x)))) * 2 as double) / (len(gt) + len(la))
+              when i = j then 1.0::double else 0.0::double end as score,
+         la is not null as known
+  from pairs)"""
+
+
+def _batched(spark: SparkSession, sf_dir: str, batch_size: int = 32):
+    from wavequery.plans.training import training_batches
+
+    return training_batches(S.qa(spark, sf_dir), batch_size=batch_size, mode="grouped", seed=42, drop_last=True)
+
+
+@register(
+    "answer_text",
+    with_views(
+        ["qa"],
+        """select seq, question, array_to_string(answer, '.') as answer_text, record_id as first_record_id,
+       cast(len(answer) as integer) as n_answers
+from qa""",
+    ),
+)
+def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.functions import answer_text as at, first_record_id
+
+    qa = S.qa(spark, sf_dir).withColumn("ecg_id", F.array("record_id"))
+    # PRJ-3: example row -> JSON text -> row (what travels with a sample), never eval
+    as_json = qa.select(F.to_json(F.struct("seq", "question", "answer", "ecg_id")).alias("example"))
+    back = as_json.select(F.from_json("example", "seq bigint, question string, answer array<string>, ecg_id array<bigint>").alias("e")).select("e.*")
+    return back.select(
+        "seq", "question", at("answer").alias("answer_text"), first_record_id("ecg_id").alias("first_record_id"),
+        F.size("answer").alias("n_answers"),
+    )
+
+
+@register(
+    "lookup_last_wins",
+    with_views(
+        ["qa"],
+        """select question, record_id, array_to_string(arg_max(answer, seq), '.') as answer_text,
+       count(*) as n_rows, max(seq) as last_seq
+from qa group by question, record_id""",
+    ),
+)
+def lookup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.qa import lookup_last_wins as llw
+
+    lk = llw(S.qa(spark, sf_dir))
+    return lk.select("question", "record_id", F.array_join("answer", ".").alias("answer_text"), "n_rows", "last_seq")
+
+
+@register(
+    "grouped_shuffle_pos",
+    with_views(["qa"], f"select seq, question, row_number() over (order by {_ORDER_GROUPED}) - 1 as pos from qa"),
+)
+def grouped_shuffle_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.plans.training import order_examples
+
+    return order_examples(S.qa(spark, sf_dir), "grouped", 42).df.select("seq", "question", "pos")
+
+
+@register(
+    "global_shuffle_limit",
+    with_views(
+        ["qa"],
+        """select * from (
+  select seq, question, row_number() over (order by md5('42|' || seq), seq) - 1 as pos from qa)
+where pos < 10000""",
+    ),
+)
+def global_shuffle_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.plans.training import order_examples
+
+    return order_examples(S.qa(spark, sf_dir), "global", 42, num_data=10000).df.select("seq", "question", "pos")
+
+
+@register(
+    "file_order_groups",
+    with_views(
+        ["qa"],
+        """select seq, question, row_number() over (order by first_seq, seq) - 1 as pos
+from (select seq, question, min(seq) over (partition by question) as first_seq from qa)""",
+    ),
+)
+def file_order_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.plans.training import order_examples
+
+    return order_examples(S.qa(spark, sf_dir), "file").df.select("seq", "question", "pos")
+
+
+@register("batch_assignment", with_views(["qa"], f"with {_BATCHED_SQL}\nselect seq, pos, batch_id, idx from batched"))
+def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched, _ = _batched(spark, sf_dir)
+    return batched.select("seq", "pos", "batch_id", "idx")
+
+
+@register(
+    "batch_columns",
+    with_views(
+        ["qa"],
+        f"""with {_BATCHED_SQL}
+select batch_id, count(*) as n,
+       string_agg(cast(seq as varchar), ',' order by idx) as seqs,
+       string_agg(question, '|' order by idx) as questions,
+       string_agg(array_to_string(answer, '.'), '|' order by idx) as answers
+from batched group by batch_id""",
+    ),
+)
+def batch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.qa import batch_columns as bc
+
+    batched, _ = _batched(spark, sf_dir)
+    cols = bc(batched, ["seq", "question", "answer"])
+    return cols.select(
+        "batch_id",
+        F.size("seq").cast("bigint").alias("n"),
+        F.array_join(F.transform("seq", lambda x: x.cast("string")), ",").alias("seqs"),
+        F.array_join("question", "|").alias("questions"),
+        F.array_join(F.transform("answer", lambda a: F.array_join(a, ".")), "|").alias("answers"),
+    )
+
+
+@register("pair_scores", with_views(["qa"], f"with {_BATCHED_SQL}\nselect batch_id, i, j, score, known from scores"))
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, pairs = _batched(spark, sf_dir)
+    return pairs
+
+
+@register(
+    "pair_score_matrix",
+    with_views(
+        ["qa"],
+        f"""with {_BATCHED_SQL},
+r as (select batch_id, i, string_agg(printf('%.6f', score), ',' order by j) as row_text from scores group by batch_id, i)
+select batch_id, string_agg(row_text, ';' order by i) as matrix from r group by batch_id""",
+    ),
+)
+def pair_score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.qa import score_matrix
+
+    _, pairs = _batched(spark, sf_dir)
+    m = score_matrix(pairs)
+    text = F.array_join(
+        F.transform("matrix", lambda r: F.array_join(F.transform(r, lambda x: F.format_string("%.6f", x)), ",")), ";"
+    )
+    return m.select("batch_id", text.alias("matrix"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
