@@ -289,6 +289,172 @@ def pair_score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("batch_id", text.alias("matrix"))
 
 
+# --------------------------------------------------------------------------- signals
+
+# Supplied lead-combination weights (lead, tap, integer weight) for the 5 stand-in leads.
+LEAD_WEIGHTS = [
+    ("click", 0, 1), ("click", 1, -2), ("click", 2, 3),
+    ("error", 0, 2), ("error", 1, 1), ("error", 2, -1),
+    ("purchase", 0, -1), ("purchase", 1, 3), ("purchase", 2, 2),
+    ("signup", 0, 3), ("signup", 1, 0), ("signup", 2, 1),
+    ("view", 0, 1), ("view", 1, 1), ("view", 2, 1),
+]
+_WEIGHTS_SQL = "weights(lead, k, w) as (values " + ", ".join(f"('{l}', {k}, {w})" for l, k, w in LEAD_WEIGHTS) + ")"
+
+_TOP_LAGS_SQL = """
+ac as (
+  select a.record_id, (b.t - a.t + a.n) % a.n as lag, sum(a.vc * b.vc) as corr
+  from signals_one a join signals_one b on a.record_id = b.record_id group by 1, 2),
+top_lags as (
+  select record_id, lag, row_number() over (partition by record_id order by corr desc, lag) as rank from ac)"""
+
+_STATS_SQL = """
+stats as (
+  select record_id, min(v) as min_v, max(v) as max_v, quantile_disc(v, 0.5) as median_v,
+         arg_max(v, t) - arg_min(v, t) as trend, count(*) as n
+  from signals_one group by record_id)"""
+
+
+@register(
+    "lead_zscore",
+    with_views(
+        ["signals"],
+        """select record_id, lead, t, round((v - avg(v) over w) / (case when stddev_pop(v) over w = 0 then 1 else stddev_pop(v) over w end), 6) as z
+from signals window w as (partition by record_id, lead)""",
+    ),
+)
+def lead_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.signals import zscore
+
+    scaled, _ = zscore(S.signals(spark, sf_dir), ["record_id", "lead"])
+    return scaled.select("record_id", "lead", "t", F.round("z", 6).alias("z"))
+
+
+@register(
+    "lead_inverse",
+    with_views(
+        ["signals"],
+        """select record_id, lead, t, round(v, 6) as v_back, cast(stddev_pop(v) over w = 0 as boolean) as flat
+from signals window w as (partition by record_id, lead)""",
+    ),
+)
+def lead_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.signals import inverse_zscore, zscore
+
+    keys = ["record_id", "lead"]
+    scaled, params = zscore(S.signals(spark, sf_dir), keys)
+    back = inverse_zscore(scaled, params, keys)
+    flat = F.col("std") == 1.0
+    return back.select("record_id", "lead", "t", F.round("v_back", 6).alias("v_back"), (flat & (F.col("z") == 0)).alias("flat"))
+
+
+@register(
+    "series_stats",
+    with_views(
+        ["signals_one"],
+        f"""with {_STATS_SQL}
+select record_id, min_v, max_v, median_v, round(trend, 6) as trend,
+       case when trend > 0 then 'upward' else 'downward' end as trend_word, n
+from stats""",
+    ),
+)
+def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.functions import trend_word
+    from wavequery.operators.signals import series_stats as st
+
+    s = st(S.signals_one(spark, sf_dir), ["record_id"])
+    return s.select("record_id", "min_v", "max_v", "median_v", F.round("trend", 6).alias("trend"),
+                    trend_word("trend").alias("trend_word"), "n")
+
+
+@register(
+    "series_patches",
+    with_views(
+        ["signals_one"],
+        """with info as (select record_id, count(*) as n, arg_max(v, t) as last_v from signals_one group by record_id),
+p as (select record_id, n, last_v, unnest(range(0, cast(floor((n + 8 - 16) / 8) + 1 as bigint))) as patch_id from info where n + 8 >= 16),
+o as (select record_id, n, last_v, patch_id, unnest(range(0, 16)) as "offset" from p)
+select o.record_id, patch_id, cast("offset" as integer) as "offset",
+       case when patch_id * 8 + "offset" < o.n then s.v else o.last_v end as v
+from o left join signals_one s on s.record_id = o.record_id and s.t = patch_id * 8 + "offset" """,
+    ),
+)
+def series_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.signals import patches_long
+
+    return patches_long(S.signals_one(spark, sf_dir).select("record_id", "t", "v"), ["record_id"], 16, 8)
+
+
+@register(
+    "lead_combine",
+    with_views(
+        ["signals"],
+        f"""with {_WEIGHTS_SQL},
+lens as (select record_id, lead, count(*) as tl from signals group by 1, 2),
+x as (select s.*, tl from signals s join lens using (record_id, lead)),
+c as (select x.record_id, ((x.t - weights.k + 1) % tl + tl) % tl as t, weights.w * x.vc as part
+      from x join weights on weights.lead = x.lead)
+select record_id, t, cast(sum(part) as bigint) as y from c group by record_id, t""",
+    ),
+)
+def lead_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.signals import combine_leads
+
+    weights = spark.createDataFrame(LEAD_WEIGHTS, "lead string, k int, w bigint")
+    sig = S.signals(spark, sf_dir).select("record_id", "lead", "t", F.col("vc").alias("v"))
+    out = combine_leads(sig, weights)
+    return out.select("record_id", F.col("t").cast("bigint").alias("t"), F.col("y").cast("bigint").alias("y"))
+
+
+def _packed_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.signals import pack
+
+    return pack(S.signals_one(spark, sf_dir).select("record_id", "t", F.col("vc").cast("double").alias("v")), ["record_id"])
+
+
+@register(
+    "autocorr_top_lags",
+    with_views(["signals_one"], f"with {_TOP_LAGS_SQL}\nselect record_id, cast(rank as integer) as rank, lag from top_lags where rank <= 5"),
+)
+def autocorr_top_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.signals import autocorr_top_lags as atl
+
+    lags = atl(_packed_one(spark, sf_dir))
+    return lags.select("record_id", F.posexplode("lags").alias("rank", "lag")).select(
+        "record_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("lag").cast("bigint").alias("lag")
+    )
+
+
+@register(
+    "prompt_text",
+    with_views(
+        ["qa", "signals_one"],
+        f"""with {_STATS_SQL}, {_TOP_LAGS_SQL},
+lag_text as (select record_id, '[' || string_agg(cast(lag as varchar), ', ' order by rank) || ']' as lags_text
+             from top_lags where rank <= 5 group by record_id)
+select qa.seq, qa.record_id,
+  '<|start_prompt|>Dataset description: The dataset contains electrocardiogram (ECG) time-series data. '
+  || 'Task description: Given a patient''s ECG signal, answer a clinical question related to cardiac health based on the ECG data. '
+  || 'Input statistics: min value ' || printf('%.4f', min_v) || ', max value ' || printf('%.4f', max_v)
+  || ', median value ' || printf('%.4f', median_v) || ', the trend of the signal is '
+  || case when trend > 0 then 'upward' else 'downward' end || ', top 5 lags are: ' || lags_text
+  || '. Question:' || qa.question || '<|end_prompt|><|start_ecg|>' as prompt_prefix,
+  '<|end_ecg|>Answer:' as prompt_suffix,
+  array_to_string(answer, '.') || '<|end_of_text|>' as answer_text
+from qa join stats using (record_id) join lag_text using (record_id)""",
+    ),
+)
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.prompts import build_prompts
+    from wavequery.operators.signals import autocorr_top_lags as atl, series_stats as st
+
+    stats = st(S.signals_one(spark, sf_dir), ["record_id"])
+    lags = atl(_packed_one(spark, sf_dir)).select("record_id", "lags")
+    features = stats.join(lags, "record_id")
+    out = build_prompts(S.qa(spark, sf_dir), features)
+    return out.select("seq", "record_id", "prompt_prefix", "prompt_suffix", "answer_text")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
