@@ -455,6 +455,230 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "record_id", "prompt_prefix", "prompt_suffix", "answer_text")
 
 
+# --------------------------------------------------------------------------- vectors
+
+_UNIT_SQL = """
+vlong as (select vec_id, batch_id, idx, label, unnest(range(len(embedding))) as d, unnest(embedding) as x from vectors),
+vnorm as (select vec_id, sqrt(sum(x * x)) as norm from vlong group by vec_id),
+unit as (select vlong.*, x / norm as ux, norm from vlong join vnorm using (vec_id))"""
+
+
+@register(
+    "vector_normalize",
+    with_views(["vectors"], f"with {_UNIT_SQL}\nselect vec_id, cast(d as integer) as d, round(ux, 6) as u, round(norm, 6) as norm from unit"),
+)
+def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.vectors import normalize_vectors
+
+    v = normalize_vectors(S.vectors(spark, sf_dir))
+    return v.select("vec_id", F.posexplode("unit").alias("d", "u"), "norm").select(
+        "vec_id", F.col("d").cast("int").alias("d"), F.round("u", 6).alias("u"), F.round("norm", 6).alias("norm")
+    )
+
+
+@register(
+    "batch_cosine",
+    with_views(
+        ["vectors"],
+        f"""with {_UNIT_SQL}
+select a.batch_id, a.idx as i, b.idx as j, round(sum(a.ux * b.ux), 6) as sim
+from unit a join unit b on a.batch_id = b.batch_id and a.d = b.d group by 1, 2, 3""",
+    ),
+)
+def batch_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.vectors import batch_cosine as bc
+
+    return bc(S.vectors(spark, sf_dir)).select("batch_id", "i", "j", F.round("sim", 6).alias("sim"))
+
+
+@register(
+    "batch_similarity_mse",
+    with_views(
+        ["vectors", "qa"],
+        f"""with {_UNIT_SQL}, {_BATCHED_SQL},
+sim as (select a.batch_id, a.idx as i, b.idx as j, sum(a.ux * b.ux) as sim
+        from unit a join unit b on a.batch_id = b.batch_id and a.d = b.d group by 1, 2, 3),
+per_batch as (select batch_id, count(*) as n_cells, avg(power(sim - score, 2)) as sim_mse
+              from sim join scores using (batch_id, i, j) group by batch_id)
+select batch_id, 0 as level, n_cells, round(sim_mse, 6) as sim_mse from per_batch
+union all
+select null, 1, count(*), round(avg(sim_mse), 6) from per_batch""",
+    ),
+)
+def batch_similarity_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.vectors import batch_cosine as bc, mean_of_batches, similarity_mse
+
+    _, pairs = _batched(spark, sf_dir)
+    per_batch = similarity_mse(bc(S.vectors(spark, sf_dir)), pairs)
+    overall = mean_of_batches(per_batch, "sim_mse")
+    return per_batch.select(
+        "batch_id", F.lit(0).alias("level"), "n_cells", F.round("sim_mse", 6).alias("sim_mse")
+    ).unionByName(
+        overall.select(F.lit(None).cast("bigint").alias("batch_id"), F.lit(1).alias("level"),
+                       F.col("n_batches").alias("n_cells"), F.round("mean_sim_mse", 6).alias("sim_mse"))
+    )
+
+
+@register(
+    "prototype_blend",
+    with_views(
+        ["vectors"],
+        """with vlong as (select vec_id, label, unnest(range(len(embedding))) as d, unnest(embedding) as x from vectors),
+protos as (select label as key, d, avg(x) as m from vlong group by label, d),
+scores as (select l.vec_id, l.d // 32 as head, p.key, sum(l.x * p.m) / sqrt(32) as s
+           from vlong l join protos p on l.d = p.d group by 1, 2, 3),
+e as (select vec_id, head, key, exp(s - max(s) over (partition by vec_id, head)) as e from scores)
+select vec_id, cast(head as integer) as head, key, round(e / sum(e) over (partition by vec_id, head), 6) as w from e""",
+    ),
+)
+def prototype_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.vectors import mean_prototypes, prototype_blend as pb
+
+    v = S.vectors(spark, sf_dir)
+    out = pb(v, mean_prototypes(v), n_heads=2)
+    return out.select("vec_id", F.explode("weights").alias("x")).select(
+        "vec_id", F.col("x.head").cast("int").alias("head"), F.col("x.key").alias("key"), F.round("x.w", 6).alias("w")
+    )
+
+
+# --------------------------------------------------------------------------- token sequences
+
+# Stand-in token ids: a word's id is its length + 3 (0 pad, 1 begin, 2 end are reserved);
+# prefix = begin + the turn's words, suffix = a fixed 3-token template, answer = begin + role word + end,
+# 4 series positions between prefix and suffix.
+_SEQ_SQL = """
+seg as (
+  select batch_id, turn,
+         list_concat([1], list_transform(tok, lambda w: length(w) + 3)) as prefix,
+         [1, 7, 8] as suffix,
+         [1, length(role) + 3, 2] as answer,
+         [1, 2] as blank
+  from tokens),
+parts as (
+  select *, list_slice(prefix, 1, 512) as p, list_slice(suffix, 2, len(suffix)) as s, list_slice(answer, 2, len(answer)) as a,
+         list_slice(blank, 2, len(blank)) as ab, len(prefix) > 512 as truncated
+  from seg),
+seqs as (
+  select *, list_concat(p, [-1, -1, -1, -1], s, a) as ids,
+         list_concat(list_transform(range(len(p) + 4 + len(s)), lambda x: -100), a) as labels,
+         list_concat(p, [-1, -1, -1, -1], s, ab) as eval_ids
+  from parts),
+lens as (select *, len(ids) as seq_len, max(len(ids)) over (partition by batch_id) as max_len from seqs)"""
+
+
+def _int_text(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+@register(
+    "sequence_collate",
+    with_views(
+        ["tokens"],
+        f"""with {_SEQ_SQL}
+select batch_id, turn, cast(seq_len as integer) as seq_len, cast(max_len as integer) as max_len, truncated,
+       cast(len(list_filter(labels, lambda x: x <> -100)) as integer) as n_targets,
+       array_to_string(list_concat(list_transform(range(max_len - seq_len), lambda x: 0), ids), ' ') as input_text,
+       array_to_string(list_concat(list_transform(range(max_len - seq_len), lambda x: -100), labels), ' ') as labels_text,
+       array_to_string(list_concat(list_transform(range(max_len - seq_len), lambda x: 0),
+                                   list_transform(range(seq_len), lambda x: 1)), ' ') as mask_text,
+       cast(len(eval_ids) - 1 as integer) as gen_len
+from lens""",
+    ),
+)
+def sequence_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.sequences import assemble, collate, generation_input, target_count
+
+    t = S.tokens(spark, sf_dir)
+    seg = t.select(
+        "batch_id", "turn",
+        F.concat(F.array(F.lit(1)), F.transform("tok", lambda w: F.length(w) + 3)).alias("prefix"),
+        F.array(F.lit(1), F.lit(7), F.lit(8)).alias("suffix"),
+        F.array(F.lit(1), F.length("role") + 3, F.lit(2)).alias("answer"),
+        F.array(F.lit(1), F.lit(2)).alias("blank"),
+    )
+    a = assemble(seg, "prefix", "suffix", "answer", 4)
+    ev = assemble(a.select("batch_id", "turn", "prefix", "suffix", F.col("blank").alias("answer")), "prefix", "suffix", "answer", 4)
+    a = a.join(ev.select("batch_id", "turn", F.size(generation_input("input_ids")).alias("gen_len")), ["batch_id", "turn"])
+    c = collate(a)
+    return c.select(
+        "batch_id", "turn", "seq_len", "max_len", "truncated", target_count("labels").alias("n_targets"),
+        _int_text("input_ids_padded").alias("input_text"), _int_text("labels_padded").alias("labels_text"),
+        _int_text("attention_mask").alias("mask_text"), "gen_len",
+    )
+
+
+# --------------------------------------------------------------------------- run monitoring
+
+_EARLY_SQL = """
+es as (
+  select *, -val_loss as score, row_number() over w as rn,
+         max(-val_loss) over (w rows between unbounded preceding and 1 preceding) as best_before
+  from run_metrics window w as (partition by run_id order by epoch)),
+imp as (select *, best_before is null or score >= best_before as improved from es),
+cnt as (select *, rn - max(case when improved then rn end) over (partition by run_id order by epoch rows between unbounded preceding and current row) as counter,
+               -max(score) over (partition by run_id order by epoch rows between unbounded preceding and current row) as best_loss
+        from imp)"""
+
+
+@register(
+    "early_stopping",
+    with_views(
+        ["run_metrics"],
+        f"""with {_EARLY_SQL}
+select run_id, epoch, val_loss, improved, best_loss, cast(counter as integer) as counter,
+       max(case when counter >= 5 then 1 else 0 end) over (partition by run_id order by epoch rows between unbounded preceding and current row) = 1 as stop
+from cnt""",
+    ),
+)
+def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.runs import early_stopping as es
+
+    return es(S.run_metrics(spark, sf_dir), patience=5).select(
+        "run_id", "epoch", "val_loss", "improved", "best_loss", "counter", "stop"
+    )
+
+
+@register(
+    "early_stopping_delta",
+    with_views(
+        ["run_metrics"],
+        f"""with {_EARLY_SQL}
+select run_id, epoch, val_loss, improved, best_loss, cast(counter as integer) as counter,
+       max(case when counter >= 5 then 1 else 0 end) over (partition by run_id order by epoch rows between unbounded preceding and current row) = 1 as stop
+from cnt""",
+    ),
+)
+def early_stopping_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general ordered fold, run at delta = 0 so it is checked against the window form's oracle."""
+    from wavequery.operators.runs import early_stopping_fold
+
+    return early_stopping_fold(S.run_metrics(spark, sf_dir), patience=5, delta=0.0)
+
+
+@register(
+    "loss_history",
+    with_views(
+        ["run_metrics"],
+        """select 'train' as split, event_type as run_id, cast(date_diff('hour', timestamp '2024-01-01', date_trunc('hour', ts)) as bigint) as step,
+       round(avg(value), 6) as loss
+from events group by 2, 3
+union all
+select 'valid', run_id, epoch * 24 + 23, round(val_loss / 100, 6) from run_metrics""",
+    ),
+)
+def loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train history: mean value per (type, hour); validation history: run_metrics at the end of each day."""
+    from wavequery.operators.runs import loss_history as lh
+
+    ev = S.table(spark, sf_dir, "events")
+    step = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))) / 3600).cast("bigint")
+    train = ev.groupBy(F.col("event_type").alias("run_id"), step.alias("step")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    val = S.run_metrics(spark, sf_dir).select(
+        "run_id", (F.col("epoch") * 24 + 23).alias("step"), F.round(F.col("val_loss") / 100, 6).alias("loss")
+    )
+    return lh(train, val)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
