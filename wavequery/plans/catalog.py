@@ -679,6 +679,85 @@ def loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lh(train, val)
 
 
+# --------------------------------------------------------------------------- streaming
+
+@register(
+    "stream_early_stop",
+    with_views(
+        ["run_metrics"],
+        f"""with {_EARLY_SQL}
+select run_id, epoch, val_loss, improved, best_loss, cast(counter as integer) as counter,
+       max(case when counter >= 5 then 1 else 0 end) over (partition by run_id order by epoch rows between unbounded preceding and current row) = 1 as stop,
+       false as late
+from cnt""",
+    ),
+)
+def stream_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run metrics arrive in two waves (epochs < 15, then the rest); the query is restarted from
+    its checkpoint between them, so the per-run state must survive the restart."""
+    from wavequery.streaming.monitor import early_stop_monitor
+    from wavequery.streaming.runner import run_append, scratch, stage
+
+    rm = S.run_metrics(spark, sf_dir)
+    root = scratch(spark, "stream-early-stop")
+    src, sink, ckpt = f"{root}/in", f"{root}/out", f"{root}/ckpt"
+    for wave in (rm.where(F.col("epoch") < 15), rm.where(F.col("epoch") >= 15)):
+        stage([wave], src)
+        stream = spark.readStream.schema(rm.schema).parquet(src)
+        run_append(early_stop_monitor(stream, patience=5), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
+@register("stream_accuracy", ORACLE["accuracy_by_question_type"])
+def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions arrive file by file (one micro-batch each) and are joined to the static examples."""
+    from wavequery.streaming.accuracy import running_accuracy
+    from wavequery.streaming.runner import run_complete, scratch, stage
+
+    preds = S.predictions(spark, sf_dir)
+    root = scratch(spark, "stream-accuracy")
+    src, sink, ckpt = f"{root}/in", f"{root}/out", f"{root}/ckpt"
+    stage([preds.repartition(4, "seq")], src)
+    stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    run_complete(running_accuracy(stream, S.qa(spark, sf_dir)), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
+# --------------------------------------------------------------------------- sinks
+
+@register(
+    "annotation_roundtrip",
+    with_views(
+        ["qa", "predictions"],
+        f"""with {_SCORED_SQL},
+ordered as (select seq, row_number() over (order by {_ORDER_GROUPED}) - 1 as pos from qa)
+select seq, pos, question_type, array_to_string(answer, '.') as answer_text,
+       array_to_string(pred_list, '|') as prediction_text, correct
+from judged join ordered using (seq)""",
+    ),
+)
+def annotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1 (prepared list + lookup materialised under a key of split/seed/shuffle/source, then
+    reused), JN-3 (predictions aligned by key), SNK-2 (evaluation rows written and read back)."""
+    from wavequery.plans.training import prepare
+    from wavequery.sources.annotations import prepared_path, write_evaluation, write_prepared
+    from wavequery.streaming.runner import scratch
+
+    qa = S.qa(spark, sf_dir)
+    root = scratch(spark, "prepared")
+    prep = prepare(qa, mode="grouped", seed=42)
+    path = prepared_path(root, "train", 42, True, "qa")
+    write_prepared(prep.ordered, prep.lookup, path)
+    rows, _lookup = write_prepared(prep.ordered, prep.lookup, path)  # second call reuses the materialisation
+    scored = EV.mark_correct(EV.attach_predictions(rows, S.predictions(spark, sf_dir)))
+    write_evaluation(scored, f"{root}/evaluation")
+    back = spark.read.parquet(f"{root}/evaluation")
+    return back.select(
+        "seq", "pos", "question_type", F.array_join("answer", ".").alias("answer_text"),
+        F.array_join("prediction", "|").alias("prediction_text"), "correct",
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
