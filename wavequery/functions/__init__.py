@@ -4,7 +4,9 @@ from wavequery.functions.text import (
     answer_text,
     first_record_id,
     fixed4,
+    fixed4_exact,
     int_list_text,
+    pct_text,
     parse_prediction,
     strip_ws,
     trend_word,
@@ -16,7 +18,9 @@ __all__ = [
     "answer_text",
     "first_record_id",
     "fixed4",
+    "fixed4_exact",
     "int_list_text",
+    "pct_text",
     "parse_prediction",
     "strip_ws",
     "trend_word",

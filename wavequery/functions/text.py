@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(col) -> Column:
@@ -39,6 +41,21 @@ def fixed4(x) -> Column:
     return F.format_string("%.4f", _c(x))
 
 
+def fixed4_exact(x) -> Column:
+    """R1 exact variant: Python formatting of the binary value (0.03125 -> ``0.0312``), Arrow-batched."""
+    return _fixed4_udf(_c(x))
+
+
+@F.pandas_udf(T.StringType())
+def _fixed4_udf(s: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else "{:.4f}".format(v) for v in s], dtype=object)
+
+
+def pct_text(x) -> Column:
+    """PRJ-16: percentage with 2 decimals as text."""
+    return F.format_string("%.2f", _c(x))
+
+
 def int_list_text(arr) -> Column:
     """Integer list rendered like Python's ``str(list)``: ``[0, 1, 2]`` (PRJ-5)."""
     return F.concat(F.lit("["), F.array_join(F.transform(_c(arr), lambda x: x.cast("string")), ", "), F.lit("]"))

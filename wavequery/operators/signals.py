@@ -49,7 +49,9 @@ def scaler_params(long: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     """Per-series mean and population std; a zero std is replaced by 1 (no division by zero)."""
     std = F.stddev_pop(F.col(v).cast("double"))
     return long.groupBy(*keys).agg(
-        F.avg(F.col(v).cast("double")).alias("mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias("std")
+        F.avg(F.col(v).cast("double")).alias("mean"),
+        F.when(std == 0, F.lit(1.0)).otherwise(std).alias("std"),
+        (std == 0).alias("flat"),
     )
 
 
@@ -79,7 +81,7 @@ def affine_inverse(z, mean, std) -> Column:
 
 def inverse_zscore(scaled: DataFrame, params: DataFrame, keys: list[str], z: str = "z", out: str = "v_back") -> DataFrame:
     """Inverse with each series' *own* parameters (the reference reuses the last fitted one)."""
-    cols = [c for c in scaled.columns if c not in ("mean", "std")]
+    cols = [c for c in scaled.columns if c not in ("mean", "std", "flat")]
     return scaled.select(*cols).join(params, keys).withColumn(out, affine_inverse(z, "mean", "std"))
 
 

@@ -6,17 +6,19 @@ B x B cells are produced inside the join task. Batches have a fixed size B, so
 the pair count is n * B, never a data-dependent square.
 
 The prototype blend attends every vector to a small prototype set. Instead of a
-cross join, the prototypes are packed into one row after checking their count
-against ``max_prototypes`` (the reference uses 1000) and joined by broadcast on a
-constant key; each vector then computes its scores with higher-order functions.
+cross join, the prototype matrix is size-checked against ``max_prototypes`` (the
+reference uses 1000) and broadcast once; each Arrow batch of vectors then does
+the attention as numpy matrix products.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavequery.functions import dot, l2_norm, normalize
 
@@ -72,53 +74,53 @@ def prototype_blend(df: DataFrame, prototypes: DataFrame, n_heads: int, col: str
                     proto_col: str = "proto", max_prototypes: int = 1000) -> DataFrame:
     """VEC-4 + PRJ-13: per head h, weights = softmax(q_h . k_h / sqrt(E)) over prototypes; out_h = sum w * v_h.
 
-    Keys and values are the given prototype vectors. Adds ``weights``
-    array<struct<key, head, w>> and ``blend`` array<double> (heads concatenated).
+    Keys and values are the given prototype vectors (S of them, ordered by key).
+    Adds ``weights`` array<array<double>> ([head][prototype]), ``blend``
+    array<double> (heads concatenated) and ``proto_keys`` (the prototype order).
+
+    Dense attention is a matrix product per Arrow batch (``mapInPandas`` + numpy):
+    the prototype matrix is checked against ``max_prototypes`` and shipped once as a
+    broadcast variable, so no join and no per-element expression evaluation.
     """
-    n_proto = prototypes.count()  # size check before packing into one row
+    n_proto = prototypes.count()  # size check before anything reaches the driver
     if n_proto > max_prototypes:
         raise ValueError(f"{n_proto} prototypes exceed max_prototypes={max_prototypes}")
-    packed = prototypes.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(proto_key).alias("key"), F.col(proto_col).alias("vec")))).alias("_protos")
-    ).withColumn("_one", F.lit(1))
-    x = df.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one").drop("_one")
-    dim = F.size(col)
-    e = dim / n_heads  # head width
-    scale = 1.0 / F.sqrt(e)
-
-    def head_scores(h):
-        lo = (F.lit(h) * e + 1).cast("int")
-        q = F.slice(col, lo, e.cast("int"))
-        return F.transform("_protos", lambda p: dot(q, F.slice(p["vec"], lo, e.cast("int"))) * scale)
-
-    out = x
-    weight_cols, blend_cols = [], []
-    for h in range(n_heads):
-        s = head_scores(h)
-        out = out.withColumn(f"_s{h}", s)
-        mx = F.array_max(f"_s{h}")
-        ex = F.transform(f"_s{h}", lambda v: F.exp(v - mx))
-        out = out.withColumn(f"_e{h}", ex)
-        tot = F.aggregate(f"_e{h}", F.lit(0.0), lambda a, v: a + v)
-        out = out.withColumn(f"_w{h}", F.transform(f"_e{h}", lambda v: v / tot))
-        lo = (F.lit(h) * e + 1).cast("int")
-        width = e.cast("int")
-        zipped = F.arrays_zip(F.col(f"_w{h}").alias("w"), F.col("_protos").alias("p"))
-        vals = F.transform(zipped, lambda z: F.transform(F.slice(z["p"]["vec"], lo, width), lambda v: v * z["w"]))
-        summed = F.aggregate(
-            vals,
-            F.array_repeat(F.lit(0.0), width),
-            lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
-        )
-        blend_cols.append(summed)
-        weight_cols.append(
-            F.transform(
-                F.arrays_zip(F.col("_protos").alias("p"), F.col(f"_w{h}").alias("w")),
-                lambda z: F.struct(z["p"]["key"].alias("key"), F.lit(h).alias("head"), z["w"].alias("w")),
-            )
-        )
-    out = out.withColumn("weights", F.concat(*weight_cols)).withColumn("blend", F.concat(*blend_cols))
-    return out.drop("_protos", *[f"_{p}{h}" for p in "sew" for h in range(n_heads)])
+    rows = prototypes.select(proto_key, proto_col).orderBy(proto_key).collect()
+    keys = [r[0] for r in rows]
+    mat = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast(mat)
+    key_type = prototypes.schema[proto_key].dataType
+
+    def run(batches):
+        k = bc.value
+        for pdf in batches:
+            q = np.stack(pdf[col].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) if len(pdf) else np.zeros((0, k.shape[1]))
+            width = q.shape[1] // n_heads
+            scale = 1.0 / math.sqrt(width)
+            weights, blends = [], []
+            for h in range(n_heads):
+                sl = slice(h * width, (h + 1) * width)
+                s = q[:, sl] @ k[:, sl].T * scale
+                s -= s.max(axis=1, keepdims=True)
+                w = np.exp(s)
+                w /= w.sum(axis=1, keepdims=True)
+                weights.append(w)
+                blends.append(w @ k[:, sl])
+            pdf = pdf.copy()
+            pdf["weights"] = [[weights[h][i].tolist() for h in range(n_heads)] for i in range(len(pdf))]
+            pdf["blend"] = list(np.concatenate(blends, axis=1).tolist()) if len(pdf) else []
+            yield pdf
+
+    out_schema = T.StructType(
+        df.schema.fields
+        + [
+            T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()))),
+            T.StructField("blend", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    out = df.mapInPandas(run, out_schema)
+    return out.withColumn("proto_keys", F.array(*[F.lit(x).cast(key_type) for x in keys]))
 
 
 def softmax_scale(e: int) -> float:

@@ -344,8 +344,7 @@ def lead_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["record_id", "lead"]
     scaled, params = zscore(S.signals(spark, sf_dir), keys)
     back = inverse_zscore(scaled, params, keys)
-    flat = F.col("std") == 1.0
-    return back.select("record_id", "lead", "t", F.round("v_back", 6).alias("v_back"), (flat & (F.col("z") == 0)).alias("flat"))
+    return back.select("record_id", "lead", "t", F.round("v_back", 6).alias("v_back"), "flat")
 
 
 @register(
@@ -535,10 +534,12 @@ def prototype_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavequery.operators.vectors import mean_prototypes, prototype_blend as pb
 
     v = S.vectors(spark, sf_dir)
-    out = pb(v, mean_prototypes(v), n_heads=2)
-    return out.select("vec_id", F.explode("weights").alias("x")).select(
-        "vec_id", F.col("x.head").cast("int").alias("head"), F.col("x.key").alias("key"), F.round("x.w", 6).alias("w")
-    )
+    out = pb(v.select("vec_id", "embedding"), mean_prototypes(v), n_heads=2)
+    per_head = out.select("vec_id", "proto_keys", F.posexplode("weights").alias("head", "hw"))
+    return per_head.select(
+        "vec_id", F.col("head").cast("int").alias("head"),
+        F.posexplode(F.arrays_zip(F.col("proto_keys").alias("key"), F.col("hw").alias("w"))).alias("_j", "x"),
+    ).select("vec_id", "head", F.col("x.key").alias("key"), F.round("x.w", 6).alias("w"))
 
 
 # --------------------------------------------------------------------------- token sequences

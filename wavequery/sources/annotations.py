@@ -39,6 +39,14 @@ def read_split(spark: SparkSession, root: str, split: str) -> DataFrame:
     return read_annotations(spark, split_path(root, split), split)
 
 
+def file_positions(annotations: DataFrame, pos: str = "seq") -> DataFrame:
+    """WIN-9: example position by (template_id, question_id, sample_id), numbered without a single-partition sort."""
+    from wavequery.operators.ordering import with_positions
+
+    keys = ["template_id", "question_id", "sample_id"]
+    return with_positions(annotations.drop(pos) if pos in annotations.columns else annotations, keys, pos=pos).df
+
+
 def as_qa(annotations: DataFrame) -> DataFrame:
     """Annotation rows -> the (seq, question, question_type, attribute_type, record_id, answer) shape (PRJ-2)."""
     return annotations.select(
