@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +43,19 @@ class Numbered:
     total: int  # number of rows
 
 
-def with_positions(df: DataFrame, order: list[Column | str], pos: str = "pos", num_partitions: int | None = None) -> Numbered:
+def with_positions(df: DataFrame, order: list[Column | str], pos: str = "pos", num_partitions: int | None = None,
+                   persist_input: bool = False) -> Numbered:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # the range bounds are sampled in a first pass over the input and the shuffle is a
+    # second one; ``persist_input`` keeps the input between them (measured slower than
+    # recomputing for cheap inputs, so off by default; the result does not depend on it)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
+    ranged = kept.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     stable = reliable_checkpoint(ranged)
+    if persist_input:
+        kept.unpersist()
     tagged = stable.withColumn("_mid", F.monotonically_increasing_id())
     counts = (
         tagged.groupBy(F.shiftright("_mid", 33).alias("_pid")).agg(F.count(F.lit(1)).alias("_n")).collect()

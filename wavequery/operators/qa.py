@@ -2,9 +2,8 @@
 
 Plan shape of ``pair_scores`` (the centre of the reference):
 
-    batched --(batch_id, question) distinct--+
-                                              join batch_id -> probe (batch, q, j, record)   ~ n * |Q_b| rows
-    batched --(batch_id, j, record)----------+
+    batched -> group by batch_id: questions (set), columns (j, record)     one exchange, bounded by B
+            -> explode both -> probe (batch, q, j, record)                    ~ n * |Q_b| rows
     probe  LEFT JOIN lookup ON (q, record)                                                  one shuffle on the probe key
     rows(batch, i, q, answer)  JOIN probe ON (batch, q)                                     B^2 cells per batch, made last
 
@@ -55,9 +54,16 @@ def pair_scores(
     row i's answer and the looked-up answer (this overrides the diagonal); else 1 on
     the diagonal, 0 elsewhere. ``known`` says whether the lookup had the key.
     """
-    cols = batched.select("batch_id", F.col("idx").alias("j"), F.col(record).alias("_rid"))
-    questions = batched.select("batch_id", F.col(question).alias("_q")).distinct()
-    probe = questions.join(cols, "batch_id")
+    # one aggregation per batch (bounded: B columns, <= B questions) gives the probe set
+    per_batch = batched.groupBy("batch_id").agg(
+        F.collect_set(question).alias("_qs"),
+        F.collect_list(F.struct(F.col("idx").alias("j"), F.col(record).alias("_rid"))).alias("_cols"),
+    )
+    probe = (
+        per_batch.select("batch_id", F.explode("_qs").alias("_q"), "_cols")
+        .select("batch_id", "_q", F.explode("_cols").alias("_c"))
+        .select("batch_id", "_q", "_c.j", "_c._rid")
+    )
     lk = lookup.select(F.col(question).alias("_q"), F.col(record).alias("_rid"), F.col(answer).alias("_la"))
     probed = probe.join(lk, ["_q", "_rid"], "left").select("batch_id", "_q", "j", "_la")
     rows = batched.select("batch_id", F.col("idx").alias("i"), F.col(question).alias("_q"), F.col(answer).alias("_gt"))

@@ -718,7 +718,7 @@ def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds = S.predictions(spark, sf_dir)
     root = scratch(spark, "stream-accuracy")
     src, sink, ckpt = f"{root}/in", f"{root}/out", f"{root}/ckpt"
-    stage([preds.repartition(4, "seq")], src)
+    stage([preds.repartition(2, "seq")], src)
     stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 1).parquet(src)
     run_complete(running_accuracy(stream, S.qa(spark, sf_dir)), sink, ckpt)
     return spark.read.parquet(sink)

@@ -21,6 +21,20 @@ class Prepared:
     lookup: DataFrame
 
 
+def number_examples(qa: DataFrame, mode: str = "grouped", seed: int = DEFAULT_SEED, group: str = "question",
+                    key: str = "seq") -> O.Numbered:
+    """Number all examples in the chosen order (before any limit)."""
+    if mode == "grouped":
+        return O.with_positions(qa, O.grouped_shuffle_order(seed, group, key))
+    if mode == "global":
+        return O.with_positions(qa, O.global_shuffle_order(seed, key))
+    if mode == "file":
+        joined, order = O.file_order(qa, group, key)
+        numbered = O.with_positions(joined, order)
+        return O.Numbered(numbered.df.drop("_first_seq"), numbered.total)
+    raise ValueError(f"unknown order mode {mode!r}")
+
+
 def order_examples(qa: DataFrame, mode: str = "grouped", seed: int = DEFAULT_SEED, num_data: int | None = None,
                    group: str = "question", key: str = "seq") -> O.Numbered:
     """Number the examples: ``grouped`` (TOP-1, train/valid), ``global`` (TOP-2, test), ``file`` (TOP-3, no shuffle).
@@ -28,22 +42,16 @@ def order_examples(qa: DataFrame, mode: str = "grouped", seed: int = DEFAULT_SEE
     Then TOP-4: keep the first ``num_data`` (0/None = all). The lookup is always built
     from the whole input, before the limit (the reference applies the limit after).
     """
-    if mode == "grouped":
-        numbered = O.with_positions(qa, O.grouped_shuffle_order(seed, group, key))
-    elif mode == "global":
-        numbered = O.with_positions(qa, O.global_shuffle_order(seed, key))
-    elif mode == "file":
-        joined, order = O.file_order(qa, group, key)
-        numbered = O.with_positions(joined, order)
-        numbered = O.Numbered(numbered.df.drop("_first_seq"), numbered.total)
-    else:
-        raise ValueError(f"unknown order mode {mode!r}")
-    return O.take_first(numbered, num_data)
+    return O.take_first(number_examples(qa, mode, seed, group, key), num_data)
 
 
 def prepare(qa: DataFrame, mode: str = "grouped", seed: int = DEFAULT_SEED, num_data: int | None = None) -> Prepared:
-    numbered = order_examples(qa, mode, seed, num_data)
-    return Prepared(numbered.df, numbered.total, Q.lookup_last_wins(qa))
+    # the lookup covers the whole input (the limit comes after it) and is built from the
+    # checkpointed numbered rows, so the input is not recomputed for it
+    numbered = number_examples(qa, mode, seed)
+    lookup = Q.lookup_last_wins(numbered.df.drop("pos"))
+    limited = O.take_first(numbered, num_data)
+    return Prepared(limited.df, limited.total, lookup)
 
 
 def training_batches(qa: DataFrame, batch_size: int = 32, mode: str = "grouped", seed: int = DEFAULT_SEED,
