@@ -79,9 +79,9 @@ def _adjust_py(gt, pred, fill_first=False):
     return out
 
 
-def _adjust_spark(spark, gt, pred, fill_first=False):
+def _adjust_spark(spark, gt, pred, fill_first=False, parts=None):
     df = spark.createDataFrame([(0, t, g, p) for t, (g, p) in enumerate(zip(gt, pred))], "series_id int, t int, gt int, pred int")
-    return [r.adjusted for r in EV.point_adjust(df, fill_first=fill_first).orderBy("t").collect()]
+    return [r.adjusted for r in EV.point_adjust(df, fill_first=fill_first, num_partitions=parts).orderBy("t").collect()]
 
 
 def test_point_adjust_golden(spark):
@@ -95,7 +95,7 @@ def test_point_adjust_golden(spark):
 def test_point_adjust_matches_restatement_and_is_idempotent(spark, pairs):
     gt = [g for g, _ in pairs]
     pred = [p for _, p in pairs]
-    once = _adjust_spark(spark, gt, pred)
+    once = _adjust_spark(spark, gt, pred, parts=4)  # one series cut over several partitions
     assert once == _adjust_py(gt, pred)
     assert _adjust_spark(spark, gt, once) == once
 
@@ -104,3 +104,29 @@ def test_elementwise_accuracy(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 0, 1), (2, 0, 0), (2, 1, 1)], "series_id int, gt int, pred int")
     out = {r.series_id: r.accuracy for r in EV.elementwise_accuracy(df, by="series_id").collect()}
     assert out == {1: 0.5, 2: 1.0, None: 0.75}
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 1), st.integers(0, 1)), min_size=1, max_size=60),
+       st.integers(1, 7), st.booleans())
+def test_distributed_point_adjust_equals_window_form(spark, rows_, parts, fill_first):
+    data = [(sid, t, g, p) for t, (sid, g, p) in enumerate(rows_)]
+    df = spark.createDataFrame(data, "series_id long, t long, gt int, pred int")
+    a = {(r.series_id, r.t): r.adjusted for r in EV.point_adjust(df, num_partitions=parts, fill_first=fill_first).collect()}
+    b = {(r.series_id, r.t): r.adjusted for r in EV.point_adjust_window(df, fill_first=fill_first).collect()}
+    assert a == b
+
+
+def test_distributed_point_adjust_carries_across_arrow_batches(spark):
+    import random
+
+    rnd = random.Random(5)
+    data = [(sid, t, rnd.randint(0, 1) if rnd.random() < 0.8 else 1, rnd.randint(0, 1)) for sid in (1, 2) for t in range(200)]
+    df = spark.createDataFrame(data, "series_id long, t long, gt int, pred int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        a = {(r.series_id, r.t): r.adjusted for r in EV.point_adjust(df, num_partitions=3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    b = {(r.series_id, r.t): r.adjusted for r in EV.point_adjust_window(df).collect()}
+    assert a == b

@@ -91,10 +91,10 @@ def elementwise_accuracy(df: DataFrame, pred: str = "pred", truth: str = "gt", b
     )
 
 
-def point_adjust(
+def point_adjust_window(
     df: DataFrame, series: str = "series_id", t: str = "t", gt: str = "gt", pred: str = "pred", fill_first: bool = False
 ) -> DataFrame:
-    """WIN-6: a hit anywhere in a true run marks the whole run.
+    """WIN-6 with windows per series (simple; a series is one task).
 
     Gaps-and-islands: the running count of ``gt = 0`` rows names each true run;
     ``max(pred)`` per (series, run) says whether the run was hit. The reference
@@ -109,3 +109,31 @@ def point_adjust(
     if not fill_first:
         fill = fill & ~F.col("_first")
     return runs.withColumn("adjusted", F.when(fill, F.lit(1)).otherwise(F.col(pred))).drop("_run", "_first")
+
+
+def point_adjust(
+    df: DataFrame, series: str = "series_id", t: str = "t", gt: str = "gt", pred: str = "pred", fill_first: bool = False,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """WIN-6 without a window per series: a single huge series is split over many tasks.
+
+    1. Range-partition on (series, t), sort inside partitions, checkpoint: each
+       partition is a contiguous, balanced slice of the global order.
+    2. One summary row per partition (first/last series, last ``gt = 0`` time of the
+       last series) reaches the driver; scanning them in order gives each partition
+       the run it continues (the carry), as a small broadcast table.
+    3. Per partition (Arrow batches, vectorised), every ``gt = 1`` row gets its run
+       key = time of the last ``gt = 0`` row before it in its series (-1 if none),
+       and the series' first row is marked.
+    4. Whether a run was hit is a partial aggregation on (series, run key), joined
+       back on that key (unique on the aggregate side; AQE splits a hot run).
+    """
+    from wavequery.operators.runs_carry import carry_runs
+
+    keyed = carry_runs(df, series, t, gt, num_partitions)
+    hits = keyed.where(F.col(gt) == 1).groupBy(series, "_run").agg(F.max(pred).alias("_hit"))
+    out = keyed.join(hits, [series, "_run"], "left")
+    fill = (F.col(gt) == 1) & (F.col("_hit") == 1)
+    if not fill_first:
+        fill = fill & ~F.col("_first")
+    return out.withColumn("adjusted", F.when(fill, F.lit(1)).otherwise(F.col(pred))).drop("_run", "_first", "_hit")

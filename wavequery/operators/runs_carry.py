@@ -1,0 +1,113 @@
+"""Run identity (gaps and islands) across range partitions, without a window per series.
+
+Used by the distributed point adjustment. Rows are range-partitioned on
+(series, t) and checkpointed, so partition p holds a contiguous slice of the
+global order and only its first series can continue from earlier partitions.
+Each partition reports one summary row; the driver folds those few rows in
+partition order into a carry (the open series and the time of its last
+``gt = 0`` row) that each partition starts from.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wavequery.session import reliable_checkpoint
+
+
+def _summary_fn(series: str, t: str, gt: str):
+    def fn(it):
+        pid = TaskContext.get().partitionId()
+        first, last, last_zero, n = None, None, None, 0
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            s = pdf[series].to_numpy()
+            if first is None:
+                first = s[0]
+            tail = s[-1]
+            zeros = pdf[t].to_numpy()[(s == tail) & (pdf[gt].to_numpy() == 0)]
+            if tail != last:
+                last_zero = int(zeros.max()) if zeros.size else None
+            elif zeros.size:
+                last_zero = int(zeros.max())
+            last = tail
+            n += len(pdf)
+        yield pd.DataFrame({"pid": [pid], "first": [first], "last": [last], "last_zero": [last_zero], "n": [n]})
+
+    return fn
+
+
+def _fold(summaries) -> dict[int, tuple]:
+    """Partition order -> carry: (series it continues, last zero time or -1, continues?)."""
+    carry, cur_s, cur_lz = {}, None, -1
+    for r in sorted(summaries, key=lambda r: r["pid"]):
+        if r["n"] == 0:
+            continue
+        seen = cur_s is not None and cur_s == r["first"]
+        carry[r["pid"]] = (r["first"], cur_lz if seen else -1, seen)
+        own = r["last_zero"]
+        if r["last"] == r["first"] and seen:
+            cur_lz = own if own is not None else cur_lz
+        else:
+            cur_lz = own if own is not None else -1
+        cur_s = r["last"]
+    return carry
+
+
+def _rows_fn(series: str, t: str, gt: str, carry_bc):
+    def fn(it):
+        pid = TaskContext.get().partitionId()
+        c_series, c_lz, c_seen = carry_bc.value.get(pid, (None, -1, False))
+        cur_s, cur_lz, started = c_series, c_lz, False
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            s = pdf[series].to_numpy()
+            tt = pdf[t].to_numpy().astype(np.int64)
+            g = pdf[gt].to_numpy()
+            # does the batch's first row start a series? (at the partition start: only if
+            # the series was not seen in an earlier partition)
+            row0_new = (not c_seen) if not started else bool(s[0] != cur_s)
+            new_seg = np.empty(len(s), dtype=bool)
+            new_seg[0] = row0_new
+            new_seg[1:] = s[1:] != s[:-1]
+            seg = np.cumsum(new_seg)
+            last_zero = pd.Series(np.where(g == 0, tt, np.nan)).groupby(seg).ffill().to_numpy()
+            first_fill = -1 if row0_new else cur_lz  # a continued series starts from the carried last zero
+            last_zero = np.where(np.isnan(last_zero), np.where(seg == seg[0], first_fill, -1), last_zero).astype(np.int64)
+            out = pdf.copy()
+            out["_run"] = np.where(g == 1, last_zero, tt)
+            out["_first"] = new_seg
+            cur_s, cur_lz, started = s[-1], int(last_zero[-1]), True
+            yield out
+
+    return fn
+
+
+def carry_runs(df: DataFrame, series: str, t: str, gt: str, num_partitions: int | None = None) -> DataFrame:
+    """Adds ``_run`` (time of the last gt=0 row before a gt=1 row, -1 if none; t itself for gt=0 rows)
+    and ``_first`` (the series' first row) to every row."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, series, t).sortWithinPartitions(series, t)
+    stable = reliable_checkpoint(ranged)
+    s_type = df.schema[series].dataType
+    summary_schema = T.StructType(
+        [
+            T.StructField("pid", T.IntegerType()),
+            T.StructField("first", s_type),
+            T.StructField("last", s_type),
+            T.StructField("last_zero", T.LongType()),
+            T.StructField("n", T.LongType()),
+        ]
+    )
+    summaries = [r.asDict() for r in stable.select(series, t, gt).mapInPandas(_summary_fn(series, t, gt), summary_schema).collect()]
+    carry_bc = spark.sparkContext.broadcast(_fold(summaries))
+    out_schema = T.StructType(stable.schema.fields + [T.StructField("_run", T.LongType()), T.StructField("_first", T.BooleanType())])
+    return stable.mapInPandas(_rows_fn(series, t, gt, carry_bc), out_schema)
