@@ -116,3 +116,26 @@ def test_text_formatting(spark):
     r = df.select(fixed4("x").alias("f"), int_list_text("l").alias("s")).collect()[0]
     assert r.f == "0.0313"  # Java rounds the decimal text half-up (Python gives 0.0312)
     assert r.s == "[0, 1, 2]"
+
+
+def test_sorted_lower_median_equals_percentile_disc_on_a_split_series(spark):
+    import random
+
+    rnd = random.Random(11)
+    series = {1: [rnd.randint(0, 50) for _ in range(301)], 2: [rnd.randint(0, 5) for _ in range(40)], 3: [7.0]}
+    df = _long(spark, series)
+    got = {r.record_id: r.median_v for r in SG.lower_median_sorted(df, ["record_id"], num_partitions=5).collect()}
+    expect = {k: float(sorted(v)[(len(v) + 1) // 2 - 1]) for k, v in series.items()}
+    assert got == expect
+    disc = {r.record_id: r.median_v for r in SG.series_stats(df, ["record_id"]).collect()}
+    assert disc == expect
+
+
+def test_pack_length_bound(spark):
+    df = _long(spark, {1: list(range(10))}).drop("lead")
+    assert SG.pack(df, ["record_id"], max_len=10).count() == 1
+    try:
+        SG.pack(df, ["record_id"], max_len=9)
+        raise AssertionError("expected a failure")
+    except ValueError as e:
+        assert "max_len" in str(e)

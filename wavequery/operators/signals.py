@@ -24,8 +24,24 @@ from wavequery.schemas import TOP_K_LAGS
 
 # ----------------------------------------------------------------------------- pack / unpack (PRJ-14, PRJ-15)
 
-def pack(long: DataFrame, keys: list[str], t: str = "t", v: str = "v", check: bool = True) -> DataFrame:
-    """Long -> packed: (keys..., v array<double>, n). Rejects gaps and duplicate time indexes."""
+def check_series_length(long: DataFrame, keys: list[str], max_len: int) -> int:
+    """Longest series (a partial aggregation); raises before anything is collected if it exceeds ``max_len``."""
+    longest = long.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
+    if longest > max_len:
+        raise ValueError(f"a series has {longest} samples, above max_len={max_len}; use the long-form operators")
+    return longest
+
+
+def pack(long: DataFrame, keys: list[str], t: str = "t", v: str = "v", check: bool = True,
+         max_len: int | None = None) -> DataFrame:
+    """Long -> packed: (keys..., v array<double>, n). Rejects gaps and duplicate time indexes.
+
+    One series becomes one row, so a series must be bounded; with ``max_len`` the
+    bound is verified first (a cheap aggregation) and an over-long series fails
+    loudly instead of being collected into one task.
+    """
+    if max_len is not None:
+        check_series_length(long, keys, max_len)
     agg = long.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(v).cast("double").alias("v")))).alias("_s"),
         F.min(t).alias("_t0"),
@@ -119,6 +135,25 @@ def series_stats(long: DataFrame, keys: list[str], t: str = "t", v: str = "v") -
     return stats
 
 
+def lower_median_sorted(long: DataFrame, keys: list[str], t: str = "t", v: str = "v",
+                        num_partitions: int | None = None) -> DataFrame:
+    """Exact lower median for series of any size: (keys..., median_v).
+
+    ``percentile_disc`` keeps a value->count map per group, which one task must hold
+    for a huge series. Here the samples are numbered globally in (keys, v, t) order
+    (range partitions split a huge series), each series' first position and length
+    come from partial aggregates, and the row at first + ceil(n/2) - 1 is the median.
+    """
+    from wavequery.operators.ordering import with_positions
+
+    numbered = with_positions(long.select(*keys, t, F.col(v).cast("double").alias(v)), [*keys, v, t], pos="_pos",
+                              num_partitions=num_partitions)
+    bounds = numbered.df.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    target = (F.col("_start") + F.ceil(F.col("_n") / 2) - 1).cast("bigint")
+    picked = numbered.df.join(bounds, keys).where(F.col("_pos") == target)
+    return picked.select(*keys, F.col(v).alias("median_v"))
+
+
 def first_differences(long: DataFrame, keys: list[str], t: str = "t", v: str = "v") -> DataFrame:
     """WIN-2: v - previous v within the series (null for the first sample)."""
     from pyspark.sql import Window
@@ -228,9 +263,16 @@ def top_lags_udf(v: pd.Series) -> pd.Series:
 
 
 def autocorr_top_lags(packed: DataFrame, v: str = "v", out: str = "lags") -> DataFrame:
-    """AGG-17 + TOP-5 on packed series (FFT, O(T log T) per series, inside Arrow batches)."""
+    """AGG-17 + TOP-5 on packed series (FFT, O(T log T) per series, inside Arrow batches).
+
+    Pack with ``pack(..., max_len=MAX_FFT_SAMPLES)`` so every series is bounded.
+    """
     return packed.withColumn(out, top_lags_udf(F.col(v)))
 
 
+# A packed series is one row and one in-memory FFT: 2^22 doubles = 32 MiB.
+MAX_FFT_SAMPLES = 1 << 22
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col

@@ -406,9 +406,10 @@ def lead_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavequery.operators.signals import pack
+    from wavequery.operators.signals import MAX_FFT_SAMPLES, pack
 
-    return pack(S.signals_one(spark, sf_dir).select("record_id", "t", F.col("vc").cast("double").alias("v")), ["record_id"])
+    long = S.signals_one(spark, sf_dir).select("record_id", "t", F.col("vc").cast("double").alias("v"))
+    return pack(long, ["record_id"], max_len=MAX_FFT_SAMPLES)
 
 
 @register(

@@ -26,7 +26,7 @@ def series_features(samples: DataFrame, weights: DataFrame, patch_len: int = 16,
     combined = SG.combine_leads(samples, weights, record=record, lead=lead).withColumnRenamed("y", "v")
     combined = combined.withColumn("v", F.col("v").cast("double"))
     stats = SG.series_stats(combined, [record])
-    packed = SG.pack(combined, [record])
+    packed = SG.pack(combined, [record], max_len=SG.MAX_FFT_SAMPLES)
     lags = SG.autocorr_top_lags(packed).select(record, "lags")
     patches = SG.patches_packed(packed, patch_len, stride).select(record, "patches")
     return SeriesFeatures(stats.join(lags, record), patches)
