@@ -220,13 +220,16 @@ def patches_long(long: DataFrame, keys: list[str], patch_len: int, stride: int,
 # ----------------------------------------------------------------------------- lead combination (WIN-5, JN-8)
 
 def combine_leads(long: DataFrame, weights: DataFrame, record: str = "record_id", lead: str = "lead", t: str = "t",
-                  v: str = "v", taps: int = 3) -> DataFrame:
+                  v: str = "v", taps: int = 3, max_weight_rows: int = 100_000) -> DataFrame:
     """Circular ``taps``-tap stencil over leads: y[t] = sum_c sum_k w[c,k] * x_c[(t + k - taps//2) mod T_c].
 
     ``weights`` is a supplied (lead, k, w) table, dimension-sized (leads x taps),
     and is broadcast. Each sample contributes to ``taps`` outputs, so the work is
     an explode + one partial aggregation; a lead wraps around its own length T_c.
     """
+    n_weights = weights.count()  # the broadcast side is checked, not assumed, to be small
+    if n_weights > max_weight_rows:
+        raise ValueError(f"weights table has {n_weights} rows, above max_weight_rows={max_weight_rows}")
     half = taps // 2
     lens = long.groupBy(record, lead).agg(F.count(F.lit(1)).alias("_T"))
     x = long.join(lens, [record, lead])
