@@ -94,6 +94,10 @@ def test_score_matrix_and_batch_columns(spark):
     batched, pairs = training_batches(qa, batch_size=2, mode="file")
     m = Q.score_matrix(pairs).orderBy("batch_id").collect()
     assert len(m) == 2 and all(len(r.matrix) == 2 and all(len(row) == 2 for row in r.matrix) for r in m)
+    from wavequery.plans.training import training_score_matrices
+
+    m2 = training_score_matrices(qa, batch_size=2, mode="file").orderBy("batch_id").collect()
+    assert [r.matrix for r in m2] == [r.matrix for r in m]
     cols = Q.batch_columns(batched, ["seq", "answer"]).orderBy("batch_id").collect()
     assert cols[0].seq == [0, 1] and cols[1].seq == [2, 3]
 

@@ -2,10 +2,12 @@
 
 Plan shape of ``pair_scores`` (the centre of the reference):
 
-    batched -> group by batch_id: questions (set), columns (j, record)     one exchange, bounded by B
-            -> explode both -> probe (batch, q, j, record)                    ~ n * |Q_b| rows
-    probe  LEFT JOIN lookup ON (q, record)                                                  one shuffle on the probe key
-    rows(batch, i, q, answer)  JOIN probe ON (batch, q)                                     B^2 cells per batch, made last
+    batched -> group by batch_id: questions (set), columns (j, record)    one exchange, bounded by B
+            -> explode both -> probe (batch, q, j, record)                   ~ n * |Q_b| rows
+    probe LEFT JOIN lookup ON (q, record)                                    one shuffle on the probe key
+          -> group by (batch, q): looked-up answers as a vector over j      bounded by B
+    rows (batch, i, q, answer) JOIN vectors ON (batch, q)                    n rows
+          -> transform: row i's scores over j; posexplode -> B^2 cells       generated last, never shuffled
 
 The lookup is probed once per (batch, question, column), not once per cell, so
 the shuffled volume is ~B times smaller than probing the B^2 cells. The lookup
@@ -41,18 +43,19 @@ def assign_batches(numbered: Numbered, batch_size: int, drop_last: bool = True,
     return df.withColumn("batch_id", F.expr(f"{pos} div {batch_size}")).withColumn("idx", (F.col(pos) % batch_size).cast("int"))
 
 
-def pair_scores(
+def pair_score_rows(
     batched: DataFrame,
     lookup: DataFrame,
     question: str = "question",
     record: str = "record_id",
     answer: str = "answer",
 ) -> DataFrame:
-    """JN-1 + JN-2 + FLT-1/2 + PRJ-10 + SET-1: (batch_id, i, j, score, known).
+    """One row per (batch_id, i): ``scores`` and ``known`` arrays over the batch's columns j (in j order).
 
     Cell (i, j): if (question of row i, record of column j) is in the lookup, Dice of
     row i's answer and the looked-up answer (this overrides the diagonal); else 1 on
-    the diagonal, 0 elsewhere. ``known`` says whether the lookup had the key.
+    the diagonal, 0 elsewhere. The looked-up answers are gathered per (batch, question)
+    into a column vector (bounded by B), so rows are joined to vectors, not cells.
     """
     # one aggregation per batch (bounded: B columns, <= B questions) gives the probe set
     per_batch = batched.groupBy("batch_id").agg(
@@ -65,12 +68,42 @@ def pair_scores(
         .select("batch_id", "_q", "_c.j", "_c._rid")
     )
     lk = lookup.select(F.col(question).alias("_q"), F.col(record).alias("_rid"), F.col(answer).alias("_la"))
-    probed = probe.join(lk, ["_q", "_rid"], "left").select("batch_id", "_q", "j", "_la")
+    probed = probe.join(lk, ["_q", "_rid"], "left")
+    vectors = probed.groupBy("batch_id", "_q").agg(F.array_sort(F.collect_list(F.struct("j", "_la"))).alias("_v"))
     rows = batched.select("batch_id", F.col("idx").alias("i"), F.col(question).alias("_q"), F.col(answer).alias("_gt"))
-    cells = rows.join(probed, ["batch_id", "_q"])
-    known = F.col("_la").isNotNull()
-    score = F.when(known, dice("_gt", "_la")).when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return cells.select("batch_id", "i", "j", score.alias("score"), known.alias("known"))
+    joined = rows.join(vectors, ["batch_id", "_q"])
+
+    def cell(c):
+        known = c["_la"].isNotNull()
+        return F.when(known, dice(F.col("_gt"), c["_la"])).when(F.col("i") == c["j"], F.lit(1.0)).otherwise(F.lit(0.0))
+
+    return joined.select(
+        "batch_id", "i", F.transform("_v", cell).alias("scores"), F.transform("_v", lambda c: c["_la"].isNotNull()).alias("known")
+    )
+
+
+def pair_scores(
+    batched: DataFrame,
+    lookup: DataFrame,
+    question: str = "question",
+    record: str = "record_id",
+    answer: str = "answer",
+) -> DataFrame:
+    """JN-1 + JN-2 + FLT-1/2 + PRJ-10 + SET-1: (batch_id, i, j, score, known).
+
+    The B x B cells are generated last, by exploding each row's vector: no cell is shuffled.
+    """
+    rows = pair_score_rows(batched, lookup, question, record, answer)
+    cells = rows.select("batch_id", "i", F.posexplode(F.arrays_zip("scores", "known")).alias("j", "_x"))
+    return cells.select("batch_id", "i", F.col("j").cast("int").alias("j"), F.col("_x.scores").alias("score"),
+                        F.col("_x.known").alias("known"))
+
+
+def matrix_from_rows(rows: DataFrame) -> DataFrame:
+    """AGG-15 from row vectors: (batch_id, matrix) with rows in i order (B rows per batch)."""
+    return rows.groupBy("batch_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "scores"))), lambda s: s["scores"]).alias("matrix")
+    )
 
 
 def score_matrix(pairs: DataFrame) -> DataFrame:

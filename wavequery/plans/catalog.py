@@ -279,10 +279,9 @@ select batch_id, string_agg(row_text, ';' order by i) as matrix from r group by
     ),
 )
 def pair_score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavequery.operators.qa import score_matrix
+    from wavequery.plans.training import training_score_matrices
 
-    _, pairs = _batched(spark, sf_dir)
-    m = score_matrix(pairs)
+    m = training_score_matrices(S.qa(spark, sf_dir), batch_size=32, mode="grouped", seed=42, drop_last=True)
     text = F.array_join(
         F.transform("matrix", lambda r: F.array_join(F.transform(r, lambda x: F.format_string("%.6f", x)), ",")), ";"
     )

@@ -54,9 +54,21 @@ def prepare(qa: DataFrame, mode: str = "grouped", seed: int = DEFAULT_SEED, num_
     return Prepared(limited.df, limited.total, lookup)
 
 
+def batches_and_lookup(qa: DataFrame, batch_size: int = 32, mode: str = "grouped", seed: int = DEFAULT_SEED,
+                       num_data: int | None = None, drop_last: bool = True) -> tuple[DataFrame, DataFrame]:
+    prep = prepare(qa, mode, seed, num_data)
+    return Q.assign_batches(O.Numbered(prep.ordered, prep.total), batch_size, drop_last), prep.lookup
+
+
 def training_batches(qa: DataFrame, batch_size: int = 32, mode: str = "grouped", seed: int = DEFAULT_SEED,
                      num_data: int | None = None, drop_last: bool = True) -> tuple[DataFrame, DataFrame]:
     """Returns (batched rows, pair scores)."""
-    prep = prepare(qa, mode, seed, num_data)
-    batched = Q.assign_batches(O.Numbered(prep.ordered, prep.total), batch_size, drop_last)
-    return batched, Q.pair_scores(batched, prep.lookup)
+    batched, lookup = batches_and_lookup(qa, batch_size, mode, seed, num_data, drop_last)
+    return batched, Q.pair_scores(batched, lookup)
+
+
+def training_score_matrices(qa: DataFrame, batch_size: int = 32, mode: str = "grouped", seed: int = DEFAULT_SEED,
+                            num_data: int | None = None, drop_last: bool = True) -> DataFrame:
+    """(batch_id, matrix): each batch's B x B agreement matrix, built from row vectors."""
+    batched, lookup = batches_and_lookup(qa, batch_size, mode, seed, num_data, drop_last)
+    return Q.matrix_from_rows(Q.pair_score_rows(batched, lookup))
