@@ -107,3 +107,11 @@ def test_prepare_builds_lookup_from_whole_input_before_limit(spark):
     prep = prepare(qa, mode="file", num_data=3)
     assert prep.total == 3
     assert prep.lookup.count() == 10
+
+
+def test_batch_hook_and_random_access(spark):
+    qa = _qa(spark, [(i, "q", i, ["a"]) for i in range(6)])
+    batched, _ = training_batches(qa, batch_size=3, mode="file")
+    hooked = Q.collate_batches(batched, ["seq"], hook=lambda d: d.withColumn("n", F.size("seq")))
+    assert sorted((r.batch_id, r.n) for r in hooked.collect()) == [(0, 3), (1, 3)]
+    assert [r.seq for r in Q.example_at(batched, 4).collect()] == [4]

@@ -139,3 +139,11 @@ def test_pack_length_bound(spark):
         raise AssertionError("expected a failure")
     except ValueError as e:
         assert "max_len" in str(e)
+
+
+def test_first_differences_sum_to_trend(spark):
+    df = _long(spark, {1: [3, 1, 4, 1, 5]})
+    d = SG.first_differences(df, ["record_id"]).orderBy("t").collect()
+    assert d[0].dv is None and [r.dv for r in d[1:]] == [-2.0, 3.0, -3.0, 4.0]
+    trend = SG.series_stats(df, ["record_id"]).collect()[0].trend
+    assert sum(r.dv for r in d[1:]) == trend == 2.0

@@ -117,3 +117,8 @@ def test_nan_loss_is_not_an_improvement(spark):
     assert got == [(True, 0), (False, 1), (True, 0)]
     fold = [(r.improved, r.counter) for r in R.early_stopping_fold(df, patience=5).orderBy("epoch").collect()]
     assert fold == got
+
+
+def test_flatten_matrix(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],)], "m array<array<double>>")
+    assert V.flatten_matrix(df, "m").collect()[0].vec == [1.0, 2.0, 3.0, 4.0]

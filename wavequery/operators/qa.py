@@ -124,3 +124,15 @@ def batch_columns(batched: DataFrame, cols: list[str]) -> DataFrame:
 
 def _field(name: str):
     return lambda s: s[name]
+
+
+def collate_batches(batched: DataFrame, cols: list[str], hook=None) -> DataFrame:
+    """UDF-1: the batch hook. Rows -> one row per batch (AGG-16), then ``hook(df) -> df``
+    (``DataFrame.transform``), so a user's collate step stays a Spark plan."""
+    packed = batch_columns(batched, cols)
+    return packed.transform(hook) if hook is not None else packed
+
+
+def example_at(ordered: DataFrame, k: int, pos: str = "pos") -> DataFrame:
+    """UDF-2: random access by position (a filter on the numbered rows; no collect)."""
+    return ordered.where(F.col(pos) == k)
