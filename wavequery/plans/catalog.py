@@ -661,22 +661,26 @@ def early_stopping_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         ["run_metrics"],
         """select 'train' as split, event_type as run_id, cast(date_diff('hour', timestamp '2024-01-01', date_trunc('hour', ts)) as bigint) as step,
-       round(avg(value), 6) as loss
+       cast(sum(cast(round(value * 100) as bigint)) as double) / count(*) as loss
 from events group by 2, 3
 union all
-select 'valid', run_id, epoch * 24 + 23, round(val_loss / 100, 6) from run_metrics""",
+select 'valid', run_id, epoch * 24 + 23, val_loss from run_metrics""",
     ),
 )
 def loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train history: mean value per (type, hour); validation history: run_metrics at the end of each day."""
+    """Train history: mean value in cents per (type, hour); validation history: run_metrics at the end of each day.
+
+    Both are exact rationals (integer sums over counts), so no rounding is needed to compare engines."""
     from wavequery.operators.runs import loss_history as lh
 
     ev = S.table(spark, sf_dir, "events")
-    step = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01 00:00:00"))) / 3600).cast("bigint")
-    train = ev.groupBy(F.col("event_type").alias("run_id"), step.alias("step")).agg(F.round(F.avg("value"), 6).alias("loss"))
-    val = S.run_metrics(spark, sf_dir).select(
-        "run_id", (F.col("epoch") * 24 + 23).alias("step"), F.round(F.col("val_loss") / 100, 6).alias("loss")
+    # hours since 2024-01-01 from the date and the hour of day (no session time zone involved)
+    step = (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("bigint")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    train = ev.groupBy(F.col("event_type").alias("run_id"), step.alias("step")).agg(
+        (F.sum(cents).cast("double") / F.count(F.lit(1))).alias("loss")
     )
+    val = S.run_metrics(spark, sf_dir).select("run_id", (F.col("epoch") * 24 + 23).alias("step"), F.col("val_loss").alias("loss"))
     return lh(train, val)
 
 
