@@ -587,7 +587,9 @@ from lens""",
     ),
 )
 def sequence_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavequery.operators.sequences import assemble, collate, generation_input, target_count
+    from wavequery.operators.sequences import (
+        assemble, collate, drop_begin, generation_input, series_positions, target_count, truncate,
+    )
 
     t = S.tokens(spark, sf_dir)
     seg = t.select(
@@ -598,8 +600,9 @@ def sequence_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit(1), F.lit(2)).alias("blank"),
     )
     a = assemble(seg, "prefix", "suffix", "answer", 4)
-    ev = assemble(a.select("batch_id", "turn", "prefix", "suffix", F.col("blank").alias("answer")), "prefix", "suffix", "answer", 4)
-    a = a.join(ev.select("batch_id", "turn", F.size(generation_input("input_ids")).alias("gen_len")), ["batch_id", "turn"])
+    # evaluation mode (SEQ-6): same segments with a blank answer, last position dropped
+    eval_ids = F.concat(truncate("prefix"), series_positions(4), drop_begin(truncate("suffix")), drop_begin(truncate("blank")))
+    a = a.withColumn("gen_len", F.size(generation_input(eval_ids)))
     c = collate(a)
     return c.select(
         "batch_id", "turn", "seq_len", "max_len", "truncated", target_count("labels").alias("n_targets"),
