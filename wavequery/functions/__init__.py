@@ -2,11 +2,13 @@
 
 from wavequery.functions.text import (
     answer_text,
+    example_json,
     first_record_id,
     fixed4,
     fixed4_exact,
     int_list_text,
     pct_text,
+    parse_example,
     parse_prediction,
     strip_ws,
     trend_word,
@@ -16,11 +18,13 @@ from wavequery.functions.arrays import l2_norm, normalize, dot, pad_left, replic
 
 __all__ = [
     "answer_text",
+    "example_json",
     "first_record_id",
     "fixed4",
     "fixed4_exact",
     "int_list_text",
     "pct_text",
+    "parse_example",
     "parse_prediction",
     "strip_ws",
     "trend_word",

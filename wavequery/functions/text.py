@@ -22,6 +22,16 @@ def first_record_id(ids="ecg_id") -> Column:
     return _c(ids)[0]
 
 
+def example_json(*cols) -> Column:
+    """PRJ-3: an example row as compact JSON text (what travels with a sample)."""
+    return F.to_json(F.struct(*cols))
+
+
+def parse_example(text, schema) -> Column:
+    """PRJ-3: JSON text back to a struct with a fixed schema (never ``eval``)."""
+    return F.from_json(_c(text), schema)
+
+
 def strip_ws(text) -> Column:
     """Strip leading/trailing whitespace of every kind (not only spaces, unlike ``trim``)."""
     return F.regexp_replace(_c(text), r"^\s+|\s+$", "")

@@ -164,12 +164,13 @@ from qa""",
     ),
 )
 def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavequery.functions import answer_text as at, first_record_id
+    from wavequery.functions import answer_text as at, example_json, first_record_id, parse_example
 
     qa = S.qa(spark, sf_dir).withColumn("ecg_id", F.array("record_id"))
     # PRJ-3: example row -> JSON text -> row (what travels with a sample), never eval
-    as_json = qa.select(F.to_json(F.struct("seq", "question", "answer", "ecg_id")).alias("example"))
-    back = as_json.select(F.from_json("example", "seq bigint, question string, answer array<string>, ecg_id array<bigint>").alias("e")).select("e.*")
+    as_json = qa.select(example_json("seq", "question", "answer", "ecg_id").alias("example"))
+    schema = "seq bigint, question string, answer array<string>, ecg_id array<bigint>"
+    back = as_json.select(parse_example("example", schema).alias("e")).select("e.*")
     return back.select(
         "seq", "question", at("answer").alias("answer_text"), first_record_id("ecg_id").alias("first_record_id"),
         F.size("answer").alias("n_answers"),
