@@ -115,3 +115,16 @@ def test_batch_hook_and_random_access(spark):
     hooked = Q.collate_batches(batched, ["seq"], hook=lambda d: d.withColumn("n", F.size("seq")))
     assert sorted((r.batch_id, r.n) for r in hooked.collect()) == [(0, 3), (1, 3)]
     assert [r.seq for r in Q.example_at(batched, 4).collect()] == [4]
+
+
+def test_series_index_distributed_equals_window_on_a_hot_series(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows_ = [(0 if rnd.random() < 0.6 else rnd.randint(1, 5), rnd.randint(0, 50), i) for i in range(400)]
+    df = spark.createDataFrame(rows_, "sid long, ts long, eid long")
+    w = {(r.sid, r.eid): (r.t, r.n) for r in O.series_index(df, ["sid"], ["ts", "eid"], length="n", method="window").collect()}
+    d = O.series_index(df, ["sid"], ["ts", "eid"], length="n", method="distributed", num_partitions=6)
+    assert {(r.sid, r.eid): (r.t, r.n) for r in d.collect()} == w
+    assert O.choose_method(df, ["sid"], "auto", limit=10) == "distributed"
+    assert O.choose_method(df, ["sid"], "auto") == "window"

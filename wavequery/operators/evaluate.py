@@ -113,9 +113,12 @@ def point_adjust_window(
 
 def point_adjust(
     df: DataFrame, series: str = "series_id", t: str = "t", gt: str = "gt", pred: str = "pred", fill_first: bool = False,
-    num_partitions: int | None = None,
+    num_partitions: int | None = None, method: str = "auto",
 ) -> DataFrame:
-    """WIN-6 without a window per series: a single huge series is split over many tasks.
+    """WIN-6. ``auto`` uses the window form when the longest series fits one task
+    (``ordering.WINDOW_GROUP_LIMIT``) and the distributed form otherwise; both are exact.
+
+    Distributed form (no window per series; a huge series is split over many tasks):
 
     1. Range-partition on (series, t), sort inside partitions, checkpoint: each
        partition is a contiguous, balanced slice of the global order.
@@ -128,8 +131,11 @@ def point_adjust(
     4. Whether a run was hit is a partial aggregation on (series, run key), joined
        back on that key (unique on the aggregate side; AQE splits a hot run).
     """
+    from wavequery.operators.ordering import choose_method
     from wavequery.operators.runs_carry import carry_runs
 
+    if num_partitions is None and choose_method(df, [series], method) == "window":
+        return point_adjust_window(df, series, t, gt, pred, fill_first)
     keyed = carry_runs(df, series, t, gt, num_partitions)
     hits = keyed.where(F.col(gt) == 1).groupBy(series, "_run").agg(F.max(pred).alias("_hit"))
     out = keyed.join(hits, [series, "_run"], "left")

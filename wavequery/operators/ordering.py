@@ -99,3 +99,46 @@ def take_first(numbered: Numbered, num_data: int | None) -> Numbered:
     if not num_data or num_data >= numbered.total:
         return numbered
     return Numbered(numbered.df.where(F.col("pos") < num_data), num_data)
+
+
+# Largest group one window task is allowed to hold; larger groups take the distributed path.
+WINDOW_GROUP_LIMIT = 5_000_000
+
+
+def longest_group(df: DataFrame, keys: list[str]) -> int:
+    """Size of the largest group (a partial aggregation; one number reaches the driver)."""
+    return df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
+
+
+def choose_method(df: DataFrame, keys: list[str], method: str, limit: int = WINDOW_GROUP_LIMIT) -> str:
+    """``auto``: a window per group when the largest group fits one task, else the distributed form.
+    Both are exact; the limit only picks the strategy."""
+    if method != "auto":
+        return method
+    return "window" if longest_group(df, keys) <= limit else "distributed"
+
+
+def series_index(df: DataFrame, series: list[str], order: list[Column | str], out: str = "t",
+                 length: str | None = None, num_partitions: int | None = None, method: str = "auto",
+                 max_window_rows: int = WINDOW_GROUP_LIMIT) -> DataFrame:
+    """0-based position of each row inside its series, in ``order`` (plus the series length).
+
+    ``window``: ``row_number() over (partition by series order by ...) - 1`` (one task per series).
+    ``distributed``: rows are numbered globally in (series, order) (range partitions split a
+    huge series), and each series' first position and length are partial aggregates joined
+    back on the series key (unique on that side). ``auto`` picks by the largest series.
+    """
+    from pyspark.sql import Window
+
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    if choose_method(df, series, method, max_window_rows) == "window":
+        w = Window.partitionBy(*series).orderBy(*order_cols)
+        out_df = df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+        if length:
+            out_df = out_df.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(*series)))
+        return out_df
+    keys = [F.col(c) for c in series] + order_cols
+    numbered = with_positions(df, keys, pos="_gpos", num_partitions=num_partitions).df
+    aggs = [F.min("_gpos").alias("_start")] + ([F.count(F.lit(1)).alias(length)] if length else [])
+    bounds = numbered.groupBy(*series).agg(*aggs)
+    return numbered.join(bounds, series).withColumn(out, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start")

@@ -405,10 +405,11 @@ def lead_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", F.col("t").cast("bigint").alias("t"), F.col("y").cast("bigint").alias("y"))
 
 
-def _packed_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed_one(spark: SparkSession, sf_dir: str, sig: DataFrame | None = None) -> DataFrame:
     from wavequery.operators.signals import MAX_FFT_SAMPLES, pack
 
-    long = S.signals_one(spark, sf_dir).select("record_id", "t", F.col("vc").cast("double").alias("v"))
+    sig = sig if sig is not None else S.signals_one(spark, sf_dir)
+    long = sig.select("record_id", "t", F.col("vc").cast("double").alias("v"))
     return pack(long, ["record_id"], max_len=MAX_FFT_SAMPLES)
 
 
@@ -448,8 +449,9 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavequery.operators.prompts import build_prompts
     from wavequery.operators.signals import autocorr_top_lags as atl, series_stats as st
 
-    stats = st(S.signals_one(spark, sf_dir), ["record_id"])
-    lags = atl(_packed_one(spark, sf_dir)).select("record_id", "lags")
+    sig = S.signals_one(spark, sf_dir)
+    stats = st(sig, ["record_id"])
+    lags = atl(_packed_one(spark, sf_dir, sig)).select("record_id", "lags")
     features = stats.join(lags, "record_id")
     out = build_prompts(S.qa(spark, sf_dir), features)
     return out.select("seq", "record_id", "prompt_prefix", "prompt_suffix", "answer_text")

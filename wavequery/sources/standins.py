@@ -2,14 +2,18 @@
 
 The reference's own inputs (annotation JSON, waveforms, predictions, run logs)
 are not shipped at scale, so each is re-expressed over the driver tables. Every
-function returns a lazy DataFrame; nothing is collected.
+function returns a lazy DataFrame. The per-series time index comes from
+``ordering.series_index``: a window per series while the longest series fits a
+task, the distributed numbering otherwise (one small aggregation decides).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavequery.operators.ordering import series_index
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,11 +67,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form multi-lead signal: (record_id, lead, t, v, vc); own time index per lead."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    ev = series_index(ev, ["user_id", "event_type"], ["ts", "event_id"])
+    return ev.select(
         F.col("user_id").alias("record_id"),
         F.col("event_type").alias("lead"),
-        (F.row_number().over(w) - 1).cast("bigint").alias("t"),
+        "t",
         F.col("value").alias("v"),
         _cents(F.col("value")).alias("vc"),
     )
@@ -75,22 +80,20 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form single-channel signal: (record_id, t, v, vc, n)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("record_id"),
-        (F.row_number().over(w) - 1).cast("bigint").alias("t"),
-        F.col("value").alias("v"),
-        _cents(F.col("value")).alias("vc"),
-        F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n"),
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    ev = series_index(ev, ["user_id"], ["ts", "event_id"], length="n")
+    return ev.select(
+        F.col("user_id").alias("record_id"), "t", F.col("value").alias("v"), _cents(F.col("value")).alias("vc"), "n"
     )
 
 
 def binary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered 0/1 ground truth and prediction per series: (series_id, t, gt, pred)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    ev = series_index(ev, ["user_id"], ["ts", "event_id"])
+    return ev.select(
         F.col("user_id").alias("series_id"),
-        (F.row_number().over(w) - 1).cast("bigint").alias("t"),
+        "t",
         (F.col("value") > 20).cast("int").alias("gt"),
         (F.col("value") > 45).cast("int").alias("pred"),
     )
