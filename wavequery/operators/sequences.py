@@ -3,13 +3,13 @@
 Per sample: prefix + series positions + suffix + answer, each segment already
 starting with the begin token; the begin token is kept on the prefix and dropped
 from suffix and answer. Labels mark every non-answer position with -100. The
-batch is left-padded to its longest sequence; the batch max is a window over
-``batch_id`` (a batch has B rows, so the window is bounded).
+batch is left-padded to its longest sequence; the batch max is a partial
+aggregate joined back on ``batch_id``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavequery.functions import pad_left
@@ -49,9 +49,13 @@ def assemble(df: DataFrame, prefix: str, suffix: str, answer: str, n_series, max
 
 
 def collate(df: DataFrame, batch: str = "batch_id", pad_id: int = 0) -> DataFrame:
-    """WIN-7 + SEQ-4: left-pad ids (pad id), labels (-100) and the attention mask (0/1) to the batch max."""
-    mx = F.max("seq_len").over(Window.partitionBy(batch))
-    df = df.withColumn("max_len", mx)
+    """WIN-7 + SEQ-4: left-pad ids (pad id), labels (-100) and the attention mask (0/1) to the batch max.
+
+    The batch max is a partial aggregate joined back on the batch key, so a batch of any
+    size (e.g. a whole conversation) is never gathered into one task.
+    """
+    mx = df.groupBy(batch).agg(F.max("seq_len").alias("max_len"))
+    df = df.join(mx, batch)
     n_pad = F.col("max_len") - F.col("seq_len")
     return df.select(
         "*",
