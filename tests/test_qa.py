@@ -128,3 +128,11 @@ def test_series_index_distributed_equals_window_on_a_hot_series(spark):
     assert {(r.sid, r.eid): (r.t, r.n) for r in d.collect()} == w
     assert O.choose_method(df, ["sid"], "auto", limit=10) == "distributed"
     assert O.choose_method(df, ["sid"], "auto") == "window"
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=4), st.lists(st.sampled_from("abc"), max_size=4))
+def test_dice_is_symmetric(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "x array<string>, y array<string>")
+    r = df.select(dice("x", "y").alias("xy"), dice("y", "x").alias("yx")).collect()[0]
+    assert r.xy == r.yx

@@ -49,6 +49,8 @@ def test_similarity_mse_and_mean_of_batches(spark):
     got = {r.batch_id: r.sim_mse for r in per.collect()}
     assert got == {0: 0.125, 1: 1.0}
     assert V.mean_of_batches(per, "sim_mse").collect()[0].mean_sim_mse == 0.5625  # unweighted by batch size
+    rolled = {(r.batch_id, r.level): (r.n_cells, r.sim_mse) for r in V.with_mean_of_batches(per, "sim_mse", "n_cells").collect()}
+    assert rolled == {(0, 0): (2, 0.125), (1, 0): (1, 1.0), (None, 1): (2, 0.5625)}
     assert spark.range(1).select(V.combined_loss(F.lit(2.0), F.lit(4.0)).alias("x")).collect()[0].x == 3.0
 
 

@@ -61,6 +61,20 @@ def mean_of_batches(per_batch: DataFrame, loss: str) -> DataFrame:
     return per_batch.agg(F.avg(loss).alias(f"mean_{loss}"), F.count(F.lit(1)).alias("n_batches"))
 
 
+def with_mean_of_batches(per_batch: DataFrame, loss: str, count: str, batch: str = "batch_id") -> DataFrame:
+    """Per-batch rows (level 0) plus the AGG-13 mean over batches (level 1, batch null) in one rollup.
+
+    ``count`` is the batch's cell count on level 0 and the number of batches on level 1.
+    One aggregation over the per-batch table, so the plan that produced it runs once.
+    """
+    gid = F.grouping_id()
+    return per_batch.rollup(batch).agg(
+        gid.cast("int").alias("level"),
+        F.when(gid == 0, F.sum(count)).otherwise(F.count(F.lit(1))).alias(count),
+        F.avg(loss).alias(loss),
+    )
+
+
 def mean_prototypes(df: DataFrame, group: str = "label", col: str = "embedding") -> DataFrame:
     """Prototype per group: the dimension-wise mean vector (posexplode + partial aggregate + repack per group)."""
     long = df.select(group, F.posexplode(col).alias("d", "x"))

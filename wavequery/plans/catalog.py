@@ -508,17 +508,12 @@ select null, 1, count(*), round(avg(sim_mse), 6) from per_batch""",
     ),
 )
 def batch_similarity_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavequery.operators.vectors import batch_cosine as bc, mean_of_batches, similarity_mse
+    from wavequery.operators.vectors import batch_cosine as bc, similarity_mse, with_mean_of_batches
 
     _, pairs = _batched(spark, sf_dir)
     per_batch = similarity_mse(bc(S.vectors(spark, sf_dir)), pairs)
-    overall = mean_of_batches(per_batch, "sim_mse")
-    return per_batch.select(
-        "batch_id", F.lit(0).alias("level"), "n_cells", F.round("sim_mse", 6).alias("sim_mse")
-    ).unionByName(
-        overall.select(F.lit(None).cast("bigint").alias("batch_id"), F.lit(1).alias("level"),
-                       F.col("n_batches").alias("n_cells"), F.round("mean_sim_mse", 6).alias("sim_mse"))
-    )
+    out = with_mean_of_batches(per_batch, "sim_mse", "n_cells")
+    return out.select("batch_id", "level", "n_cells", F.round("sim_mse", 6).alias("sim_mse"))
 
 
 @register(
