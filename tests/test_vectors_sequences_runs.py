@@ -124,3 +124,9 @@ def test_nan_loss_is_not_an_improvement(spark):
 def test_flatten_matrix(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]],)], "m array<array<double>>")
     assert V.flatten_matrix(df, "m").collect()[0].vec == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_fold_history_bound(spark):
+    df = _metrics(spark, [3, 2, 1])
+    with pytest.raises(ValueError):
+        R.early_stopping_fold(df, max_history=2)

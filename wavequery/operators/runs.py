@@ -37,9 +37,24 @@ def early_stopping(df: DataFrame, run: str = "run_id", epoch: str = "epoch", los
     return x.drop("_rn")
 
 
+# Longest history the ordered fold packs into one row (the fold is sequential per run).
+MAX_FOLD_HISTORY = 1_000_000
+
+
 def early_stopping_fold(df: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "val_loss",
-                        patience: int = DEFAULT_PATIENCE, delta: float = 0.0) -> DataFrame:
-    """WIN-8, any delta: ordered fold per run; one output row per (run, epoch)."""
+                        patience: int = DEFAULT_PATIENCE, delta: float = 0.0,
+                        max_history: int = MAX_FOLD_HISTORY) -> DataFrame:
+    """WIN-8, any delta: ordered fold per run; one output row per (run, epoch).
+
+    The fold is sequential within a run, so a run's history is packed into one row; its
+    length is checked first (one small aggregation) and a longer history fails loudly
+    (at delta = 0 ``early_stopping`` handles any length with windows).
+    """
+    from wavequery.operators.ordering import longest_group
+
+    longest = longest_group(df, [run])
+    if longest > max_history:
+        raise ValueError(f"a run has {longest} epochs, above max_history={max_history}")
     hist = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), F.col(loss).alias("l")))).alias("_h"))
     init = F.struct(
         F.lit(None).cast("double").alias("best"),
