@@ -27,3 +27,15 @@ def test_single_series_is_spread_for_point_adjustment(spark):
     keyed = carry_runs(df, "series_id", "t", "gt", num_partitions=8)
     sizes = _partition_sizes(keyed)
     assert len(sizes) >= 6 and max(sizes) <= 2 * (4000 / 8)
+
+
+def test_empty_inputs(spark):
+    from wavequery.operators import evaluate as EV
+    from wavequery.plans.training import training_batches
+
+    qa = spark.createDataFrame([], "seq long, question string, record_id long, answer array<string>")
+    batched, pairs = training_batches(qa, batch_size=4)
+    assert batched.count() == 0 and pairs.count() == 0
+    lab = spark.createDataFrame([], "series_id long, t long, gt int, pred int")
+    assert EV.point_adjust(lab, num_partitions=3).count() == 0
+    assert O.series_index(spark.createDataFrame([], "s long, ts long"), ["s"], ["ts"], method="distributed").count() == 0
