@@ -1,7 +1,6 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from wavequery.functions import parse_prediction, set_equal
 from wavequery.operators import evaluate as EV

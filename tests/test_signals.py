@@ -3,7 +3,6 @@ import math
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from wavequery.functions import fixed4, int_list_text, trend_word
 from wavequery.operators import signals as SG

@@ -3,7 +3,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from wavequery.operators.runs import early_stopping
 from wavequery.sources import annotations as A

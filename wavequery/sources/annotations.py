@@ -23,8 +23,8 @@ def read_annotations(spark: SparkSession, path: str, split: str | None = None) -
 
     A multi-line JSON file is read by one task (not splittable); convert it to
     Parquet once with ``write_prepared`` and read that afterwards. ``seq`` is the
-    row's position in the file (WIN-9), taken from the ordering key
-    (template_id, question_id, sample_id) when ``seq_from_keys`` is used by the caller.
+    row's position in the file; ``file_positions`` numbers rows by
+    (template_id, question_id, sample_id) instead (WIN-9).
     """
     df = spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", True).json(path)
     # position in file: a single-file multi-line read is one partition, so the
