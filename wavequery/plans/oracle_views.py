@@ -51,6 +51,7 @@ tokens as (
   select conv_id as batch_id, turn, role, regexp_split_to_array(text, '\\s+') as tok from conversations)""",
 }
 
+
 def with_views(names: list[str], body: str) -> str:
     """Prefix ``body`` with the CTEs for ``names`` (in the given order)."""
     ctes = ",".join(VIEWS[n] for n in names)
