@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -116,16 +117,22 @@ def test_distributed_point_adjust_equals_window_form(spark, rows_, parts, fill_f
     assert a == b
 
 
-def test_distributed_point_adjust_carries_across_arrow_batches(spark):
+@pytest.mark.parametrize("shift", [0, -37, 1_700_000_000_000_000_000])
+def test_point_adjust_at_any_time_scale_and_with_null_series(spark, shift):
     import random
 
     rnd = random.Random(5)
-    data = [(sid, t, rnd.randint(0, 1) if rnd.random() < 0.8 else 1, rnd.randint(0, 1)) for sid in (1, 2) for t in range(200)]
+    data = [(sid, t + shift, rnd.randint(0, 1) if rnd.random() < 0.8 else 1, rnd.randint(0, 1)) for sid in (1, 2, None) for t in range(200)]
     df = spark.createDataFrame(data, "series_id long, t long, gt int, pred int")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        a = {(r.series_id, r.t): r.adjusted for r in EV.point_adjust(df, num_partitions=3).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     b = {(r.series_id, r.t): r.adjusted for r in EV.point_adjust_window(df).collect()}
-    assert a == b
+    small = EV.point_adjust(df, num_partitions=3, chunk=16)
+    for out in (small, small.coalesce(1), df.limit(0).withColumn("adjusted", F.lit(0)).union(small)):
+        assert {(r.series_id, r.t): r.adjusted for r in out.collect()} == b
+
+
+def test_unscored_rows_count_nowhere(spark):
+    df = spark.createDataFrame([("q", "a", True), ("q", "a", None), ("r", "a", None)], "question_type string, attribute_type string, correct boolean")
+    got = {r.question_type: (r.correct, r.total, r.acc_pct) for r in EV.accuracy_by(df, "question_type", keep_empty=True).collect()}
+    assert got == {"q": (1, 1, 100.0), "r": (0, 0, None)}
+    top = EV.accuracy_detail(df).where("level = 3").collect()[0]
+    assert (top.correct, top.total) == (1, 1)

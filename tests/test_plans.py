@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from wavequery.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-# queries whose operator is Python by design (FFT lags, dense attention, carried run state)
-ALLOWED_PYTHON = {"autocorr_top_lags", "prompt_text", "prototype_blend", "point_adjust"}
+# queries whose operator is Python by design (FFT lags, dense attention, sequential fold)
+ALLOWED_PYTHON = {"autocorr_top_lags", "prompt_text", "prototype_blend", "early_stopping_delta"}
 # queries that run a stream or a sink before returning (their result is a scan of written files)
 MATERIALISED = {"stream_early_stop", "stream_accuracy", "annotation_roundtrip"}
 
@@ -16,7 +17,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - ALLOWED_PYTHON - MATERIALISED))
+@pytest.mark.parametrize("key", sorted(set(catalog.queries()) - ALLOWED_PYTHON - MATERIALISED))
 def test_builtin_queries_have_no_python_nodes(spark, key):
     plan = _plan(E.queries()[key](spark, SF))
     assert not any(node in plan for node in PYTHON_NODES), plan

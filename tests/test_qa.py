@@ -123,11 +123,15 @@ def test_series_index_distributed_equals_window_on_a_hot_series(spark):
     rnd = random.Random(3)
     rows_ = [(0 if rnd.random() < 0.6 else rnd.randint(1, 5), rnd.randint(0, 50), i) for i in range(400)]
     df = spark.createDataFrame(rows_, "sid long, ts long, eid long")
-    w = {(r.sid, r.eid): (r.t, r.n) for r in O.series_index(df, ["sid"], ["ts", "eid"], length="n", method="window").collect()}
-    d = O.series_index(df, ["sid"], ["ts", "eid"], length="n", method="distributed", num_partitions=6)
+    from pyspark.sql import Window
+
+    per = Window.partitionBy("sid")
+    byw = df.withColumn("t", F.row_number().over(per.orderBy("ts", "eid")) - 1).withColumn("n", F.count("*").over(per))
+    w = {(r.sid, r.eid): (r.t, r.n) for r in byw.collect()}
+    d = O.series_index(df, ["sid"], ["ts", "eid"], length="n", num_partitions=6)
     assert {(r.sid, r.eid): (r.t, r.n) for r in d.collect()} == w
-    assert O.choose_method(df, ["sid"], "auto", limit=10) == "distributed"
-    assert O.choose_method(df, ["sid"], "auto") == "window"
+    nulls = spark.createDataFrame([(None, 2, 1), (None, 1, 2), (3, 1, 3)], "sid long, ts long, eid long")
+    assert sorted((r.eid, r.t) for r in O.series_index(nulls, ["sid"], ["ts", "eid"]).collect()) == [(1, 1), (2, 0), (3, 0)]
 
 
 @settings(max_examples=10, deadline=None)

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from wavequery.operators import ordering as O
-from wavequery.operators.runs_carry import carry_runs
 
 
 def _partition_sizes(df):
@@ -24,8 +23,7 @@ def test_hot_question_is_split_by_the_numbering(spark):
 def test_single_series_is_spread_for_point_adjustment(spark):
     df = spark.createDataFrame([(7, t, t % 5 != 0, t % 7 == 0) for t in range(4000)], "series_id long, t long, gt boolean, pred boolean")
     df = df.select("series_id", "t", F.col("gt").cast("int").alias("gt"), F.col("pred").cast("int").alias("pred"))
-    keyed = carry_runs(df, "series_id", "t", "gt", num_partitions=8)
-    sizes = _partition_sizes(keyed)
+    sizes = _partition_sizes(O.with_positions(df, ["series_id", "t"], num_partitions=8).df)
     assert len(sizes) >= 6 and max(sizes) <= 2 * (4000 / 8)
 
 
@@ -38,4 +36,4 @@ def test_empty_inputs(spark):
     assert batched.count() == 0 and pairs.count() == 0
     lab = spark.createDataFrame([], "series_id long, t long, gt int, pred int")
     assert EV.point_adjust(lab, num_partitions=3).count() == 0
-    assert O.series_index(spark.createDataFrame([], "s long, ts long"), ["s"], ["ts"], method="distributed").count() == 0
+    assert O.series_index(spark.createDataFrame([], "s long, ts long"), ["s"], ["ts"]).count() == 0

@@ -89,6 +89,9 @@ def test_prepared_sink_is_keyed_by_split_and_reused(spark):
     a = spark.createDataFrame([(1,)], "x int")
     train = A.prepared_path(root, "train", 42, True, "src")
     valid = A.prepared_path(root, "valid", 42, True, "src")
+    others = [A.prepared_path(root, "train", 42, True, "src", mode="file"), A.prepared_path(root, "train", 42, True, "src", num_data=3)]
+    assert len({train, valid, *others}) == 4
+    assert A.prepared_path(root, "train", 42, True, "a/b") != A.prepared_path(root, "train", 42, True, "a_b")
     assert train != valid
     A.write_prepared(a, a, train)
     rows, _ = A.write_prepared(spark.createDataFrame([(2,)], "x int"), a, train)  # both exist: reused

@@ -126,7 +126,48 @@ def test_flatten_matrix(spark):
     assert V.flatten_matrix(df, "m").collect()[0].vec == [1.0, 2.0, 3.0, 4.0]
 
 
-def test_fold_history_bound(spark):
-    df = _metrics(spark, [3, 2, 1])
-    with pytest.raises(ValueError):
-        R.early_stopping_fold(df, max_history=2)
+def test_fold_is_linear_in_the_history(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(n).selectExpr("1 as run_id", "id as epoch", "cast(id % 7 as double) as val_loss")
+        t0 = time.perf_counter()
+        assert R.early_stopping_fold(df, delta=0.5).where("stop").count() > 0
+        return time.perf_counter() - t0
+
+    seconds(1000)
+    assert seconds(200_000) < 20
+
+
+def test_heads_must_divide_the_dimension(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0], 0)], "vec_id long, embedding array<double>, label int")
+    protos = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "label int, proto array<double>")
+    with pytest.raises(ValueError, match="divide"):
+        V.prototype_blend(df, protos, n_heads=2)
+
+
+def test_no_aggregate_inside_an_element_loop(spark):
+    import time
+
+    from wavequery.operators import signals as SG
+
+    for make in (lambda d: V.normalize_vectors(d, "v", "u"), lambda d: SG.zscore_packed(d)):
+        t = []
+        for n in (2000, 8000):
+            d = spark.range(20).selectExpr("id", f"transform(sequence(1, {n}), i -> double(i)) as v")
+            make(d).write.format("noop").mode("overwrite").save()
+            t0 = time.perf_counter()
+            make(d).write.format("noop").mode("overwrite").save()
+            t.append(time.perf_counter() - t0)
+        assert t[1] < 8 * t[0] + 1
+
+
+def test_packed_statistics_propagate_nan(spark):
+    import math
+
+    from wavequery.operators import signals as SG
+
+    d = spark.createDataFrame([([1.0, float("nan"), 3.0],)], "v array<double>")
+    row = SG.series_stats_packed(d).collect()[0]
+    assert all(math.isnan(row[c]) for c in ("min_v", "max_v", "median_v", "trend"))
+    assert SG.autocorr_top_lags(d).collect()[0].lags is None

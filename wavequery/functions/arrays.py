@@ -21,8 +21,8 @@ def l2_norm(v) -> Column:
 
 def normalize(v) -> Column:
     """Unit vector; a zero vector becomes all-null (the reference yields NaN) (VEC-2)."""
-    norm = l2_norm(v)
-    return F.transform(_c(v), lambda x: F.try_divide(x, norm))
+    # the norm is bound once per row; inside the element loop it would be computed for every element
+    return F.transform(F.array(l2_norm(v)), lambda n: F.transform(_c(v), lambda x: F.try_divide(x, n)))[0]
 
 
 def pad_left(arr, length, pad) -> Column:

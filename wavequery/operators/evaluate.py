@@ -25,7 +25,8 @@ def mark_correct(scored: DataFrame, prediction: str = "prediction", truth: str =
 
 
 def _category_rows(scored: DataFrame, cols: list[str], categories: list[tuple] | None) -> DataFrame:
-    rows = scored.select(*cols, F.col("correct").cast("int").alias("_c"), F.lit(1).alias("_n"))
+    # a row without a truth (null) is not scored: it counts in neither column
+    rows = scored.select(*cols, F.coalesce(F.col("correct").cast("int"), F.lit(0)).alias("_c"), F.col("correct").isNotNull().cast("int").alias("_n"))
     if not categories:
         return rows
     dim = scored.sparkSession.createDataFrame(categories, schema=", ".join(f"{c} string" for c in cols))
@@ -74,8 +75,8 @@ def accuracy_detail(scored: DataFrame, first: str = "question_type", second: str
         rows.groupingSets([[first, second], [first], [second], []], first, second)
         .agg(
             F.grouping_id().cast("int").alias("level"),
-            F.sum("_c").cast("bigint").alias("correct"),
-            F.count(F.lit(1)).alias("total"),
+            F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("correct"),
+            F.count("_c").alias("total"),
         )
         .withColumn("acc_pct", _ratio(F.col("correct"), F.col("total")))
     )
@@ -113,33 +114,36 @@ def point_adjust_window(
 
 def point_adjust(
     df: DataFrame, series: str = "series_id", t: str = "t", gt: str = "gt", pred: str = "pred", fill_first: bool = False,
-    num_partitions: int | None = None, method: str = "auto",
+    num_partitions: int | None = None, chunk: int = 1 << 16,
 ) -> DataFrame:
-    """WIN-6. ``auto`` uses the window form when the longest series fits one task
-    (``ordering.WINDOW_GROUP_LIMIT``) and the distributed form otherwise; both are exact.
-
-    Distributed form (no window per series; a huge series is split over many tasks):
-
-    1. Range-partition on (series, t), sort inside partitions, checkpoint: each
-       partition is a contiguous, balanced slice of the global order.
-    2. One summary row per partition (first/last series, last ``gt = 0`` time of the
-       last series) reaches the driver; scanning them in order gives each partition
-       the run it continues (the carry), as a small broadcast table.
-    3. Per partition (Arrow batches, vectorised), every ``gt = 1`` row gets its run
-       key = time of the last ``gt = 0`` row before it in its series (-1 if none),
-       and the series' first row is marked.
-    4. Whether a run was hit is a partial aggregation on (series, run key), joined
-       back on that key (unique on the aggregate side; AQE splits a hot run).
+    """WIN-6 for series of any length; a huge series is split over many tasks.
+
+    1. Rows are numbered globally in (series, t) order (``with_positions``).
+    2. Per (series, chunk of ``chunk`` positions), the last ``gt = 0`` position is a partial
+       aggregate; a window over these few rows carries it into the chunks after it.
+    3. A window inside each chunk finishes it: every row gets its run, the last ``gt = 0`` position
+       before it, or the series' start below zero. Positions are integers and unique, so no time value
+       takes part and a run needs no other key.
+    4. Whether a run was hit is a partial aggregation on the run, joined back (AQE splits a hot run).
+
+    A null series is a series of its own.
     """
-    from wavequery.operators.ordering import choose_method
-    from wavequery.operators.runs_carry import carry_runs
-
-    if num_partitions is None and choose_method(df, [series], method) == "window":
-        return point_adjust_window(df, series, t, gt, pred, fill_first)
-    keyed = carry_runs(df, series, t, gt, num_partitions)
-    hits = keyed.where(F.col(gt) == 1).groupBy(series, "_run").agg(F.max(pred).alias("_hit"))
-    out = keyed.join(hits, [series, "_run"], "left")
+    from wavequery.operators.ordering import same, with_positions
+
+    rows = with_positions(df, [series, t], pos="_pos", num_partitions=num_partitions).df
+    rows = rows.withColumn("_chunk", F.floor(F.col("_pos") / chunk).cast("bigint"))
+    zero = F.when(F.col(gt) == 0, F.col("_pos"))
+    chunks = rows.groupBy(series, "_chunk").agg(F.max(zero).alias("_zero"), F.min("_pos").alias("_at"))
+    earlier = Window.partitionBy(series).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(
+        series, "_chunk", F.max("_zero").over(earlier).alias("_carried"), F.min("_at").over(Window.partitionBy(series)).alias("_start")
+    )
+    inside = Window.partitionBy(series, "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = same(rows.withColumn("_last", F.max(zero).over(inside)), chunks, [series, "_chunk"])
+    rows = rows.withColumn("_run", F.coalesce("_last", "_carried", -1 - F.col("_start")))
+    hits = rows.where(F.col(gt) == 1).groupBy("_run").agg(F.max(pred).alias("_hit"))
+    out = rows.join(hits, "_run", "left")
     fill = (F.col(gt) == 1) & (F.col("_hit") == 1)
     if not fill_first:
-        fill = fill & ~F.col("_first")
-    return out.withColumn("adjusted", F.when(fill, F.lit(1)).otherwise(F.col(pred))).drop("_run", "_first", "_hit")
+        fill = fill & (F.col("_pos") != F.col("_start"))
+    return out.withColumn("adjusted", F.when(fill, F.lit(1)).otherwise(F.col(pred))).select(*df.columns, "adjusted")

@@ -5,12 +5,12 @@ exchange: the whole table goes through one task. ``with_positions`` numbers rows
 globally without that:
 
 1. range-partition on the order key and sort inside partitions;
-2. checkpoint reliably, so both passes below see identical partitions even if an
-   executor is lost between them;
-3. count rows per partition (one small row per partition reaches the driver);
-4. pos = offset of the partition + rank inside it, where the rank inside the
-   partition is the low 33 bits of ``monotonically_increasing_id`` and the offset
-   is looked up from a literal array indexed by the high bits (no join).
+2. write that as Parquet to the shared folder, with the partition's number and the rank inside
+   it as *columns*: they stay what they are however the table is read, split, coalesced or
+   joined later, and readers still prune columns;
+3. count rows per partition number (a partial aggregation);
+4. pos = offset of the partition + rank inside it; the offsets are a table of one row per
+   partition, joined on the partition number (it never reaches the driver or the plan).
 
 The order key must be unique (append a unique column); then ``pos`` does not
 depend on the number of partitions.
@@ -21,10 +21,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavequery.session import reliable_checkpoint
+from wavequery.session import written
 
 _LOW33 = (1 << 33) - 1
 
@@ -53,25 +53,18 @@ def with_positions(df: DataFrame, order: list[Column | str], pos: str = "pos", n
     # recomputing for cheap inputs, so off by default; the result does not depend on it)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
     ranged = kept.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    stable = reliable_checkpoint(ranged)
+    ranged = ranged.withColumns(
+        {"_pid": F.spark_partition_id(), "_rank": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))}
+    )
+    stable = written(ranged, "numbered")
     if persist_input:
         kept.unpersist()
-    tagged = stable.withColumn("_mid", F.monotonically_increasing_id())
-    counts = (
-        tagged.groupBy(F.shiftright("_mid", 33).alias("_pid")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    )
-    by_pid = {int(r["_pid"]): int(r["_n"]) for r in counts}
-    n_parts = stable.rdd.getNumPartitions()
-    offsets, acc = [], 0
-    for pid in range(n_parts):
-        offsets.append(acc)
-        acc += by_pid.get(pid, 0)
-    offset_arr = F.array(*[F.lit(o).cast("bigint") for o in offsets]) if offsets else F.array(F.lit(0).cast("bigint"))
-    out = tagged.withColumn(
-        pos,
-        F.element_at(offset_arr, (F.shiftright("_mid", 33) + 1).cast("int")) + F.col("_mid").bitwiseAND(F.lit(_LOW33)),
-    ).drop("_mid")
-    return Numbered(out, acc)
+    counts = stable.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = written(counts.select("_pid", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "offsets")
+    total = offsets.agg(F.sum("_n")).first()[0] or 0
+    out = stable.join(F.broadcast(offsets.drop("_n")), "_pid").withColumn(pos, F.col("_off") + F.col("_rank"))
+    return Numbered(out.select(*df.columns, pos), total)
 
 
 def grouped_shuffle_order(seed: int, group: str, key: str) -> list[Column]:
@@ -101,44 +94,23 @@ def take_first(numbered: Numbered, num_data: int | None) -> Numbered:
     return Numbered(numbered.df.where(F.col("pos") < num_data), num_data)
 
 
-# Largest group one window task is allowed to hold; larger groups take the distributed path.
-WINDOW_GROUP_LIMIT = 5_000_000
-
-
-def longest_group(df: DataFrame, keys: list[str]) -> int:
-    """Size of the largest group (a partial aggregation; one number reaches the driver)."""
-    return df.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
-
-
-def choose_method(df: DataFrame, keys: list[str], method: str, limit: int = WINDOW_GROUP_LIMIT) -> str:
-    """``auto``: a window per group when the largest group fits one task, else the distributed form.
-    Both are exact; the limit only picks the strategy."""
-    if method != "auto":
-        return method
-    return "window" if longest_group(df, keys) <= limit else "distributed"
+def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys come back once, from the left."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def series_index(df: DataFrame, series: list[str], order: list[Column | str], out: str = "t",
-                 length: str | None = None, num_partitions: int | None = None, method: str = "auto",
-                 max_window_rows: int = WINDOW_GROUP_LIMIT) -> DataFrame:
+                 length: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row inside its series, in ``order`` (plus the series length).
 
-    ``window``: ``row_number() over (partition by series order by ...) - 1`` (one task per series).
-    ``distributed``: rows are numbered globally in (series, order) (range partitions split a
-    huge series), and each series' first position and length are partial aggregates joined
-    back on the series key (unique on that side). ``auto`` picks by the largest series.
+    One form for every size: rows are numbered globally in (series, order), where range partitions
+    split a huge series, and each series' first position and length are partial aggregates joined back on
+    the series key (unique on that side; null is a series of its own).
     """
-    from pyspark.sql import Window
-
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    if choose_method(df, series, method, max_window_rows) == "window":
-        w = Window.partitionBy(*series).orderBy(*order_cols)
-        out_df = df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-        if length:
-            out_df = out_df.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(*series)))
-        return out_df
-    keys = [F.col(c) for c in series] + order_cols
+    keys = [F.col(c) for c in series] + [F.col(c) if isinstance(c, str) else c for c in order]
     numbered = with_positions(df, keys, pos="_gpos", num_partitions=num_partitions).df
     aggs = [F.min("_gpos").alias("_start")] + ([F.count(F.lit(1)).alias(length)] if length else [])
     bounds = numbered.groupBy(*series).agg(*aggs)
-    return numbered.join(bounds, series).withColumn(out, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start")
+    return same(numbered, bounds, series).withColumn(out, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start")

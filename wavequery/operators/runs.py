@@ -7,12 +7,14 @@ is sticky once ``counter >= patience``. A NaN loss is never an improvement.
 
 With delta = 0 the best is a running maximum, so the state is three window
 expressions. Any other delta makes ``best`` path-dependent, so the general form
-is an ordered fold (``aggregate`` over the run's epochs, packed per run; a run
-has one row per epoch, a bounded history).
+is an ordered fold, streamed over each run's sorted rows.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,52 +39,45 @@ def early_stopping(df: DataFrame, run: str = "run_id", epoch: str = "epoch", los
     return x.drop("_rn")
 
 
-# Longest history the ordered fold packs into one row (the fold is sequential per run).
-MAX_FOLD_HISTORY = 1_000_000
+def _fold_batches(patience: int, delta: float):
+    """The reference rule over Arrow batches sorted by (run, epoch); the state of one run is carried between batches."""
+
+    def run(batches):
+        current, best, counter, stop = object(), None, 0, False
+        for batch in batches:
+            out = []
+            for key, epoch, loss in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != current:
+                    current, best, counter, stop = key, None, 0, False
+                valid = loss is not None and not math.isnan(loss)
+                worse = best is not None and (not valid or -loss < best + delta)
+                improved = valid and not worse
+                if improved:
+                    best, counter = -loss, 0
+                elif worse:
+                    counter += 1
+                stop = stop or counter >= patience
+                out.append((improved, None if best is None else -best, counter, stop))
+            kinds = (pa.bool_(), pa.float64(), pa.int32(), pa.bool_())
+            cols = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)]
+            yield pa.record_batch([*batch.columns, *cols], names=["run", "epoch", "val_loss", "improved", "best_loss", "counter", "stop"])
+
+    return run
 
 
 def early_stopping_fold(df: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "val_loss",
-                        patience: int = DEFAULT_PATIENCE, delta: float = 0.0,
-                        max_history: int = MAX_FOLD_HISTORY) -> DataFrame:
+                        patience: int = DEFAULT_PATIENCE, delta: float = 0.0) -> DataFrame:
     """WIN-8, any delta: ordered fold per run; one output row per (run, epoch).
 
-    The fold is sequential within a run, so a run's history is packed into one row; its
-    length is checked first (one small aggregation) and a longer history fails loudly
-    (at delta = 0 ``early_stopping`` handles any length with windows).
+    The rule is sequential within a run. Runs are dealt to tasks, sorted, and streamed: time is linear
+    in the epochs and only the running state is held, so no length needs a bound.
     """
-    from wavequery.operators.ordering import longest_group
-
-    longest = longest_group(df, [run])
-    if longest > max_history:
-        raise ValueError(f"a run has {longest} epochs, above max_history={max_history}")
-    hist = df.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), F.col(loss).alias("l")))).alias("_h"))
-    init = F.struct(
-        F.lit(None).cast("double").alias("best"),
-        F.lit(0).alias("counter"),
-        F.lit(False).alias("stop"),
-        F.array().cast("array<struct<epoch:bigint,val_loss:double,improved:boolean,best_score:double,counter:int,stop:boolean>>").alias("out"),
-    )
-
-    def step(acc, x):
-        s = -x["l"]
-        valid = ~F.isnan(x["l"]) & x["l"].isNotNull()
-        first = acc["best"].isNull()
-        worse = ~first & (~valid | (s < acc["best"] + F.lit(delta)))
-        improved = valid & ~worse
-        counter = F.when(improved, F.lit(0)).when(worse, acc["counter"] + 1).otherwise(acc["counter"])
-        best = F.when(improved, s).otherwise(acc["best"])
-        stop = acc["stop"] | (counter >= patience)
-        row = F.struct(
-            x["e"].cast("bigint").alias("epoch"), x["l"].alias("val_loss"), improved.alias("improved"),
-            best.alias("best_score"), counter.alias("counter"), stop.alias("stop"),
-        )
-        return F.struct(best.alias("best"), counter.alias("counter"), stop.alias("stop"),
-                        F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = hist.select(run, F.aggregate("_h", init, step)["out"].alias("_o"))
-    return folded.select(run, F.explode("_o").alias("s")).select(
-        run, "s.epoch", "s.val_loss", "s.improved", (-F.col("s.best_score")).alias("best_loss"), "s.counter", "s.stop"
+    rows = df.select(F.col(run).alias("run"), F.col(epoch).cast("bigint").alias("epoch"), F.col(loss).cast("double").alias("val_loss"))
+    kind = rows.schema["run"].dataType.simpleString()
+    folded = rows.repartition("run").sortWithinPartitions("run", "epoch").mapInArrow(
+        _fold_batches(patience, delta), f"run {kind}, epoch bigint, val_loss double, improved boolean, best_loss double, counter int, stop boolean"
     )
+    return folded.withColumnRenamed("run", run)
 
 
 def loss_history(train: DataFrame, valid: DataFrame, step: str = "step", loss: str = "loss") -> DataFrame:

@@ -43,7 +43,7 @@ def pack(long: DataFrame, keys: list[str], t: str = "t", v: str = "v", check: bo
     if max_len is not None:
         check_series_length(long, keys, max_len)
     agg = long.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(v).cast("double").alias("v")))).alias("_s"),
+        F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(v).cast("double").alias("v")))).alias("_s"),
         F.min(t).alias("_t0"),
         F.max(t).alias("_t1"),
         F.count(F.lit(1)).alias("n"),
@@ -102,13 +102,16 @@ def inverse_zscore(scaled: DataFrame, params: DataFrame, keys: list[str], z: str
 
 
 def zscore_packed(packed: DataFrame, v: str = "v", out: str = "z") -> DataFrame:
-    """Packed form: mean/std by ``aggregate`` inside the row, no shuffle."""
+    """Packed form: mean/std by ``aggregate`` inside the row, no shuffle. Both are bound once per row."""
     n = F.size(v).cast("double")
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    df = packed.withColumn("_mean", mean)
-    var = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / n
-    df = df.withColumn("_std", F.when(F.sqrt(var) == 0, 1.0).otherwise(F.sqrt(var)))
-    return df.withColumn(out, F.transform(v, lambda x: (x - F.col("_mean")) / F.col("_std"))).drop("_mean", "_std")
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+
+    def scaled(mean: Column) -> Column:
+        var = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+        std = F.when(F.sqrt(var) == 0, 1.0).otherwise(F.sqrt(var))
+        return F.transform(F.array(std), lambda s: F.transform(v, lambda x: (x - mean) / s))[0]
+
+    return packed.withColumn(out, F.transform(F.array(total / n), scaled)[0])
 
 
 # ----------------------------------------------------------------------------- statistics (AGG-5/6/7, WIN-2)
@@ -164,14 +167,15 @@ def first_differences(long: DataFrame, keys: list[str], t: str = "t", v: str = "
 
 def series_stats_packed(packed: DataFrame, v: str = "v") -> DataFrame:
     """Packed form of ``series_stats``: sort inside the row, no shuffle."""
-    s = F.array_sort(v)
+    s = F.sort_array(v)
     n = F.size(v)
+    number = lambda x: F.when(F.exists(v, F.isnan), F.lit(float("nan"))).otherwise(x)  # noqa: E731  NaN propagates
     return packed.select(
         "*",
-        F.array_min(v).alias("min_v"),
-        F.array_max(v).alias("max_v"),
-        F.get(s, (F.ceil(n / 2) - 1).cast("int")).alias("median_v"),
-        (F.element_at(v, -1) - F.get(v, 0)).alias("trend"),
+        number(F.array_min(v)).alias("min_v"),
+        number(F.array_max(v)).alias("max_v"),
+        number(F.get(s, (F.ceil(n / 2) - 1).cast("int"))).alias("median_v"),
+        number(F.element_at(v, -1) - F.get(v, 0)).alias("trend"),
     )
 
 
@@ -187,11 +191,10 @@ def patches_packed(packed: DataFrame, patch_len: int, stride: int, v: str = "v")
     """Packed: replicate-pad the last value ``stride`` times, then count-based windows -> array<array<double>>."""
     padded = F.concat(F.col(v), F.array_repeat(F.element_at(v, -1), stride))
     n_p = patch_count(F.size(v), patch_len, stride)
-    windows = F.when(
-        n_p > 0,
-        F.transform(F.sequence(F.lit(0), n_p - 1), lambda p: F.slice(F.col("_padded"), p * stride + 1, patch_len)),
-    ).otherwise(F.array().cast("array<array<double>>"))
-    return packed.withColumn("_padded", padded).withColumn("patches", windows).drop("_padded")
+    # the padded series is bound once per row, not rebuilt for every patch
+    cut = lambda whole: F.transform(F.sequence(F.lit(0), n_p - 1), lambda p: F.slice(whole, p * stride + 1, patch_len))
+    windows = F.when(n_p > 0, F.transform(F.array(padded), cut)[0]).otherwise(F.array().cast("array<array<double>>"))
+    return packed.withColumn("patches", windows)
 
 
 def patches_long(long: DataFrame, keys: list[str], patch_len: int, stride: int, t: str = "t", v: str = "v") -> DataFrame:
@@ -220,20 +223,19 @@ def patches_long(long: DataFrame, keys: list[str], patch_len: int, stride: int,
 # ----------------------------------------------------------------------------- lead combination (WIN-5, JN-8)
 
 def combine_leads(long: DataFrame, weights: DataFrame, record: str = "record_id", lead: str = "lead", t: str = "t",
-                  v: str = "v", taps: int = 3, max_weight_rows: int = 100_000) -> DataFrame:
+                  v: str = "v", taps: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Circular ``taps``-tap stencil over leads: y[t] = sum_c sum_k w[c,k] * x_c[(t + k - taps//2) mod T_c].
 
-    ``weights`` is a supplied (lead, k, w) table, dimension-sized (leads x taps),
-    and is broadcast. Each sample contributes to ``taps`` outputs, so the work is
+    ``weights`` is a supplied (lead, k, w) table; up to ``broadcast_rows`` (a few ten MB) it is
+    broadcast, a larger one is joined by shuffling. Each sample contributes to ``taps`` outputs, so the work is
     an explode + one partial aggregation; a lead wraps around its own length T_c.
     """
-    n_weights = weights.count()  # the broadcast side is checked, not assumed, to be small
-    if n_weights > max_weight_rows:
-        raise ValueError(f"weights table has {n_weights} rows, above max_weight_rows={max_weight_rows}")
+    if weights.count() <= broadcast_rows:  # the broadcast side is checked, not assumed, to be small
+        weights = F.broadcast(weights)
     half = taps // 2
     lens = long.groupBy(record, lead).agg(F.count(F.lit(1)).alias("_T"))
     x = long.join(lens, [record, lead])
-    contrib = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(taps - 1)))).join(F.broadcast(weights), [lead, "k"])
+    contrib = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(taps - 1)))).join(weights, [lead, "k"])
     # sample at t feeds output t' with (t' + k - half) mod T = t
     target = F.pmod(F.col(t) - F.col("k") + half, F.col("_T"))
     return contrib.groupBy(record, target.alias(t)).agg(F.sum(F.col("w") * F.col(v)).alias("y"))
@@ -249,6 +251,9 @@ def _top_lags(series: pd.Series, k: int = TOP_K_LAGS) -> pd.Series:
         if n == 0:
             out.append([])
             continue
+        if np.isnan(x).any():  # every lag's value is NaN: there is no order to report
+            out.append(None)
+            continue
         f = np.fft.rfft(x)
         c = np.fft.irfft(f * np.conj(f), n=n)  # true circular autocorrelation for every n
         c = (c + np.roll(c[::-1], 1)) / 2.0  # c[tau] == c[n - tau] exactly

@@ -80,7 +80,7 @@ def mean_prototypes(df: DataFrame, group: str = "label", col: str = "embedding")
     long = df.select(group, F.posexplode(col).alias("d", "x"))
     means = long.groupBy(group, "d").agg(F.avg("x").alias("m"))
     return means.groupBy(group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("proto")
+        F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("proto")
     )
 
 
@@ -101,6 +101,8 @@ def prototype_blend(df: DataFrame, prototypes: DataFrame, n_heads: int, col: str
         raise ValueError(f"{n_proto} prototypes exceed max_prototypes={max_prototypes}")
     rows = prototypes.select(proto_key, proto_col).orderBy(proto_key).collect()
     keys = [r[0] for r in rows]
+    if rows and len(rows[0][1]) % n_heads:
+        raise ValueError(f"{n_heads} heads do not divide the dimension {len(rows[0][1])}")
     mat = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(mat)

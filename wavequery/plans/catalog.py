@@ -640,21 +640,30 @@ def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+EARLY_DELTA = 0.5
+
+
 @register(
     "early_stopping_delta",
     with_views(
         ["run_metrics"],
-        f"""with {_EARLY_SQL}
-select run_id, epoch, val_loss, improved, best_loss, cast(counter as integer) as counter,
-       max(case when counter >= 5 then 1 else 0 end) over (partition by run_id order by epoch rows between unbounded preceding and current row) = 1 as stop
-from cnt""",
-    ),
+        f"""with m as (select run_id, epoch, val_loss, row_number() over (partition by run_id order by epoch) as rn from run_metrics),
+f as (
+  select run_id, epoch, rn, val_loss, true as improved, -val_loss as best, 0 as counter, false as stop from m where rn = 1
+  union all
+  select m.run_id, m.epoch, m.rn, m.val_loss, -m.val_loss >= f.best + {EARLY_DELTA},
+         case when -m.val_loss >= f.best + {EARLY_DELTA} then -m.val_loss else f.best end,
+         case when -m.val_loss >= f.best + {EARLY_DELTA} then 0 else f.counter + 1 end,
+         f.stop or (case when -m.val_loss >= f.best + {EARLY_DELTA} then 0 else f.counter + 1 end) >= 5
+  from f join m on m.run_id = f.run_id and m.rn = f.rn + 1)
+select run_id, epoch, val_loss, improved, -best as best_loss, cast(counter as integer) as counter, stop from f""",
+    ).replace("with ", "with recursive ", 1),
 )
 def early_stopping_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The general ordered fold, run at delta = 0 so it is checked against the window form's oracle."""
+    """The general ordered fold with a margin: an epoch must beat the best by delta to count."""
     from wavequery.operators.runs import early_stopping_fold
 
-    return early_stopping_fold(S.run_metrics(spark, sf_dir), patience=5, delta=0.0)
+    return early_stopping_fold(S.run_metrics(spark, sf_dir), patience=5, delta=EARLY_DELTA)
 
 
 @register(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,19 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable (shared-folder) checkpoint; survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: as safe as a checkpoint, and readers
+    still prune columns and push filters down."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, for clusters where it is not installed."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as d:  # the driver's file server hands the archive out
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(d, "wavequery"), "zip", os.path.dirname(here), "wavequery"))

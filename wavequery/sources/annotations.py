@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +76,10 @@ def prompt_for(datasets: DataFrame, bank: DataFrame, data_col: str = "data") ->
     ).drop("_name")
 
 
-def prepared_path(root: str, split: str, seed: int, shuffle: bool, source: str) -> str:
-    """SNK-1 key: one folder per (split, seed, shuffle, source) so splits never share a cache."""
-    tag = f"split={split}/seed={seed}/shuffle={int(bool(shuffle))}/source={source.replace('/', '_')}"
+def prepared_path(root: str, split: str, seed: int, shuffle: bool, source: str, mode: str = "grouped", num_data: int | None = None) -> str:
+    """SNK-1 key: one folder per everything that decides which rows come in which order."""
+    name = quote(source, safe="")  # 'a/b' and 'a_b' stay apart
+    tag = f"split={split}/seed={seed}/shuffle={int(bool(shuffle))}/mode={mode}/num_data={num_data or 0}/source={name}"
     return os.path.join(root, tag)
 
 

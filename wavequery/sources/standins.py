@@ -33,7 +33,7 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("answer"))
+        .agg(F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("answer"))
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -57,7 +57,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.array_join(F.array_sort(F.collect_set(code)), ".").alias("body"))
+        .agg(F.array_join(F.sort_array(F.collect_set(code)), ".").alias("body"))
         .select(
             F.col("l_orderkey").alias("seq"),
             F.concat(F.lit(" "), F.col("body"), F.lit("\n")).alias("prediction"),

@@ -20,6 +20,6 @@ def running_accuracy(predictions: DataFrame, examples: DataFrame, category: str
         predictions = predictions.dropDuplicates([key])
     scored = mark_correct(attach_predictions(examples, predictions, key))
     agg = scored.groupBy(category).agg(
-        F.sum(F.col("correct").cast("int")).cast("bigint").alias("correct"), F.count(F.lit(1)).alias("total")
+        F.sum(F.col("correct").cast("int")).cast("bigint").alias("correct"), F.count("correct").alias("total")
     )
     return agg.withColumn("acc_pct", F.try_divide(F.col("correct").cast("double"), F.col("total").cast("double")) * 100.0)

@@ -25,7 +25,7 @@ def stage(parts: list[DataFrame], folder: str) -> None:
         part.write.mode("append").parquet(folder)
 
 
-def run_append(stream: DataFrame, sink: str, checkpoint: str, timeout_s: int = 600) -> None:
+def run_append(stream: DataFrame, sink: str, checkpoint: str, timeout_s: int | None = None) -> None:
     q = (
         stream.writeStream.format("parquet").outputMode("append").option("path", sink)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -38,7 +38,7 @@ def run_append(stream: DataFrame, sink: str, checkpoint: str, timeout_s: int = 6
         raise q.exception()
 
 
-def run_complete(stream: DataFrame, sink: str, checkpoint: str, timeout_s: int = 600) -> None:
+def run_complete(stream: DataFrame, sink: str, checkpoint: str, timeout_s: int | None = None) -> None:
     """Complete-mode result kept as the last batch's full table (overwrite per batch, idempotent on replay)."""
 
     def write(batch_df: DataFrame, _batch_id: int) -> None:
