@@ -39,13 +39,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the first row of the smallest id."""
+    """Keeps one document of each group of near duplicates, that with the smallest id."""
     docs = _documents(docs)
-    found = simhash.near_duplicates(docs)
-    # the smallest id of each group; rows that repeat it are told apart below
-    kept = staged(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return simhash.representatives(docs, staged(simhash.near_duplicates(docs), "groups"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

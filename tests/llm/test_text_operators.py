@@ -191,3 +191,11 @@ def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     keys = secrets.trigram_query(secrets.ASSIGN)
     assert frozenset({"api", "pi_", "i_k", "_ke", "key"}) in keys and frozenset({"tok", "oke", "ken"}) in keys and len(keys) == 6
+
+
+def test_representatives_keep_one_row_per_group(docs):
+    a, b = "the same words in the same order " * 9, "other words altogether for the second group " * 9
+    df = docs([(5, a), (5, b), (3, b), (7, a), (5, a), (None, a), (None, None), (None, ""), (9, "c")])
+    kept = simhash.representatives(df, simhash.near_duplicates(df)).select("doc_id", "text").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept if r.doc_id is not None)) == [(3, b), (5, a), (9, "c")]
+    assert len(kept) == 4  # the texts without words are one group, of which one row stays

@@ -50,14 +50,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, text_key (a hash of the text, to tell rows of one id apart), fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
+    rows = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _forest(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
@@ -124,7 +125,7 @@ def probes(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """doc_id, fp (signed long), component_id."""
+    """doc_id, text_key, fp (signed long), root (the component's smallest fp), component_id."""
     if not 0 <= bits <= 2:
         raise ValueError("the halves are probed for distances up to 2")
     seen = staged(fingerprints(docs, shingle), "fingerprints")
@@ -137,8 +138,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, h
     )
     classes = staged(classes, "rooted")
     named = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = staged(classes.join(staged(named, "named"), "root").select("fp", "component_id"), "class-ids")
-    return seen.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = staged(classes.join(staged(named, "named"), "root").select("fp", "root", "component_id"), "class-ids")
+    return seen.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``found`` (near_duplicates of the same rows): that with the smallest
+    id (null after all others), of several texts under that id the one with the smallest key."""
+    rows = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
+    first = rows.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    copies = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("_n"))
+    same = F.col("f._id").eqNullSafe(F.col("c._id")) & (F.col("f._key") == F.col("c._key"))
+    first = staged(first.alias("f").join(copies.alias("c"), same).select("f._id", "f._key", "_n"), "representatives")
+    cols = docs.columns
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    kept = docs.join(first, here)
+    # rows that repeat id and text are rare: only they are compared
+    again = kept.where("_n > 1").dropDuplicates(["_id", "_key"])
+    return kept.where("_n = 1").unionByName(again).select(*cols)
 
 
 def as_hex(fp) -> F.Column:
