@@ -136,3 +136,10 @@ def test_unscored_rows_count_nowhere(spark):
     assert got == {"q": (1, 1, 100.0), "r": (0, 0, None)}
     top = EV.accuracy_detail(df).where("level = 3").collect()[0]
     assert (top.correct, top.total) == (1, 1)
+
+
+def test_accuracy_detail_shows_empty_cells_of_the_grid(spark):
+    df = spark.createDataFrame([("a", "x", True), ("a", "x", False), ("a", "z", None)], "question_type string, attribute_type string, correct boolean")
+    out = {(r.question_type, r.attribute_type): (r.correct, r.total, r.acc_pct)
+           for r in EV.accuracy_detail(df, first_values=["a", "b"], second_values=["x", "y"]).where("level = 0").collect()}
+    assert out == {("a", "x"): (1, 2, 50.0), ("a", "y"): (0, 0, None), ("a", "z"): (0, 0, None), ("b", "x"): (0, 0, None), ("b", "y"): (0, 0, None)}

@@ -146,3 +146,23 @@ def test_first_differences_sum_to_trend(spark):
     assert d[0].dv is None and [r.dv for r in d[1:]] == [-2.0, 3.0, -3.0, 4.0]
     trend = SG.series_stats(df, ["record_id"]).collect()[0].trend
     assert sum(r.dv for r in d[1:]) == trend == 2.0
+
+
+def test_differences_do_not_depend_on_the_chunk(spark):
+    rows = [(r, t * 3 - 10, float(t * t + r)) for r in (1, 2) for t in range(17)] + [(None, t, 2.0 * t) for t in range(5)]
+    df = spark.createDataFrame(rows, "record_id long, t long, v double")
+    want = {}
+    for r, t, v in rows:
+        before = max((x for x in rows if x[0] == r and x[1] < t), key=lambda x: x[1], default=None)
+        want[(r, t)] = None if before is None else v - before[2]
+    for chunk in (1, 2, 7, 1 << 16):
+        got = {(x.record_id, x.t): x.dv for x in SG.first_differences(df, ["record_id"], chunk=chunk).collect()}
+        assert got == want
+
+
+def test_affine_forward_and_back_and_unpack(spark):
+    df = spark.createDataFrame([(1, [1.0, 5.0], 3.0, 2.0), (2, [7.0], 1.0, 0.0)], "record_id long, v array<double>, mean double, std double")
+    long = SG.unpack(df.select("record_id", "v"), ["record_id"]).join(df.select("record_id", "mean", "std"), "record_id")
+    x = long.withColumn("z", SG.affine("v", "mean", "std")).withColumn("back", SG.affine_inverse("z", "mean", "std"))
+    got = {(r.record_id, r.t): (r.v, r.z, r.back) for r in x.collect()}
+    assert got == {(1, 0): (1.0, -1.0, 1.0), (1, 1): (5.0, 1.0, 5.0), (2, 0): (7.0, None, None)}

@@ -171,3 +171,42 @@ def test_packed_statistics_propagate_nan(spark):
     row = SG.series_stats_packed(d).collect()[0]
     assert all(math.isnan(row[c]) for c in ("min_v", "max_v", "median_v", "trend"))
     assert SG.autocorr_top_lags(d).collect()[0].lags is None
+
+
+def test_prototype_blocks_give_the_one_block_result(spark):
+    rng = np.random.default_rng(3)
+    q, k, v = rng.normal(size=(5, 4)), rng.normal(size=(7, 4)) * 9, rng.normal(size=(7, 6))
+    df = spark.createDataFrame([(i, q[i].tolist()) for i in range(5)] + [(9, None)], "vec_id long, embedding array<double>")
+    protos = spark.createDataFrame([(j, k[j].tolist(), v[j].tolist()) for j in range(7)], "label long, proto array<double>, val array<double>")
+    one = {r.vec_id: r for r in V.prototype_blend(df, protos, n_heads=2, value_col="val").collect()}
+    many = {r.vec_id: r for r in V.prototype_blend(df, protos, n_heads=2, value_col="val", block_bytes=160).collect()}
+    assert one[9].blend is None and many[9].weights is None
+    for i in range(5):
+        s = np.stack([k[:, 2 * h : 2 * h + 2] @ q[i, 2 * h : 2 * h + 2] / math.sqrt(2) for h in range(2)])
+        w = np.exp(s - s.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+        want = np.concatenate([w[h] @ v[:, 3 * h : 3 * h + 3] for h in range(2)])
+        for got in (one[i], many[i]):
+            assert np.allclose(got.blend, want) and np.allclose(got.weights, w) and got.proto_keys == list(range(7))
+
+
+def test_prototype_blend_without_prototypes_is_null(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    protos = spark.createDataFrame([], "label long, proto array<double>")
+    row = V.prototype_blend(df, protos, n_heads=2).collect()[0]
+    assert row.blend is None and row.weights is None and row.proto_keys == []
+
+
+def test_row_vectors_give_the_cell_form_error(spark):
+    rng = np.random.default_rng(5)
+    vecs = [(b, i, rng.normal(size=3).tolist()) for b in range(2) for i in range(4)] + [(1, 4, [0.0] * 3)]
+    df = spark.createDataFrame(vecs, "batch_id long, idx int, embedding array<double>")
+    n = {0: 4, 1: 5}
+    rows = [(b, i, rng.uniform(size=n[b]).tolist()) for b, i, _ in vecs]
+    scores = spark.createDataFrame(rows, "batch_id long, i int, scores array<double>")
+    cells = scores.select("batch_id", "i", F.posexplode("scores").alias("j", "score"))
+    want = {r.batch_id: (r.n_cells, r.sim_mse) for r in V.similarity_mse(V.batch_cosine(df), cells).collect()}
+    got = {r.batch_id: (r.n_cells, r.sim_mse) for r in V.similarity_mse_rows(V.cosine_rows(df), scores).collect()}
+    assert want.keys() == got.keys()
+    for b in want:
+        assert want[b][0] == got[b][0] and math.isclose(want[b][1], got[b][1])

@@ -65,12 +65,17 @@ def accuracy_by(
     return out if keep_empty else out.where(F.col("total") > 0)
 
 
-def accuracy_detail(scored: DataFrame, first: str = "question_type", second: str = "attribute_type") -> DataFrame:
+def accuracy_detail(scored: DataFrame, first: str = "question_type", second: str = "attribute_type",
+                    first_values: list[str] | None = None, second_values: list[str] | None = None) -> DataFrame:
     """AGG-10: (first x second), per first, per second and overall in one pass (GROUPING SETS).
 
-    ``level`` is ``grouping_id()``: 0 = both, 1 = first only, 2 = second only, 3 = overall.
+    ``level`` is ``grouping_id()``: 0 = both, 1 = first only, 2 = second only, 3 = overall. With both value
+    lists every cell of their grid appears (JN-7): empty ones with total 0 and no percentage.
     """
     rows = scored.select(first, second, F.col("correct").cast("int").alias("_c"))
+    if first_values and second_values:
+        grid = scored.sparkSession.createDataFrame([(a, b) for a in first_values for b in second_values], f"{first} string, {second} string")
+        rows = rows.unionByName(grid.withColumn("_c", F.lit(None).cast("int")))
     return (
         rows.groupingSets([[first, second], [first], [second], []], first, second)
         .agg(

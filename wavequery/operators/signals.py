@@ -157,12 +157,26 @@ def lower_median_sorted(long: DataFrame, keys: list[str], t: str = "t", v: str =
     return picked.select(*keys, F.col(v).alias("median_v"))
 
 
-def first_differences(long: DataFrame, keys: list[str], t: str = "t", v: str = "v") -> DataFrame:
-    """WIN-2: v - previous v within the series (null for the first sample)."""
+def first_differences(long: DataFrame, keys: list[str], t: str = "t", v: str = "v", chunk: int = 1 << 16) -> DataFrame:
+    """WIN-2: v - previous v within the series (null for the first sample).
+
+    Samples are numbered globally in (keys, t) order and cut into chunks of ``chunk`` positions; a chunk
+    also gets the last sample before it. The window runs per chunk, so a huge series is split.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(t)
-    return long.withColumn("dv", F.col(v) - F.lag(v).over(w))
+    from wavequery.operators.ordering import with_positions
+
+    rows = with_positions(long, [*keys, t], pos="_pos").df
+    own = rows.withColumn("_chunk", F.floor(F.col("_pos") / chunk)).withColumn("_edge", F.lit(False))
+    edge = rows.where((F.col("_pos") + 1) % chunk == 0)
+    edge = edge.withColumn("_chunk", F.floor(F.col("_pos") / chunk) + 1).withColumn("_edge", F.lit(True))
+    before = F.lag(F.struct(*keys, F.col(v).alias("_v"))).over(Window.partitionBy("_chunk").orderBy("_pos"))
+    both = own.unionByName(edge).withColumn("_before", before).where(~F.col("_edge"))
+    same = F.col("_before").isNotNull()
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_before.{k}"))
+    return both.withColumn("dv", F.when(same, F.col(v) - F.col("_before._v"))).select(*long.columns, "dv")
 
 
 def series_stats_packed(packed: DataFrame, v: str = "v") -> DataFrame:

@@ -1,14 +1,11 @@
 """Vector operators: flatten, normalise, in-batch cosine, similarity-vs-score error, prototype blend.
 
-In-batch cosine is a self-join on ``batch_id``: each vector is shuffled once
-(both join sides are the same projection, so the exchange is reused) and the
-B x B cells are produced inside the join task. Batches have a fixed size B, so
-the pair count is n * B, never a data-dependent square.
-
-The prototype blend attends every vector to a small prototype set. Instead of a
-cross join, the prototype matrix is size-checked against ``max_prototypes`` (the
-reference uses 1000) and broadcast once; each Arrow batch of vectors then does
-the attention as numpy matrix products.
+In-batch cosine gathers each batch once (a fixed size B, so the pair count is n * B, never a
+data-dependent square) and yields one row of B similarities per vector.
+
+The prototype blend attends every vector to a prototype set. Instead of a cross join, prototypes are
+broadcast in blocks of checked bytes; each Arrow batch of vectors does the attention as numpy matrix
+products.
 """
 
 from __future__ import annotations
@@ -21,6 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavequery.functions import dot, l2_norm, normalize
+from wavequery.operators.ordering import with_positions
+from wavequery.session import written
+
+# Scores held at once inside a task of the prototype blend.
+CHUNK_BYTES = 64 << 20
 
 
 def flatten_matrix(df: DataFrame, col: str, out: str = "vec") -> DataFrame:
@@ -33,12 +35,25 @@ def normalize_vectors(df: DataFrame, col: str = "embedding", out: str = "unit")
     return df.withColumn("norm", l2_norm(col)).withColumn(out, normalize(col))
 
 
+def cosine_rows(df: DataFrame, col: str = "embedding", batch: str = "batch_id", idx: str = "idx") -> DataFrame:
+    """VEC-3, one row per vector: (batch_id, i, js, sims) over the batch's vectors in ``idx`` order.
+
+    A batch (B vectors, a fixed size) is gathered once by a grouped aggregate; a vector is never copied into pair rows.
+    """
+    unit = normalize_vectors(df.select(batch, F.col(idx).alias("i"), col), col)
+    whole = unit.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct("i", "unit"))).alias("_m"))
+    against = lambda a: F.struct(
+        a["i"].alias("i"),
+        F.transform("_m", lambda b: b["i"]).alias("js"),
+        F.transform("_m", lambda b: dot(a["unit"], b["unit"])).alias("sims"),
+    )
+    return whole.select(batch, F.explode(F.transform("_m", against)).alias("_r")).select(batch, "_r.*")
+
+
 def batch_cosine(df: DataFrame, col: str = "embedding", batch: str = "batch_id", idx: str = "idx") -> DataFrame:
     """VEC-3: (batch_id, i, j, sim) for every ordered pair inside a batch, including i = j."""
-    unit = normalize_vectors(df.select(batch, idx, col), col).select(batch, idx, "unit")
-    a = unit.select(batch, F.col(idx).alias("i"), F.col("unit").alias("_a"))
-    b = unit.select(batch, F.col(idx).alias("j"), F.col("unit").alias("_b"))
-    return a.join(b, batch).select(batch, "i", "j", dot("_a", "_b").alias("sim"))
+    cells = cosine_rows(df, col, batch, idx).select(batch, "i", F.explode(F.arrays_zip("js", "sims")).alias("_c"))
+    return cells.select(batch, "i", F.col("_c.js").alias("j"), F.col("_c.sims").alias("sim"))
 
 
 def similarity_mse(sim: DataFrame, scores: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -49,6 +64,18 @@ def similarity_mse(sim: DataFrame, scores: DataFrame, batch: str = "batch_id") -
     )
 
 
+def similarity_mse_rows(sims: DataFrame, scores: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """JN-4 + AGG-14 on row vectors (``cosine_rows`` and ``pair_score_rows`` of the same batches): one row
+    per example is shuffled, never a cell. Cells without a similarity (zero vector) stay out of the mean."""
+    rows = sims.join(scores.select(batch, "i", "scores"), [batch, "i"])
+    fits = F.size("sims") == F.size("scores")
+    squares = F.filter(F.zip_with("sims", "scores", lambda a, b: F.pow(a - b, 2)), lambda x: x.isNotNull())
+    squares = F.when(fits, squares).otherwise(F.raise_error(F.lit("similarity and score rows differ in length")))
+    per_row = rows.select(batch, F.size("scores").cast("bigint").alias("_n"), squares.alias("_sq"))
+    per_row = per_row.select(batch, "_n", F.size("_sq").alias("_k"), F.aggregate("_sq", F.lit(0.0), lambda acc, x: acc + x).alias("_s"))
+    return per_row.groupBy(batch).agg(F.sum("_n").alias("n_cells"), F.try_divide(F.sum("_s"), F.sum("_k").cast("double")).alias("sim_mse"))
+
+
 def combined_loss(a, b, weight: float = 0.5):
     """PRJ-11: weight * a + (1 - weight) * b (the reference uses 0.5 / 0.5)."""
     ca = F.col(a) if isinstance(a, str) else a
@@ -61,7 +88,7 @@ def mean_of_batches(per_batch: DataFrame, loss: str) -> DataFrame:
     return per_batch.agg(F.avg(loss).alias(f"mean_{loss}"), F.count(F.lit(1)).alias("n_batches"))
 
 
-def with_mean_of_batches(per_batch: DataFrame, loss: str, count: str, batch: str = "batch_id") -> DataFrame:
+def with_mean_of_batches(per_batch: DataFrame, loss: str | list[str], count: str, batch: str = "batch_id") -> DataFrame:
     """Per-batch rows (level 0) plus the AGG-13 mean over batches (level 1, batch null) in one rollup.
 
     ``count`` is the batch's cell count on level 0 and the number of batches on level 1.
@@ -71,7 +98,7 @@ def with_mean_of_batches(per_batch: DataFrame, loss: str, count: str, batch: str
     return per_batch.rollup(batch).agg(
         gid.cast("int").alias("level"),
         F.when(gid == 0, F.sum(count)).otherwise(F.count(F.lit(1))).alias(count),
-        F.avg(loss).alias(loss),
+        *[F.avg(x).alias(x) for x in ([loss] if isinstance(loss, str) else loss)],
     )
 
 
@@ -84,59 +111,94 @@ def mean_prototypes(df: DataFrame, group: str = "label", col: str = "embedding")
     )
 
 
+def _attend(block, col: str, n_heads: int, weights: bool):
+    """One block of prototypes against Arrow batches of vectors: folds the block into each row's softmax state."""
+
+    def run(batches):
+        k, v = block.value
+        wk, wv = k.shape[1] // n_heads, v.shape[1] // n_heads
+        step = max(1, CHUNK_BYTES // (8 * max(1, len(k)) * n_heads))
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo : lo + step].copy()
+                there = part[col].notna().to_numpy()
+                q = np.zeros((len(part), k.shape[1]))
+                if there.any():
+                    q[there] = np.stack([np.asarray(x, dtype=np.float64) for x in part[col][there]])
+                top, mass, acc = (np.stack(part[c].to_numpy()) for c in ("_top", "_mass", "_acc"))
+                raw = []
+                for h in range(n_heads):
+                    out = slice(h * wv, (h + 1) * wv)
+                    s = q[:, h * wk : (h + 1) * wk] @ k[:, h * wk : (h + 1) * wk].T * softmax_scale(wk)
+                    new = np.maximum(top[:, h], s.max(axis=1))
+                    shrink, e = np.exp(top[:, h] - new), np.exp(s - new[:, None])
+                    mass[:, h] = mass[:, h] * shrink + e.sum(axis=1)
+                    acc[:, out] = acc[:, out] * shrink[:, None] + e @ v[:, out]
+                    top[:, h] = new
+                    raw.append(s)
+                part["_top"], part["_mass"], part["_acc"] = list(top), list(mass), list(acc)
+                if weights:
+                    part["_raw"] = [[np.concatenate([old[h], raw[h][r]]).tolist() for h in range(n_heads)] for r, old in enumerate(part["_raw"])]
+                yield part
+
+    return run
+
+
 def prototype_blend(df: DataFrame, prototypes: DataFrame, n_heads: int, col: str = "embedding", proto_key: str = "label",
-                    proto_col: str = "proto", max_prototypes: int = 1000) -> DataFrame:
+                    proto_col: str = "proto", max_prototypes: int | None = None, value_col: str | None = None,
+                    weights: bool = True, block_bytes: int = 64 << 20) -> DataFrame:
     """VEC-4 + PRJ-13: per head h, weights = softmax(q_h . k_h / sqrt(E)) over prototypes; out_h = sum w * v_h.
 
-    Keys and values are the given prototype vectors (S of them, ordered by key).
-    Adds ``weights`` array<array<double>> ([head][prototype]), ``blend``
-    array<double> (heads concatenated) and ``proto_keys`` (the prototype order).
+    Keys are ``proto_col``, values ``value_col`` (the keys, if not given), ordered by ``proto_key``.
+    Adds ``blend`` array<double> (heads concatenated) and, with ``weights``, ``weights``
+    array<array<double>> ([head][prototype]) and ``proto_keys`` (the prototype order); a null vector and an
+    empty prototype table give nulls.
 
-    Dense attention is a matrix product per Arrow batch (``mapInPandas`` + numpy):
-    the prototype matrix is checked against ``max_prototypes`` and shipped once as a
-    broadcast variable, so no join and no per-element expression evaluation.
+    Dense attention is a matrix product per Arrow batch. Prototypes are broadcast in blocks of at most
+    ``block_bytes``; a row carries the running maximum, mass and weighted sum of its softmax from one block to
+    the next, so any number of prototypes gives the same result. ``max_prototypes`` is a caller's own limit.
     """
-    n_proto = prototypes.count()  # size check before anything reaches the driver
-    if n_proto > max_prototypes:
-        raise ValueError(f"{n_proto} prototypes exceed max_prototypes={max_prototypes}")
-    rows = prototypes.select(proto_key, proto_col).orderBy(proto_key).collect()
-    keys = [r[0] for r in rows]
-    if rows and len(rows[0][1]) % n_heads:
-        raise ValueError(f"{n_heads} heads do not divide the dimension {len(rows[0][1])}")
-    mat = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(mat)
-    key_type = prototypes.schema[proto_key].dataType
-
-    def run(batches):
-        k = bc.value
-        for pdf in batches:
-            q = np.stack(pdf[col].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) if len(pdf) else np.zeros((0, k.shape[1]))
-            width = q.shape[1] // n_heads
-            scale = 1.0 / math.sqrt(width)
-            weights, blends = [], []
-            for h in range(n_heads):
-                sl = slice(h * width, (h + 1) * width)
-                s = q[:, sl] @ k[:, sl].T * scale
-                s -= s.max(axis=1, keepdims=True)
-                w = np.exp(s)
-                w /= w.sum(axis=1, keepdims=True)
-                weights.append(w)
-                blends.append(w @ k[:, sl])
-            pdf = pdf.copy()
-            pdf["weights"] = [[weights[h][i].tolist() for h in range(n_heads)] for i in range(len(pdf))]
-            pdf["blend"] = list(np.concatenate(blends, axis=1).tolist()) if len(pdf) else []
-            yield pdf
-
-    out_schema = T.StructType(
-        df.schema.fields
-        + [
-            T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()))),
-            T.StructField("blend", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    out = df.mapInPandas(run, out_schema)
-    return out.withColumn("proto_keys", F.array(*[F.lit(x).cast(key_type) for x in keys]))
+    value_col = value_col or proto_col
+    shape = prototypes.agg(F.count(F.lit(1)), F.min(F.size(proto_col)), F.max(F.size(proto_col)), F.min(F.size(value_col)), F.max(F.size(value_col)))
+    n, k_min, k_max, v_min, v_max = shape.first()
+    if max_prototypes is not None and n > max_prototypes:
+        raise ValueError(f"{n} prototypes exceed max_prototypes={max_prototypes}")
+    nulls = {"weights": "array<array<double>>", "blend": "array<double>"}
+    if not n:
+        out = df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nulls.items() if weights or c == "blend"])
+        return out.withColumn("proto_keys", F.array().cast(T.ArrayType(prototypes.schema[proto_key].dataType))) if weights else out
+    if k_min != k_max or v_min != v_max or k_max < 1 or v_max < 1:
+        raise ValueError("prototypes differ in dimension or lack one")
+    if k_max % n_heads or v_max % n_heads:
+        raise ValueError(f"{n_heads} heads do not divide the dimensions {k_max} and {v_max}")
+    step = max(1, block_bytes // (8 * (k_max + v_max)))
+    listed = prototypes.select(F.col(proto_key).alias("key"), F.col(proto_col).alias("k"), F.col(value_col).alias("v"))
+    if n > step:
+        listed = with_positions(listed, ["key"], pos="pos").df
+    zero = lambda x, size: F.array_repeat(F.lit(x).cast("double"), size)
+    state = df.select("*", zero("-Infinity", n_heads).alias("_top"), zero(0, n_heads).alias("_mass"), zero(0, v_max).alias("_acc"))
+    if weights:
+        state = state.withColumn("_raw", F.array_repeat(F.array().cast("array<double>"), n_heads))
+    keys = []
+    for lo in range(0, n, step):
+        part = listed.where((F.col("pos") >= lo) & (F.col("pos") < lo + step)) if n > step else listed
+        rows = part.orderBy("key").collect()  # at most block_bytes
+        if weights:
+            keys += [r["key"] for r in rows]
+        block = df.sparkSession.sparkContext.broadcast(tuple(np.array([r[c] for r in rows], dtype=np.float64) for c in ("k", "v")))
+        state = state.mapInPandas(_attend(block, col, n_heads, weights), state.schema)
+        if n > step:
+            state = written(state, "blend")
+            block.unpersist()
+    width = v_max // n_heads
+    share = lambda raw, h: F.transform(raw, lambda s: F.exp(s - F.get("_top", h)) / F.get("_mass", h))
+    blend = F.transform("_acc", lambda x, d: x / F.get("_mass", F.floor(d / width).cast("int")))
+    there = F.col(col).isNotNull()
+    out = state.withColumn("blend", F.when(there, blend))
+    if weights:
+        out = out.withColumn("weights", F.when(there, F.transform("_raw", share)))
+        out = out.withColumn("proto_keys", F.array(*[F.lit(x).cast(prototypes.schema[proto_key].dataType) for x in keys]))
+    return out.select(*df.columns, *(["weights"] if weights else []), "blend", *(["proto_keys"] if weights else []))
 
 
 def softmax_scale(e: int) -> float:
@@ -148,7 +210,9 @@ __all__ = [
     "flatten_matrix",
     "normalize_vectors",
     "batch_cosine",
+    "cosine_rows",
     "similarity_mse",
+    "similarity_mse_rows",
     "combined_loss",
     "mean_of_batches",
     "mean_prototypes",

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavequery.plans.oracle_views import with_views
-from wavequery.schemas import ATTRIBUTE_TYPES
+from wavequery.schemas import ATTRIBUTE_TYPES, DETAIL_QUESTION_TYPES, QUESTION_TYPES
 from wavequery.sources import standins as S
 from wavequery.operators import evaluate as EV
+from wavequery.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,7 +60,8 @@ from judged group by question_type""",
     ),
 )
 def accuracy_by_question_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EV.accuracy_by(scored_examples(spark, sf_dir), "question_type")
+    # the fixed list's members that no example has are added and filtered out again (FLT-4)
+    return EV.accuracy_by(scored_examples(spark, sf_dir), "question_type", categories=QUESTION_TYPES)
 
 
 @register(
@@ -84,16 +86,40 @@ def accuracy_by_attribute_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     "accuracy_detail_sets",
     with_views(
         ["qa", "predictions"],
-        f"""with {_SCORED_SQL}
+        f"""with {_SCORED_SQL},
+rows_ as (
+  select question_type, attribute_type, case when correct then 1 else 0 end as c from judged
+  union all
+  select q, a, null from (values {", ".join(f"('{q}')" for q in DETAIL_QUESTION_TYPES)}) as x(q),
+    (values {", ".join(f"('{a}')" for a in ATTRIBUTE_TYPES)}) as y(a))
 select question_type, attribute_type, cast(grouping(question_type, attribute_type) as integer) as level,
-       cast(sum(case when correct then 1 else 0 end) as bigint) as correct, cast(count(*) as bigint) as total,
-       cast(sum(case when correct then 1 else 0 end) as double) / count(*) * 100.0 as acc_pct
-from judged
+       cast(coalesce(sum(c), 0) as bigint) as correct, cast(count(c) as bigint) as total,
+       case when count(c) > 0 then cast(sum(c) as double) / count(c) * 100.0 end as acc_pct
+from rows_
 group by grouping sets ((question_type, attribute_type), (question_type), (attribute_type), ())""",
     ),
 )
 def accuracy_detail_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EV.accuracy_detail(scored_examples(spark, sf_dir))
+    return EV.accuracy_detail(scored_examples(spark, sf_dir), first_values=DETAIL_QUESTION_TYPES, second_values=ATTRIBUTE_TYPES)
+
+
+@register(
+    "accuracy_by_label",
+    with_views(
+        ["qa", "predictions"],
+        """with scored as (
+  select question_type, string_split(regexp_replace(p.prediction, '^\\s+|\\s+$', '', 'g'), '.') as pred_list, list_slice(answer, 1, 2) as label
+  from qa join predictions p using (seq)),
+judged as (select question_type, list_sort(list_distinct(pred_list)) = list_sort(list_distinct(label)) as correct from scored)
+select question_type, cast(sum(case when correct then 1 else 0 end) as bigint) as correct, count(*) as total,
+       cast(sum(case when correct then 1 else 0 end) as double) / count(*) * 100.0 as acc_pct
+from judged group by question_type""",
+    ),
+)
+def accuracy_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11: the report against another truth column (here: the first two codes of the answer)."""
+    scored = EV.attach_predictions(S.qa(spark, sf_dir), S.predictions(spark, sf_dir)).withColumn("label", F.slice("answer", 1, 2))
+    return EV.accuracy_by(EV.mark_correct(scored, truth="label"), "question_type")
 
 
 @register(
@@ -264,6 +290,60 @@ def batch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "batch_hook",
+    with_views(
+        ["qa"],
+        f"""with {_BATCHED_SQL}
+select batch_id, count(*) as n, count(distinct question) as n_questions, max(len(answer)) as longest from batched group by batch_id""",
+    ),
+)
+def batch_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-1: a caller's collate step on the packed batches, as a DataFrame transformation."""
+    from wavequery.operators.qa import collate_batches
+
+    def hook(packed: DataFrame) -> DataFrame:
+        return packed.select(
+            "batch_id",
+            F.size("question").cast("bigint").alias("n"),
+            F.size(F.array_distinct("question")).cast("bigint").alias("n_questions"),
+            F.array_max(F.transform("answer", F.size)).cast("bigint").alias("longest"),
+        )
+
+    batched, _ = _batched(spark, sf_dir)
+    return collate_batches(batched, ["question", "answer"], hook)
+
+
+@register(
+    "example_at",
+    with_views(["qa"], f"with {_BATCHED_SQL}\nselect seq, question, pos from ordered where pos = (select count(*) // 2 from ordered)"),
+)
+def example_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-2: the example at a position of the whole ordered list (here: the middle)."""
+    from wavequery.operators.qa import example_at as at
+    from wavequery.plans.training import order_examples
+
+    numbered = order_examples(S.qa(spark, sf_dir), "grouped", 42)
+    return at(numbered.df, numbered.total // 2).select("seq", "question", "pos")
+
+
+@register(
+    "file_positions",
+    with_views(
+        ["qa"],
+        """select seq as sample_id, row_number() over (order by attribute_type, question, seq) - 1 as pos from qa""",
+    ),
+)
+def file_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-9: positions by (template, question, sample) keys."""
+    from wavequery.sources.annotations import file_positions as fp
+
+    ann = S.qa(spark, sf_dir).select(
+        F.col("attribute_type").alias("template_id"), F.col("question").alias("question_id"), F.col("seq").alias("sample_id")
+    )
+    return fp(ann, pos="pos").select("sample_id", "pos")
+
+
 @register("pair_scores", with_views(["qa"], f"with {_BATCHED_SQL}\nselect batch_id, i, j, score, known from scores"))
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, pairs = _batched(spark, sf_dir)
@@ -347,6 +427,33 @@ def lead_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("record_id", "lead", "t", F.round("v_back", 6).alias("v_back"), "flat")
 
 
+@register(
+    "lead_unscaled",
+    with_views(["signals"], "select record_id, lead, t, cast(v as double) as z, round(avg(v) over (partition by record_id, lead), 6) as mean from signals"),
+)
+def lead_unscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-3: with scaling off values pass through; the parameters are fitted all the same."""
+    from wavequery.operators.signals import zscore
+
+    keys = ["record_id", "lead"]
+    same, params = zscore(S.signals(spark, sf_dir), keys, scale=False)
+    return same.join(params, keys).select(*keys, "t", "z", F.round("mean", 6).alias("mean"))
+
+
+@register(
+    "first_differences",
+    with_views(
+        ["signals_one"],
+        "select record_id, t, round(v - lag(v) over (partition by record_id order by t), 6) as dv from signals_one",
+    ),
+)
+def first_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavequery.operators.signals import first_differences as fd
+
+    sig = S.signals_one(spark, sf_dir).select("record_id", "t", "v")
+    return fd(sig, ["record_id"]).select("record_id", "t", F.round("dv", 6).alias("dv"))
+
+
 @register(
     "series_stats",
     with_views(
@@ -426,12 +533,8 @@ def autocorr_top_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(
-    "prompt_text",
-    with_views(
-        ["qa", "signals_one"],
-        f"""with {_STATS_SQL}, {_TOP_LAGS_SQL},
-lag_text as (select record_id, '[' || string_agg(cast(lag as varchar), ', ' order by rank) || ']' as lags_text
+# fixed values: the prompt text
+_PROMPT_SQL = """lag_text as (select record_id, '[' || string_agg(cast(lag as varchar), ', ' order by rank) || ']' as lags_text
              from top_lags where rank <= 5 group by record_id)
 select qa.seq, qa.record_id,
   '<|start_prompt|>Dataset description: The dataset contains electrocardiogram (ECG) time-series data. '
@@ -442,8 +545,12 @@ select qa.seq, qa.record_id,
   || '. Question:' || qa.question || '<|end_prompt|><|start_ecg|>' as prompt_prefix,
   '<|end_ecg|>Answer:' as prompt_suffix,
   array_to_string(answer, '.') || '<|end_of_text|>' as answer_text
-from qa join stats using (record_id) join lag_text using (record_id)""",
-    ),
+from qa join stats using (record_id) join lag_text using (record_id)"""
+
+
+@register(
+    "prompt_text",
+    with_views(["qa", "signals_one"], f"with {_STATS_SQL}, {_TOP_LAGS_SQL}, {_PROMPT_SQL}"),
 )
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavequery.operators.prompts import build_prompts
@@ -457,6 +564,54 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "record_id", "prompt_prefix", "prompt_suffix", "answer_text")
 
 
+_COMBINED_SQL = f"""{_WEIGHTS_SQL},
+lens as (select record_id, lead, count(*) as tl from signals group by 1, 2),
+c as (select s.record_id, ((s.t - weights.k + 1) % tl + tl) % tl as t, weights.w * s.vc as part
+      from signals s join lens using (record_id, lead) join weights on weights.lead = s.lead),
+signals_one as (
+  select record_id, t, cast(sum(part) as double) as v, cast(sum(part) as bigint) as vc, count(*) over (partition by record_id) as n
+  from c group by record_id, t)"""
+
+
+def _combined_features(spark: SparkSession, sf_dir: str):
+    from wavequery.plans.features import series_features
+
+    weights = spark.createDataFrame(LEAD_WEIGHTS, "lead string, k int, w bigint")
+    return series_features(S.signals(spark, sf_dir).select("record_id", "lead", "t", F.col("vc").alias("v")), weights)
+
+
+@register(
+    "combined_prompt_text",
+    with_views(["qa", "signals"], f"with {_COMBINED_SQL}, {_STATS_SQL}, {_TOP_LAGS_SQL}, {_PROMPT_SQL}"),
+)
+def combined_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow 2 whole: leads combined, then statistics and lags of the combined series, then prompts."""
+    from wavequery.plans.features import prompts_for
+
+    out = prompts_for(S.qa(spark, sf_dir), _combined_features(spark, sf_dir))
+    return out.select("seq", "record_id", "prompt_prefix", "prompt_suffix", "answer_text")
+
+
+@register(
+    "combined_patches",
+    with_views(
+        ["signals"],
+        f"""with {_COMBINED_SQL},
+info as (select record_id, count(*) as n, arg_max(v, t) as last_v from signals_one group by record_id),
+p as (select record_id, n, last_v, unnest(range(0, cast(floor((n + 8 - 16) / 8) + 1 as bigint))) as patch_id from info where n + 8 >= 16),
+o as (select record_id, n, last_v, patch_id, unnest(range(0, 16)) as k from p)
+select o.record_id, cast(patch_id * 16 + k as integer) as d, case when patch_id * 8 + k < o.n then s.v else o.last_v end as x
+from o left join signals_one s on s.record_id = o.record_id and s.t = patch_id * 8 + k""",
+    ),
+)
+def combined_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of the combined series, flattened to one vector per record (VEC-1), in long form."""
+    from wavequery.operators.vectors import flatten_matrix
+
+    flat = flatten_matrix(_combined_features(spark, sf_dir).patches, "patches")
+    return flat.select("record_id", F.posexplode("vec").alias("d", "x"))
+
+
 # --------------------------------------------------------------------------- vectors
 
 _UNIT_SQL = """
@@ -496,24 +651,44 @@ def batch_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "batch_similarity_mse",
     with_views(
-        ["vectors", "qa"],
-        f"""with {_UNIT_SQL}, {_BATCHED_SQL},
-sim as (select a.batch_id, a.idx as i, b.idx as j, sum(a.ux * b.ux) as sim
-        from unit a join unit b on a.batch_id = b.batch_id and a.d = b.d group by 1, 2, 3),
+        ["vectors", "qa", "predictions"],
+        f"""with {_BATCHED_SQL}, {_SCORED_SQL},
+unit as (select vec_id, embedding as e, sqrt(list_dot_product(embedding, embedding)) as norm from vectors),
+ex as (
+  select batch_id, idx, e, norm
+  from (select batch_id, idx, record_id % (select count(*) from vectors) as vec_id from batched) join unit using (vec_id)),
+sim as (
+  select a.batch_id, a.idx as i, b.idx as j, list_dot_product(a.e, b.e) / (a.norm * b.norm) as sim
+  from ex a join ex b on a.batch_id = b.batch_id),
 per_batch as (select batch_id, count(*) as n_cells, avg(power(sim - score, 2)) as sim_mse
-              from sim join scores using (batch_id, i, j) group by batch_id)
-select batch_id, 0 as level, n_cells, round(sim_mse, 6) as sim_mse from per_batch
+              from sim join scores using (batch_id, i, j) group by batch_id),
+missed as (select batch_id, avg(case when correct then 0.0 else 1.0 end) as miss
+           from (select seq, correct from judged) join batched using (seq) group by batch_id),
+losses as (select batch_id, n_cells, sim_mse, 0.5 * miss + 0.5 * sim_mse as loss from per_batch join missed using (batch_id))
+select batch_id, 0 as level, n_cells, round(sim_mse, 6) as sim_mse, round(loss, 6) as loss from losses
 union all
-select null, 1, count(*), round(avg(sim_mse), 6) from per_batch""",
+select null, 1, count(*), round(avg(sim_mse), 6), round(avg(loss), 6) from losses""",
     ),
 )
 def batch_similarity_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavequery.operators.vectors import batch_cosine as bc, similarity_mse, with_mean_of_batches
-
-    _, pairs = _batched(spark, sf_dir)
-    per_batch = similarity_mse(bc(S.vectors(spark, sf_dir)), pairs)
-    out = with_mean_of_batches(per_batch, "sim_mse", "n_cells")
-    return out.select("batch_id", "level", "n_cells", F.round("sim_mse", 6).alias("sim_mse"))
+    """Similarity and score matrices of the same batches of examples, compared as row vectors (JN-4, AGG-14),
+    combined with each batch's share of wrong predictions (PRJ-11) and averaged over batches (AGG-13).
+
+    Stand-in: an example's vector is that of its record, numbered round the vector table."""
+    from wavequery.operators.qa import pair_score_rows
+    from wavequery.operators.vectors import combined_loss, cosine_rows, similarity_mse_rows, with_mean_of_batches
+    from wavequery.plans.training import batches_and_lookup
+
+    batched, lookup = batches_and_lookup(S.qa(spark, sf_dir), 32, "grouped", 42)
+    vectors = S.vectors(spark, sf_dir).select("vec_id", "embedding")
+    mine = batched.select("batch_id", "idx", (F.col("record_id") % max(vectors.count(), 1)).alias("vec_id"))
+    sims = cosine_rows(mine.join(vectors, "vec_id", "left"))
+    per_batch = similarity_mse_rows(sims, pair_score_rows(batched, lookup))
+    scored = EV.mark_correct(EV.attach_predictions(batched, S.predictions(spark, sf_dir)))
+    missed = scored.groupBy("batch_id").agg(F.avg((~F.col("correct")).cast("double")).alias("miss"))
+    losses = per_batch.join(missed, "batch_id").withColumn("loss", combined_loss("miss", "sim_mse"))
+    out = with_mean_of_batches(losses, ["sim_mse", "loss"], "n_cells")
+    return out.select("batch_id", "level", "n_cells", F.round("sim_mse", 6).alias("sim_mse"), F.round("loss", 6).alias("loss"))
 
 
 @register(
@@ -540,6 +715,31 @@ def prototype_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("vec_id", "head", F.col("x.key").alias("key"), F.round("x.w", 6).alias("w"))
 
 
+@register(
+    "prototype_values",
+    with_views(
+        ["vectors"],
+        """with vlong as (select vec_id, label, unnest(range(len(embedding))) as d, unnest(embedding) as x from vectors),
+protos as (select label as key, d, avg(x) as k, max(x) as v from vlong group by label, d),
+scores as (select l.vec_id, l.d // 32 as head, p.key, sum(l.x * p.k) / sqrt(32) as s
+           from vlong l join protos p on l.d = p.d group by 1, 2, 3),
+e as (select vec_id, head, key, exp(s - max(s) over (partition by vec_id, head)) as e from scores),
+w as (select vec_id, head, key, e / sum(e) over (partition by vec_id, head) as w from e)
+select vec_id, cast(d as integer) as d, round(sum(w * v), 6) as x
+from w join protos using (key) where d // 32 = head group by vec_id, d""",
+    ),
+)
+def prototype_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-4's blended output with values other than the keys (keys: a label's means, values: its maxima)."""
+    from wavequery.operators.vectors import mean_prototypes, prototype_blend as pb
+
+    v = S.vectors(spark, sf_dir)
+    peaks = v.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.max("x").alias("x"))
+    peaks = peaks.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("value"))
+    out = pb(v.select("vec_id", "embedding"), mean_prototypes(v).join(peaks, "label"), n_heads=2, value_col="value", weights=False)
+    return out.select("vec_id", F.posexplode("blend").alias("d", "x")).select("vec_id", "d", F.round("x", 6).alias("x"))
+
+
 # --------------------------------------------------------------------------- token sequences
 
 # Stand-in token ids: a word's id is its length + 3 (0 pad, 1 begin, 2 end are reserved);
@@ -723,18 +923,23 @@ def stream_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
+#: Files of one micro-batch.
+FILES_PER_TRIGGER = 64
+
+
 @register("stream_accuracy", ORACLE["accuracy_by_question_type"])
 def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions arrive file by file (one micro-batch each) and are joined to the static examples."""
+    """Predictions arrive in micro-batches of files and are joined to the static examples."""
     from wavequery.streaming.accuracy import running_accuracy
     from wavequery.streaming.runner import run_complete, scratch, stage
 
     preds = S.predictions(spark, sf_dir)
     root = scratch(spark, "stream-accuracy")
     src, sink, ckpt = f"{root}/in", f"{root}/out", f"{root}/ckpt"
-    stage([preds.repartition(2, "seq")], src)
-    stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    run_complete(running_accuracy(stream, S.qa(spark, sf_dir)), sink, ckpt)
+    stage([preds], src)
+    stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(src)
+    # the static side is written once, not worked out anew for every trigger
+    run_complete(running_accuracy(stream, written(S.qa(spark, sf_dir), "examples")), sink, ckpt)
     return spark.read.parquet(sink)
 
 

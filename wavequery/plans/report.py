@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from wavequery.operators import evaluate as EV
 from wavequery.operators.ordering import Numbered, with_positions
-from wavequery.schemas import ATTRIBUTE_TYPES, QUESTION_TYPES
+from wavequery.schemas import ATTRIBUTE_TYPES, DETAIL_QUESTION_TYPES, QUESTION_TYPES
 
 
 def accuracy_report(examples: DataFrame, predictions: DataFrame, key: str = "seq", sep: str = ".",
@@ -27,6 +27,6 @@ def accuracy_report(examples: DataFrame, predictions: DataFrame, key: str = "seq
     return {
         "question_type": EV.accuracy_by(scored, "question_type", QUESTION_TYPES),
         "attribute_type": EV.accuracy_by(scored, "attribute_type", ATTRIBUTE_TYPES, keep_empty=True),
-        "detail": EV.accuracy_detail(scored),
+        "detail": EV.accuracy_detail(scored, first_values=DETAIL_QUESTION_TYPES, second_values=ATTRIBUTE_TYPES),
         "scored": scored,
     }
