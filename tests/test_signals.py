@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import math
 
 import numpy as np
@@ -126,6 +127,10 @@ def test_sorted_lower_median_equals_percentile_disc_on_a_split_series(spark):
     got = {r.record_id: r.median_v for r in SG.lower_median_sorted(df, ["record_id"], num_partitions=5).collect()}
     expect = {k: float(sorted(v)[(len(v) + 1) // 2 - 1]) for k, v in series.items()}
     assert got == expect
+    native = df.groupBy("record_id").agg(F.percentile_disc(F.lit(0.5), "v").alias("m")) if hasattr(F, "percentile_disc") else df.groupBy(
+        "record_id"
+    ).agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m"))
+    assert got == {r.record_id: r.m for r in native.collect()}
     disc = {r.record_id: r.median_v for r in SG.series_stats(df, ["record_id"]).collect()}
     assert disc == expect
 
@@ -166,3 +171,12 @@ def test_affine_forward_and_back_and_unpack(spark):
     x = long.withColumn("z", SG.affine("v", "mean", "std")).withColumn("back", SG.affine_inverse("z", "mean", "std"))
     got = {(r.record_id, r.t): (r.v, r.z, r.back) for r in x.collect()}
     assert got == {(1, 0): (1.0, -1.0, 1.0), (1, 1): (5.0, 1.0, 5.0), (2, 0): (7.0, None, None)}
+
+
+def test_statistics_of_null_series_null_samples_and_nan(spark):
+    rows = [(None, t, v) for t, v in enumerate([4.0, 1.0, 3.0, 2.0])] + [(1, 0, None), (1, 1, 5.0)] + [(2, 0, 1.0), (2, 1, float("nan"))]
+    rows += [(3, 0, None)]
+    df = spark.createDataFrame(rows, "record_id long, t long, v double")
+    got = {r.record_id: (r.min_v, r.max_v, r.median_v, r.n) for r in SG.series_stats(df, ["record_id"]).collect()}
+    assert got[None] == (1.0, 4.0, 2.0, 4) and got[1] == (5.0, 5.0, 5.0, 2) and got[3] == (None, None, None, 1)
+    assert all(x != x for x in got[2][:3])

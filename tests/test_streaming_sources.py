@@ -73,6 +73,15 @@ def test_read_annotations_and_splits(spark):
         A.split_path(folder, "dev")
 
 
+def test_positions_over_a_folder_of_files_have_no_gaps(spark):
+    folder = tempfile.mkdtemp(prefix="wq-ann-")
+    for name, ids in (("b", [7, 5]), ("a", [9, 1, 4]), ("c", [])):
+        with open(os.path.join(folder, f"{name}.json"), "w") as f:
+            json.dump([_record(i, "q", ["yes"], i) for i in ids], f)
+    got = {r.seq: r.sample_id for r in A.read_annotations(spark, folder).collect()}
+    assert got == dict(enumerate([9, 1, 4, 7, 5]))
+
+
 def test_prompt_bank_ett_mapping(spark):
     folder = tempfile.mkdtemp(prefix="wq-bank-")
     for name, text in (("ETT", "ett text\nline 2"), ("ECG", "ecg text")):

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavequery.functions.arrays import replicate_pad
 from wavequery.schemas import TOP_K_LAGS
 
 
@@ -119,41 +120,42 @@ def zscore_packed(packed: DataFrame, v: str = "v", out: str = "z") -> DataFrame:
 def series_stats(long: DataFrame, keys: list[str], t: str = "t", v: str = "v") -> DataFrame:
     """min, max, lower median, trend (= sum of first differences = last - first), length.
 
-    All are partial aggregates: ``percentile_disc(0.5)`` is the lower median
-    (``median()`` would average the two middle values); the trend telescopes to
-    ``max_by(v, t) - min_by(v, t)`` so no window over the series is needed.
+    The trend telescopes to ``max_by(v, t) - min_by(v, t)``, so all but the median are partial
+    aggregates and no window over the series is needed. The median (the lower one; null samples do not count)
+    comes from ``lower_median_sorted``, which splits a series of any size.
     NaN propagates: any NaN sample makes the statistics NaN.
     """
+    from wavequery.operators.ordering import same
+
     x = F.col(v).cast("double")
-    has_nan = F.max(F.isnan(x).cast("int")) > 0
     nan = F.lit(float("nan"))
-    median = F.percentile_disc(F.lit(0.5), x) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc(0.5) within group (order by {v})")
+    number = lambda c: F.when(F.col("_nan"), nan).otherwise(F.col(c)).alias(c)
     stats = long.groupBy(*keys).agg(
-        F.when(has_nan, nan).otherwise(F.min(x)).alias("min_v"),
-        F.when(has_nan, nan).otherwise(F.max(x)).alias("max_v"),
-        F.when(has_nan, nan).otherwise(median).alias("median_v"),
-        F.when(has_nan, nan).otherwise(F.max_by(x, t) - F.min_by(x, t)).alias("trend"),
+        F.coalesce(F.max(F.isnan(x)), F.lit(False)).alias("_nan"),
+        F.min(x).alias("min_v"),
+        F.max(x).alias("max_v"),
+        (F.max_by(x, t) - F.min_by(x, t)).alias("trend"),
         F.count(F.lit(1)).alias("n"),
     )
-    return stats
+    stats = same(stats, lower_median_sorted(long.where(x.isNotNull()), keys, t, v), keys, "left")
+    return stats.select(*keys, *[number(c) for c in ("min_v", "max_v", "median_v", "trend")], "n")
 
 
 def lower_median_sorted(long: DataFrame, keys: list[str], t: str = "t", v: str = "v",
                         num_partitions: int | None = None) -> DataFrame:
     """Exact lower median for series of any size: (keys..., median_v).
 
-    ``percentile_disc`` keeps a value->count map per group, which one task must hold
-    for a huge series. Here the samples are numbered globally in (keys, v, t) order
+    ``percentile_disc`` would keep a value->count map per group in one task. Here the samples are numbered globally in (keys, v, t) order
     (range partitions split a huge series), each series' first position and length
     come from partial aggregates, and the row at first + ceil(n/2) - 1 is the median.
     """
-    from wavequery.operators.ordering import with_positions
+    from wavequery.operators.ordering import same, with_positions
 
     numbered = with_positions(long.select(*keys, t, F.col(v).cast("double").alias(v)), [*keys, v, t], pos="_pos",
                               num_partitions=num_partitions)
     bounds = numbered.df.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
     target = (F.col("_start") + F.ceil(F.col("_n") / 2) - 1).cast("bigint")
-    picked = numbered.df.join(bounds, keys).where(F.col("_pos") == target)
+    picked = same(numbered.df, bounds, keys).where(F.col("_pos") == target)
     return picked.select(*keys, F.col(v).alias("median_v"))
 
 
@@ -203,7 +205,7 @@ def patch_count(n: Column, patch_len: int, stride: int) -> Column:
 
 def patches_packed(packed: DataFrame, patch_len: int, stride: int, v: str = "v") -> DataFrame:
     """Packed: replicate-pad the last value ``stride`` times, then count-based windows -> array<array<double>>."""
-    padded = F.concat(F.col(v), F.array_repeat(F.element_at(v, -1), stride))
+    padded = replicate_pad(v, stride)
     n_p = patch_count(F.size(v), patch_len, stride)
     # the padded series is bound once per row, not rebuilt for every patch
     cut = lambda whole: F.transform(F.sequence(F.lit(0), n_p - 1), lambda p: F.slice(whole, p * stride + 1, patch_len))

@@ -978,6 +978,54 @@ def annotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SPLIT_OF = {"train": 0, "valid": 1, "test": 2}
+
+
+@register(
+    "annotation_files",
+    with_views(
+        ["qa"],
+        """with s as (select *, case seq % 3 when 0 then 'train' when 1 then 'valid' else 'test' end as split from qa)
+select split, seq as sample_id, row_number() over (partition by split order by seq) - 1 as pos, question, record_id,
+       array_to_string(answer, '.') as answer_text
+from s""",
+    ),
+)
+def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1/2: the examples as annotation files (arrays of at most 4096 records), read back by split, numbered (WIN-9)."""
+    from wavequery.sources.annotations import as_qa, file_positions as fp, read_split
+    from wavequery.streaming.runner import scratch
+
+    root = scratch(spark, "annotations")
+    rows = written(S.qa(spark, sf_dir), "examples")
+    record = F.struct(
+        F.lit(0).alias("template_id"), F.lit(0).alias("question_id"), F.col("seq").alias("sample_id"), "question_type", "attribute_type",
+        "question", "answer", F.array("record_id").alias("ecg_id"),
+    )
+    found = []
+    for split, k in _SPLIT_OF.items():
+        part = rows.where(F.col("seq") % 3 == k).groupBy(F.expr("seq div 4096").alias("_file"))
+        arrays = part.agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
+        arrays.write.option("maxRecordsPerFile", 1).text(f"{root}/template_{split}.json")
+        read = read_split(spark, root, split)
+        placed = fp(read, pos="pos")
+        found.append(as_qa(placed.withColumn("seq", F.col("sample_id"))).join(placed.select(F.col("sample_id").alias("seq"), "pos"), "seq"))
+    both = found[0].unionByName(found[1]).unionByName(found[2])
+    return both.select("split", F.col("seq").alias("sample_id"), "pos", "question", "record_id", F.array_join("answer", ".").alias("answer_text"))
+
+
+@register("sample_files", with_views(["signals"], "select record_id, lead, t, cast(v as double) as v from signals"))
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3: decoded samples read from files, packed per lead and unpacked again (PRJ-14)."""
+    from wavequery.operators.signals import unpack
+    from wavequery.sources.signals import packed_signals, read_samples
+    from wavequery.streaming.runner import scratch
+
+    path = scratch(spark, "samples")
+    S.signals(spark, sf_dir).select("record_id", "lead", "t", "v").write.parquet(path)
+    return unpack(packed_signals(read_samples(spark, path), record="record_id"), ["record_id", "lead"])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

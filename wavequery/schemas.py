@@ -45,23 +45,3 @@ ANNOTATION_SCHEMA = T.StructType(
         T.StructField("ecg_path", T.StringType()),
     ]
 )
-
-# Long (exchange) form of a signal: one sample per row.
-SIGNAL_LONG_SCHEMA = T.StructType(
-    [
-        T.StructField("record_id", T.LongType()),
-        T.StructField("lead", T.StringType()),
-        T.StructField("t", T.LongType()),
-        T.StructField("v", T.DoubleType()),
-    ]
-)
-
-RUN_METRICS_SCHEMA = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("epoch", T.LongType()),
-        T.StructField("val_loss", T.DoubleType()),
-    ]
-)
-
-PROMPT_BANK_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.StringType())])

@@ -20,17 +20,19 @@ def split_path(root: str, split: str) -> str:
 
 
 def read_annotations(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """SRC-1: one split's JSON array (multi-line) with the fixed schema, plus its file position.
+    """SRC-1: one split's JSON array (multi-line) with the fixed schema, plus its position in the file.
 
-    A multi-line JSON file is read by one task (not splittable); convert it to
-    Parquet once with ``write_prepared`` and read that afterwards. ``seq`` is the
-    row's position in the file; ``file_positions`` numbers rows by
+    ``path`` is a file or a folder of files, each an array; files count in name order. A multi-line
+    JSON file is read by one task (not splittable): write large annotations as many files, or convert
+    them to Parquet once with ``write_prepared``. ``file_positions`` numbers rows by
     (template_id, question_id, sample_id) instead (WIN-9).
     """
+    from wavequery.operators.ordering import with_positions
+
     df = spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", True).json(path)
-    # position in file: a single-file multi-line read is one partition, so the
-    # monotonically increasing id is the array index
-    df = df.withColumn("seq", F.monotonically_increasing_id())
+    # a file is never split, so the increasing id follows its order; numbering makes the positions gapless
+    df = df.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("_row", F.monotonically_increasing_id())
+    df = with_positions(df, ["_file", "_row"], pos="seq").df.drop("_file", "_row")
     if split is not None:
         df = df.withColumn("split", F.lit(split))
     return df

@@ -2,9 +2,8 @@
 
 The reference's own inputs (annotation JSON, waveforms, predictions, run logs)
 are not shipped at scale, so each is re-expressed over the driver tables. Every
-function returns a lazy DataFrame. The per-series time index comes from
-``ordering.series_index``: a window per series while the longest series fits a
-task, the distributed numbering otherwise (one small aggregation decides).
+function returns a DataFrame. The per-series time index comes from
+``ordering.series_index``, one distributed numbering for every size.
 """
 
 from __future__ import annotations
