@@ -1,9 +1,9 @@
-from pyspark.sql import functions as F
 import math
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wavequery.functions import fixed4, int_list_text, trend_word
 from wavequery.operators import signals as SG
@@ -127,9 +127,7 @@ def test_sorted_lower_median_equals_percentile_disc_on_a_split_series(spark):
     got = {r.record_id: r.median_v for r in SG.lower_median_sorted(df, ["record_id"], num_partitions=5).collect()}
     expect = {k: float(sorted(v)[(len(v) + 1) // 2 - 1]) for k, v in series.items()}
     assert got == expect
-    native = df.groupBy("record_id").agg(F.percentile_disc(F.lit(0.5), "v").alias("m")) if hasattr(F, "percentile_disc") else df.groupBy(
-        "record_id"
-    ).agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m"))
+    native = df.groupBy("record_id").agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m"))
     assert got == {r.record_id: r.m for r in native.collect()}
     disc = {r.record_id: r.median_v for r in SG.series_stats(df, ["record_id"]).collect()}
     assert disc == expect
