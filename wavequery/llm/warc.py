@@ -1,8 +1,8 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Records are sorted by page id and dealt into shards: contiguous id ranges of about ``shard_bytes`` of
-payload, found from a histogram of at most ``BLOCKS`` id blocks. One task writes a shard; it rolls to the next file
-when ``roll_bytes`` of compressed records are out. Headers, digests, record ids and the gzip members are made anew
+Records are sorted by page id and dealt into shards: contiguous ranges of about ``shard_bytes`` of
+payload (more where that would make over ``SHARDS`` of them), found from running sums of bytes in that order. One
+task writes a shard; it rolls to the next file when ``roll_bytes`` of compressed records are out. Headers, digests, record ids and the gzip members are made anew
 from the row alone, so a repeated task writes the same bytes. A file is written under a
 temporary name and moved to its own; it counts only when the manifest, written last by Spark's committer, lists it
 with its size and SHA-256, which the reader checks.
@@ -11,7 +11,7 @@ Of records with equal payloads of at least ``minimum`` bytes, that with the larg
 response, the others are revisits of it; rows that repeat the largest id too are responses.
 
 Null html is an empty payload, a null url has no target header; a null page id is never the largest. Repeated rows give
-a record each; an empty table gives no file and no row. Further columns are ignored.
+a record each (which of several shards holds how many follows the order they are read in, if they fill more than one); an empty table gives no file and no row. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +22,17 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavequery.operators.ordering import with_positions
+
 from .common import only, staged, staging_path
 
-BLOCKS, SHARD_BYTES, ROLL_BYTES, MINIMUM, DATE = 4096, 32 << 20, 16 << 20, 1000, "2024-01-01T00:00:00Z"
+SHARDS, SHARD_BYTES, ROLL_BYTES, MINIMUM, CHUNK, DATE = 1 << 16, 32 << 20, 16 << 20, 1000, 1 << 16, "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
 _SCHEMA = "file string, shard int, part int, records long, payload_bytes long, file_bytes long, sha256 string"
@@ -53,17 +57,45 @@ def typed(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
 
 
 def sharded(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """Adds shard, by ranges of page_id; also returns the number of shards."""
-    ends = rows.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    width = (hi - lo) // BLOCKS + 1
-    rows = rows.withColumn("block", F.coalesce(F.expr(f"(page_id - {lo}L) div {width}L"), F.lit(0).cast("long")))
-    sizes = rows.groupBy("block").agg(F.sum(F.col("payload_bytes") + 512).alias("size"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # at most BLOCKS rows
-    sizes = sizes.select("block", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / shard_bytes).cast("long").alias("at"))
-    sizes = staged(sizes.select("block", (F.dense_rank().over(Window.orderBy("at")) - 1).alias("shard")), "shards")
-    n = sizes.agg(F.max("shard")).first()[0]
-    return rows.join(F.broadcast(sizes), "block").drop("block"), (n or 0) + 1
+    """Adds shard and key; also returns the number of shards (``SHARDS`` and a few at most).
+
+    Distinct keys are numbered in order (range partitions), and running sums of their bytes, by chunks of positions,
+    cut them into shards; only each shard's first key comes to the driver. A key whose rows exceed a
+    shard (repeated rows) is dealt out over as many as it fills."""
+    spark = rows.sparkSession
+    # sorts like the page id (null first); rows of one id are dealt by a hash
+    signed = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    own = F.lpad(F.hex(F.xxhash64("payload_digest", "url")), 16, "0")
+    rows = rows.withColumn("key", F.concat(F.coalesce(F.concat(F.lit("1"), signed), F.lit("0" * 17)), own))
+    sizes = rows.groupBy("key").agg(F.sum(F.col("payload_bytes") + 512).alias("size"), F.count("*").alias("n"))
+    sizes = staged(sizes, "key-sizes")
+    shard_bytes = max(shard_bytes, (sizes.agg(F.sum("size")).first()[0] or 0) // SHARDS)
+    fill = F.least(F.ceil(F.col("size") / shard_bytes), "n")
+    large = staged(sizes.select("key", fill.alias("parts")).where("parts > 1"), "large-keys")  # at most 2 * SHARDS rows
+    last = lambda part: F.concat("key", F.lpad(F.hex(part), 8, "0"))
+    if large.isEmpty():
+        sizes, rows = (x.withColumn("key", last(F.lit(0).cast("long"))) for x in (sizes, rows))
+    else:
+        each = F.coalesce("parts", F.lit(1).cast("long"))
+        sizes = sizes.join(F.broadcast(large), "key", "left").select("key", (F.col("size") / each).cast("long").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), each - 1)).alias("part"))
+        sizes = sizes.select(last(F.col("part")).alias("key"), "size")
+        rows = rows.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(large), "key", "left")
+        rows = rows.withColumn("key", last(F.pmod("at", each))).drop("at", "parts")
+    placed = with_positions(sizes.select("key", "size"), ["key"]).df.withColumn("chunk", F.expr(f"pos div {CHUNK}"))
+    chunks = placed.groupBy("chunk").agg(F.sum("size").alias("sum"))
+    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per CHUNK keys
+    chunks = staged(chunks.select("chunk", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before")), "chunks")
+    inside = Window.partitionBy("chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    shard = placed.join(chunks, "chunk").select("key", F.floor(before / shard_bytes).alias("shard"))
+    starts = shard.groupBy("shard").agg(F.min("key").alias("key")).toArrow().column("key").to_pylist()
+    shared = spark.sparkContext.broadcast(np.sort(np.array(starts, dtype="S41")))
+
+    @F.pandas_udf("int")
+    def find(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, key.to_numpy(dtype="S41"), side="right").astype(np.int32) - 1)
+
+    return rows.withColumn("shard", find("key")), max(1, len(starts))
 
 
 def _id(page_id: int | None, digest: str) -> str:
@@ -158,8 +190,7 @@ def write(pages: DataFrame, uri: str, minimum: int = MINIMUM, shard_bytes: int =
     from pyarrow.fs import FileSystem, FileType
 
     rows, shards = sharded(typed(digested(pages), minimum), shard_bytes)
-    order = ["shard", "page_id", "payload_digest", "url"]
-    rows = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions(*order)
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "payload_digest", "url")
     rows = rows.select("shard", "page_id", "url", "payload", "refers_to", "payload_digest")
     rows.mapInArrow(_writer(uri, roll_bytes), _SCHEMA).write.parquet(f"{uri}/manifest")
     fs, root = FileSystem.from_uri(uri)
