@@ -36,49 +36,57 @@ _CACHE = 200_000
 
 @dataclass
 class Model:
+    """``words`` and ``grams`` (one table per order in ORDERS) point at rows of ``evidence``: log
+    frequencies in each language less their mean. One matrix is sent to the workers, not an array per key."""
+
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)  # one table per order in ORDERS
+    evidence: np.ndarray
+    words: dict[str, int] = field(default_factory=dict)
+    grams: list[dict[str, int]] = field(default_factory=list)
 
     def word(self, word: str) -> np.ndarray:
-        """Evidence of one word: log frequencies less their mean over the languages."""
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.evidence[known]
         padded = f" {word} "
         for n, table in zip(ORDERS, self.grams):
             found = [table[g] for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) in table]
             if found:
-                return np.mean(found, axis=0)
+                return self.evidence[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
-def _evidence(counts: dict[str, np.ndarray], totals: np.ndarray) -> dict[str, np.ndarray]:
-    out = {}
-    for key, c in counts.items():
-        v = np.log((c + SMOOTHING) / (totals + SMOOTHING * len(counts)))
-        out[key] = v - v.mean()
-    return out
+def _evidence(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    v = np.log((counts + SMOOTHING) / (totals + SMOOTHING * len(counts)))
+    return v - v.mean(axis=1, keepdims=True)
 
 
 def build(rows: list[tuple[str, str, int]]) -> Model:
     """From (lang, word, count)."""
     langs = sorted({r[0] for r in rows})
-    at = {x: i for i, x in enumerate(langs)}
-    zeros = lambda: np.zeros(len(langs))
-    words: dict[str, np.ndarray] = defaultdict(zeros)
-    for lang, word, n in rows:
-        words[word][at[lang]] += n
-    grams = []
+    if not langs:
+        return Model([], np.zeros((0, 0)))
+    column = {x: i for i, x in enumerate(langs)}
+    words = {w: i for i, w in enumerate(dict.fromkeys(r[1] for r in rows))}
+    counts = np.zeros((len(words), len(langs)))
+    np.add.at(counts, ([words[r[1]] for r in rows], [column[r[0]] for r in rows]), [r[2] for r in rows])
+    parts, grams, first = [_evidence(counts, counts.sum(axis=0))], [], len(words)
     for order in ORDERS:
-        table: dict[str, np.ndarray] = defaultdict(zeros)
-        for word, c in words.items():
-            padded = f" {word} "
-            for g, k in Counter(padded[i : i + order] for i in range(len(padded) - order + 1)).items():
-                table[g] += c * k
-        grams.append(table)
-    total = lambda t: sum(t.values(), zeros())
-    return Model(langs, _evidence(words, total(words)), [_evidence({g: c for g, c in t.items() if c.sum() >= 3}, total(t)) for t in grams])
+        seen: dict[str, int] = {}
+        gram, word = [], []  # every n-gram of every word
+        for w, i in words.items():
+            padded = f" {w} "
+            for k in range(len(padded) - order + 1):
+                gram.append(seen.setdefault(padded[k : k + order], len(seen)))
+                word.append(i)
+        table = np.zeros((len(seen), len(langs)))
+        np.add.at(table, gram, counts[word])
+        kept = table.sum(axis=1) >= 3
+        row = np.cumsum(kept) - 1 + first
+        grams.append({g: int(row[i]) for g, i in seen.items() if kept[i]})
+        parts.append(_evidence(table[kept], table.sum(axis=0)))
+        first += len(parts[-1])
+    return Model(langs, np.concatenate(parts), words, grams)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
