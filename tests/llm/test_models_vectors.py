@@ -154,6 +154,18 @@ def test_warc_round_trip_and_layout(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_shards_stay_small_on_skewed_ids(spark):
+    """A third of the rows without an id, a third one repeated row, and ids at both ends of the range."""
+    rows = [(None, f"u{i}", f"{i:04d}" * 150, 0, "z") for i in range(300)] + [(7, "u", "y" * 600, 0, "z")] * 300
+    rows += [(i, f"u{i}", "x" * 600, 0, "z") for i in range(1000, 1300)] + [(2**63 - 1, "a", "b", 0, "z"), (-(2**63), "a", "b", 0, "z")]
+    uri = staging_path(spark, "warc-test")
+    manifest = warc.write(spark.createDataFrame(rows, PAGES), uri, shard_bytes=50_000, roll_bytes=1 << 30)
+    sizes = [r["payload_bytes"] for r in manifest.collect()]
+    assert len(sizes) >= 18 and max(sizes) <= 2 * 50_000
+    back = [(r["page_id"], r["url"], r["payload_bytes"]) for r in warc.read(manifest, uri).collect()]
+    assert sorted(back, key=repr) == sorted(((p, u, len(h)) for p, u, h, *_ in rows), key=repr)
+
+
 def test_warc_reader_refuses_changed_files(spark):
     pages = spark.createDataFrame([(1, "u", "hello", 0, "z")], PAGES)
     manifest = warc.write(pages, uri := staging_path(spark, "warc-test"))
