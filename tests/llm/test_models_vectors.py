@@ -59,6 +59,23 @@ def test_toxicity_learns_and_handles_odd_rows(spark, docs):
     assert toxicity.score(docs([]), model).count() == 0
 
 
+def _texts(n, word, seed):
+    """Featurised texts of 20 random words, with ``word`` if given."""
+    rng = np.random.default_rng(seed)
+    texts = (" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(20)) for _ in range(n))
+    return [toxicity.text_features(f"{t} {word or ''}") for t in texts]
+
+
+def test_toxicity_learns_the_words_of_one_percent_of_the_positives():
+    rare, common = _texts(10, "schimpf", 1), _texts(990, "nastyword", 2)
+    clean = _texts(1800, None, 3)
+    ids, weights, bias = toxicity.train(common + rare, clean + common[:198] + rare[:2], 0.1)
+    weight = dict(zip(ids.tolist(), weights.tolist()))
+    logit = lambda x: bias + sum(weight.get(f, 0.0) for f in x.tolist())
+    assert all(logit(x) > 0 for x in _texts(20, "schimpf", 4) + _texts(20, "nastyword", 5))
+    assert sum(logit(x) > 0 for x in _texts(200, None, 6)) <= 4
+
+
 def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string, `key` string")
 

@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are documents confirmed as toxic, everything else is unlabelled text. Features are the
-distinct words of a text and their beginnings, hashed. Features that are clearly more frequent
-among the positives are kept; logistic classifiers are then trained in numpy on the risk
+distinct words of a text and their beginnings, hashed. Features that are significantly more frequent
+among the positives are kept, however few positives hold them; logistic classifiers are then trained in numpy on the risk
 ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` and averaged.
 
 The classifiers are fitted on at most ``POSITIVES`` and ``UNLABELLED`` documents (whole texts, the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, only, staged
 
-POSITIVES, UNLABELLED, BITS, FEATURES = 4_000, 8_000, 18, 2_000
+POSITIVES, UNLABELLED, BITS = 4_000, 8_000, 18
 _WORD = re.compile(r"[^\W\d_]+")
 _STARTS = (3, 4, 5, 6)
 _CACHE = 400_000
@@ -68,16 +68,16 @@ def pu_risk_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[floa
     return prior * pos + neg, -prior * (1 - sp) / len(zp) - prior * sp / len(zp), su / len(zu)
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, models: int = 3, rounds: int = 60, max_features: int = FEATURES, min_rate: float = 0.02, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, models: int = 3, rounds: int = 60, min_count: int = 3, min_z: float = 3.0, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature ids, weights and bias of the mean of ``models`` classifiers."""
     size = 1 << BITS
     counts = [np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=size).astype(float) for x in (pos, unl)]
     rate = [(c + 0.5) / (len(x) + 1) for c, x in zip(counts, (pos, unl))]
     # a feature of toxic text only is 1 / prior times as frequent among the positives as in all text
     lift = rate[0] / rate[1]
-    gain = np.where((counts[0] >= max(3, min_rate * len(pos))) & (lift >= max(1.5, 0.6 / prior)), counts[0] * np.log(lift), 0)
-    chosen = np.flatnonzero(gain)
-    chosen = chosen[np.argsort(-gain[chosen], kind="stable")][:max_features]
+    # neither bound asks for a share of the positives, so the vocabulary of a small group stays in
+    significant = np.log(lift) >= min_z * np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
+    chosen = np.flatnonzero((counts[0] >= min_count) & significant & (lift >= max(1.5, 0.6 / prior)))
     at = np.full(size, -1, dtype=np.int32)
     at[chosen] = np.arange(len(chosen), dtype=np.int32)
 
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, prior: float | None
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (or doc_id alone) with score and predicted."""
     keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``max_features`` weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS weights
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
