@@ -76,6 +76,25 @@ def test_toxicity_learns_the_words_of_one_percent_of_the_positives():
     assert sum(logit(x) > 0 for x in _texts(200, None, 6)) <= 4
 
 
+def test_toxicity_is_not_moved_by_copies_of_a_clean_text(spark, docs):
+    rng = np.random.default_rng(7)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(20))
+    rows = [(i, text() + (" nastyword" if i % 2 else "")) for i in range(400)]
+    copies = [(1000 + i, "one clean text again and again") for i in range(400)]
+    df = docs(rows + copies)
+    labels = spark.createDataFrame([(r[0], r[0] % 2 if r[0] < 1000 else 0) for r in rows[:300] + copies], "doc_id long, toxic int")
+    once = labels.where("doc_id < 1001")
+    model, same = toxicity.fit(df, labels, F.lit(True)), toxicity.fit(docs(rows + copies[:1]), once, F.lit(True))
+    assert model.weights and model == same
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model).collect()}
+    assert all(got[i] == (i % 2 if i < 1000 else 0) for i in got)
+
+
+def test_toxicity_keeps_features_where_most_texts_are_toxic():
+    ids, _, _ = toxicity.train(_texts(300, "nastyword", 8), _texts(300, None, 9) + _texts(800, "nastyword", 10), 0.3)
+    assert set(toxicity.word_features("nastyword")) <= set(ids.tolist())
+
+
 def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string, `key` string")
 

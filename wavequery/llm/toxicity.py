@@ -5,9 +5,9 @@ distinct words of a text and their beginnings, hashed. Features that are signifi
 among the positives are kept, however few positives hold them; logistic classifiers are then trained in numpy on the risk
 ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` and averaged.
 
-The classifiers are fitted on at most ``POSITIVES`` and ``UNLABELLED`` documents (whole texts, the
-lowest by hash of the id), which one task holds; both bounds are parameters. The class prior is the share
-of toxic rows among all labels that may be used, unless it is given.
+The classifiers are fitted on at most ``POSITIVES`` documents (whole texts, the lowest by hash of the id) and
+``UNLABELLED`` distinct texts (the lowest by hash), which one task holds; both bounds are parameters. The class prior is the
+share of toxic texts among all distinct texts with a label that may be used, unless it is given.
 
 Null and empty texts get the score of a text without features. Labels that are null or whose id is null or
 unknown are ignored; several labels of one id count as toxic if one is. Without positives or without unlabelled
@@ -73,11 +73,13 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, models: in
     size = 1 << BITS
     counts = [np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=size).astype(float) for x in (pos, unl)]
     rate = [(c + 0.5) / (len(x) + 1) for c, x in zip(counts, (pos, unl))]
-    # a feature of toxic text only is 1 / prior times as frequent among the positives as in all text
     lift = rate[0] / rate[1]
     # neither bound asks for a share of the positives, so the vocabulary of a small group stays in
-    significant = np.log(lift) >= min_z * np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
-    chosen = np.flatnonzero((counts[0] >= min_count) & significant & (lift >= max(1.5, 0.6 / prior)))
+    least = lift * np.exp(-min_z * np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5)))
+    significant = (counts[0] >= min_count) & (least >= 1)
+    # no lift passes 1 / (toxic share of the unlabelled texts): the bound stays below the largest one that is certain
+    reach = least[significant].max(initial=1.0)
+    chosen = np.flatnonzero(significant & (lift >= min(1.5, np.sqrt(reach))))
     at = np.full(size, -1, dtype=np.int32)
     at[chosen] = np.arange(len(chosen), dtype=np.int32)
 
@@ -121,15 +123,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, prior: float | None
     texts = only(docs, doc_id="doc_id", text="text").where(usable)
     marks = only(labels, doc_id="doc_id", toxic="toxic").where(usable).where("toxic is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    text_hash = F.xxhash64("text").alias("h")
     if prior is None:
-        prior = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+        known = texts.select("doc_id", text_hash).join(marks, "doc_id").groupBy("h").agg(F.max((F.col("toxic") == 1).cast("double")).alias("toxic"))
+        prior = known.agg(F.avg("toxic")).first()[0]
     if not prior:
         return Model()
     prior = min(max(prior, 0.001), 0.9)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     # both id tables are bounded by the parameters, so they can be broadcast
     p = marks.where("toxic = 1").select("doc_id").orderBy(*by_hash).limit(positives).withColumn("y", F.lit(1))
-    u = texts.where("doc_id is not null").select("doc_id").orderBy(*by_hash).limit(unlabelled).distinct().withColumn("y", F.lit(0))
+    # copies count once here as in the prior, whatever their number: one id for each distinct text
+    u = texts.where("doc_id is not null").groupBy(text_hash).agg(F.min("doc_id").alias("doc_id"))
+    u = u.orderBy("h").limit(unlabelled).select("doc_id").distinct().withColumn("y", F.lit(0))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
