@@ -181,6 +181,30 @@ def test_redaction_replaces_spans_only(docs):
             assert r["text"] == t
 
 
+def test_private_keys_are_masked_with_their_bodies(docs):
+    line = "MIIEpAIBAAKCAQEA" + "q/+Z" * 12
+    body = "\n".join([line] * 20 + ["Qx=="])
+    pem = lambda kind, inner, nl="\n": f"-----BEGIN {kind}-----{nl}{inner}{nl}-----END {kind}-----"
+    texts = [
+        *(f"before {pem(k, body)} after" for k in ("RSA PRIVATE KEY", "PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY")),
+        "before " + pem("PGP PRIVATE KEY BLOCK", f"Version: GnuPG v2-beta\nComment: a-b\n\n{body}\n=aB3d") + " after",
+        "before " + pem("RSA PRIVATE KEY", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}") + " after",
+        "before " + pem("PRIVATE KEY", body.replace("\n", "\\n"), "\\n") + " after",  # as in JSON
+        "before " + pem("PRIVATE KEY", "\r\n".join(["    " + line] * 9000)) + " after",
+        f"before -----BEGIN RSA PRIVATE KEY-----\n{body}",
+        f"before -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\n\n(after",
+        "before -----BEGIN RSA PRIVATE KEY-----\\r\\n" + "\\r\\n".join([line] * 3000) + "\n-----END",
+        f"before -----BEGIN RSA PRIVATE KEY-----\n{body}\n" + pem("EC PRIVATE KEY", body) + " after",
+    ]
+    alone = "the line -----BEGIN RSA PRIVATE KEY----- starts a key, a-b-c " + "x-y " * 20000
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(docs(list(enumerate([*texts, alone])))).collect()}
+    for i in range(len(texts)):
+        assert got[i].startswith("before [SECRET]") and len(got[i]) < 60, (i, got[i][:200])
+        assert not re.search("MIIE|q/|Qx|aB3d|0A1B|PRIVATE", got[i]), (i, got[i])
+        assert got[i].endswith(" after") == texts[i].endswith(" after")
+    assert got[len(texts)] == alone.replace("-----BEGIN RSA PRIVATE KEY-----", "[SECRET]")
+
+
 def _all_spans(t):
     more = [(k.kind, m.start(), m.end()) for k in secrets.MORE for m in re.finditer(k.pattern, t or "")]
     return _base_spans(t) + [f"{k}:{a}:{b}" for k, a, b in more]

@@ -41,12 +41,18 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 BASE = (Rule("assign", ASSIGN, 2, 12), Rule("access", ACCESS, 0, 18), Rule("hex", HEX, 0, 16))
+_KEY = "[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+# a key runs to its END line, with no other line of five dashes between; without one, over the header lines and
+# the base64 that follow (and on to the next character that cannot be of a key); else it is the BEGIN line alone
+_TO_END = f"[^-]*(?:-{{1,4}}[^-]+){{0,64}}-----END {_KEY}"
+_UNENDED = r"(?:[>\\nr\x20\t\r\n]*[A-Z][A-Za-z-]*:[^\r\n]*){0,8}[>\\nr\x20\t\r\n]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=>\\\x20\t\r\n]*"
+PRIVATE_KEY = f"-----BEGIN {_KEY}(?:{_TO_END}|{_UNENDED})?"
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
 )
 RULES = BASE + MORE
 
