@@ -143,6 +143,34 @@ def test_pack_length_bound(spark):
         assert "max_len" in str(e)
 
 
+def test_lags_of_series_above_the_packing_bound(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, t, float(rnd.randint(-40, 90))) for i, n in enumerate([1, 2, 5, 16, 17, 63, 64, 200]) for t in range(n)]
+    rows += [(None, t, float(t % 7)) for t in range(49)] + [(9, t, 0.0) for t in range(30)] + [(10, t, float("nan") if t == 3 else 1.0) for t in range(30)]
+    df = spark.createDataFrame(rows, "record_id long, t long, v double")
+    want = {r.record_id: r.lags for r in SG.autocorr_top_lags(SG.pack(df, ["record_id"])).collect()}
+    for block, run in ((8, 2), (16, 16), (5, 3)):
+        blocked = SG.autocorr_top_lags_blocked(df, ["record_id"], block=block, run=run).collect()
+        assert {r.record_id: r.lags for r in blocked} == want and len(blocked) == len(want)
+    assert {r.record_id: r.lags for r in SG.top_lags_long(df, ["record_id"], max_len=20, block=16).collect()} == want
+    assert want[10] is None and want[9] == [0, 1, 2, 3, 4]
+
+
+def test_features_of_series_above_the_packing_bound(spark, monkeypatch):
+    from wavequery.plans.features import series_features
+
+    df = _long(spark, {1: [3, 1, 4, 1, 5, 9, 2, 6], 2: [2, 7]})
+    lead = df.first()["lead"]
+    weights = spark.createDataFrame([(lead, k, 1) for k in range(3)], "lead string, k int, w bigint")
+    whole = {(r.record_id, p, o): x for r in series_features(df, weights, 4, 2).patches.collect() for p, row in enumerate(r.patches) for o, x in enumerate(row)}
+    monkeypatch.setattr(SG, "MAX_FFT_SAMPLES", 4)
+    feats = series_features(df, weights, 4, 2)
+    assert {(r.record_id, r.patch_id, r.offset): r.v for r in feats.patches_long.collect()} == whole
+    assert {r.record_id for r in feats.stats.collect()} == {1, 2}
+
+
 def test_first_differences_sum_to_trend(spark):
     df = _long(spark, {1: [3, 1, 4, 1, 5]})
     d = SG.first_differences(df, ["record_id"]).orderBy("t").collect()

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -298,5 +299,78 @@ def autocorr_top_lags(packed: DataFrame, v: str = "v", out: str = "lags") -> Dat
 MAX_FFT_SAMPLES = 1 << 22
 
 
+def top_lags_long(long: DataFrame, keys: list[str], t: str = "t", v: str = "v", max_len: int = MAX_FFT_SAMPLES,
+                  block: int = 1 << 18) -> DataFrame:
+    """AGG-17 + TOP-5 for series of any length: (keys..., lags). Series of up to ``max_len`` samples are packed,
+    longer ones go through ``autocorr_top_lags_blocked``."""
+    from wavequery.operators.ordering import same
+    from wavequery.session import written
+
+    rows = long.select(*keys, F.col(t).alias("t"), F.col(v).cast("double").alias("v"))
+    lens = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (lens.agg(F.max("_n")).first()[0] or 0) <= max_len:
+        return autocorr_top_lags(pack(rows, keys)).select(*keys, "lags")
+    sized = same(written(rows, "series"), lens, keys)
+    short = autocorr_top_lags(pack(sized.where(F.col("_n") <= max_len).drop("_n"), keys)).select(*keys, "lags")
+    return short.unionByName(autocorr_top_lags_blocked(sized.where(F.col("_n") > max_len).drop("_n"), keys, block))
+
+
+def autocorr_top_lags_blocked(long: DataFrame, keys: list[str], block: int = 1 << 18, run: int = 16, k: int = TOP_K_LAGS) -> DataFrame:
+    """The same lags from (keys..., t, v) without a whole series in one task: (keys..., lags).
+
+    A series is cut into blocks. Blocks i and i + d give the products at lags (d - 1) * block to (d + 1) * block by one
+    FFT; ``run`` neighbouring pairs of one d are summed as spectra in one task, the rest per lag by groupBy. Lags tau and
+    n - tau have the same value. The work grows with the square of the number of blocks, the memory of a task does not.
+    """
+    from pyspark.sql import Window
+
+    from wavequery.operators.ordering import same
+
+    info = long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("t").alias("_t0"), F.max("t").alias("_t1"),
+        F.max(F.col("v").isNull() | F.isnan("v")).alias("_nan"),
+    )
+    blocks = long.groupBy(*keys, F.floor(F.col("t") / block).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_s"))
+    ok = F.size(F.array_distinct("_s.t")) == F.size("_s")
+    whole = (F.col("_t0") == 0) & (F.col("_t1") == F.col("_n") - 1)
+    blocks = same(blocks, info, keys).where(F.when(ok & whole, F.lit(True)).otherwise(F.raise_error(F.lit("series has gaps or duplicate time indexes"))))
+    last = F.floor((F.col("_n") - 1) / block)
+    # as the first of a pair: (d, b); as the second: (d, b - d); a block that is both in one run is sent once
+    first = F.transform(F.sequence(F.lit(0).cast("long"), last - F.col("_b")), lambda d: F.struct(d.alias("d"), F.floor(F.col("_b") / run).alias("g")))
+    second = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_b")), lambda d: F.struct(d.alias("d"), F.floor((F.col("_b") - d) / run).alias("g")))
+    dealt = blocks.where(~F.col("_nan")).select(*keys, "_n", "_b", F.col("_s.v").alias("v"), F.explode(F.array_union(first, second)).alias("_at"))
+    dealt = dealt.select(*keys, F.col("_at.d").alias("_d"), F.col("_at.g").alias("_g"), "_n", "_b", "v")
+
+    def products(table: pa.Table) -> pa.Table:
+        d, g, n = (table.column(c)[0].as_py() for c in ("_d", "_g", "_n"))
+        at = {b: x for x, b in enumerate(table.column("_b").to_pylist())}
+        spectrum = lambda b: np.fft.rfft(table.column("v")[at[b]].values.to_numpy(), 2 * block)
+        total = np.zeros(block + 1, dtype=complex)
+        for i in range(g * run, (g + 1) * run):
+            if i in at and i + d in at:
+                total += np.conj(spectrum(i)) * spectrum(i + d)
+        r = np.fft.irfft(total, 2 * block)
+        off = np.concatenate([np.arange(block), np.arange(-block, 0)])  # lags of the inverse, relative to d * block
+        lag = d * block + off
+        keep = (lag >= 0) & (lag < n) & (off > -block)
+        lag, r = lag[keep], r[keep]
+        r = np.where(2 * lag == n, 2 * r, r)
+        cols = [pa.array([table.column(c)[0].as_py()] * len(lag), table.schema.field(c).type) for c in keys]
+        return pa.table([*cols, pa.array(np.full(len(lag), n)), pa.array(np.minimum(lag, n - lag)), pa.array(r)], names=[*keys, "_n", "_lag", "_r"])
+
+    types = ", ".join(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in keys)
+    parts = dealt.groupBy(*keys, "_d", "_g").applyInArrow(products, f"{types}, _n long, _lag long, _r double")
+    # lag 0 and its mirror n are one; any other lag gets r[lag] + r[n - lag]
+    c = parts.groupBy(*keys, "_n", "_lag").agg(F.sum("_r").alias("_c"))
+    energy = long.groupBy(*keys).agg(F.sum(F.col("v") * F.col("v")).alias("_c0"))
+    c = same(c, energy, keys)
+    key = F.rint(F.col("_c") / F.when(F.col("_c0") != 0, F.col("_c0")).otherwise(1.0) * 1e9)
+    both = F.array_distinct(F.array(F.col("_lag"), F.pmod(F.col("_n") - F.col("_lag"), F.col("_n"))))
+    ranked = c.select(*keys, key.alias("_key"), F.explode(both).alias("_lag"))
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_key"), "_lag"))).where(F.col("_rank") <= k)
+    lags = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", "_lag"))).alias("_s"))
+    return same(info.select(*keys), lags.select(*keys, F.col("_s._lag").alias("lags")), keys, "left")
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col

@@ -512,12 +512,12 @@ def lead_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", F.col("t").cast("bigint").alias("t"), F.col("y").cast("bigint").alias("y"))
 
 
-def _packed_one(spark: SparkSession, sf_dir: str, sig: DataFrame | None = None) -> DataFrame:
-    from wavequery.operators.signals import MAX_FFT_SAMPLES, pack
+def _lags_one(spark: SparkSession, sf_dir: str, sig: DataFrame | None = None) -> DataFrame:
+    from wavequery.operators.signals import top_lags_long
 
     sig = sig if sig is not None else S.signals_one(spark, sf_dir)
     long = sig.select("record_id", "t", F.col("vc").cast("double").alias("v"))
-    return pack(long, ["record_id"], max_len=MAX_FFT_SAMPLES)
+    return top_lags_long(long, ["record_id"])
 
 
 @register(
@@ -525,9 +525,7 @@ def _packed_one(spark: SparkSession, sf_dir: str, sig: DataFrame | None = None)
     with_views(["signals_one"], f"with {_TOP_LAGS_SQL}\nselect record_id, cast(rank as integer) as rank, lag from top_lags where rank <= 5"),
 )
 def autocorr_top_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavequery.operators.signals import autocorr_top_lags as atl
-
-    lags = atl(_packed_one(spark, sf_dir))
+    lags = _lags_one(spark, sf_dir)
     return lags.select("record_id", F.posexplode("lags").alias("rank", "lag")).select(
         "record_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("lag").cast("bigint").alias("lag")
     )
@@ -554,11 +552,11 @@ from qa join stats using (record_id) join lag_text using (record_id)"""
 )
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavequery.operators.prompts import build_prompts
-    from wavequery.operators.signals import autocorr_top_lags as atl, series_stats as st
+    from wavequery.operators.signals import series_stats as st
 
     sig = S.signals_one(spark, sf_dir)
     stats = st(sig, ["record_id"])
-    lags = atl(_packed_one(spark, sf_dir, sig)).select("record_id", "lags")
+    lags = _lags_one(spark, sf_dir, sig)
     features = stats.join(lags, "record_id")
     out = build_prompts(S.qa(spark, sf_dir), features)
     return out.select("seq", "record_id", "prompt_prefix", "prompt_suffix", "answer_text")
@@ -606,10 +604,8 @@ from o left join signals_one s on s.record_id = o.record_id and s.t = patch_id *
 )
 def combined_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches of the combined series, flattened to one vector per record (VEC-1), in long form."""
-    from wavequery.operators.vectors import flatten_matrix
-
-    flat = flatten_matrix(_combined_features(spark, sf_dir).patches, "patches")
-    return flat.select("record_id", F.posexplode("vec").alias("d", "x"))
+    patches = _combined_features(spark, sf_dir).patches_long
+    return patches.select("record_id", (F.col("patch_id") * 16 + F.col("offset")).cast("int").alias("d"), F.col("v").alias("x"))
 
 
 # --------------------------------------------------------------------------- vectors

@@ -18,7 +18,17 @@ from wavequery.operators.prompts import build_prompts
 @dataclass
 class SeriesFeatures:
     stats: DataFrame  # record_id, min_v, max_v, median_v, trend, n, lags
-    patches: DataFrame  # record_id, patches array<array<double>>
+    patches_long: DataFrame  # record_id, patch_id, offset, v; series of any length
+    combined: DataFrame  # record_id, t, v
+    patch_len: int
+    stride: int
+    record: str
+
+    @property
+    def patches(self) -> DataFrame:
+        """record_id, patches array<array<double>>: one row per series, so only for bounded ones."""
+        packed = SG.pack(self.combined, [self.record], max_len=SG.MAX_FFT_SAMPLES)
+        return SG.patches_packed(packed, self.patch_len, self.stride).select(self.record, "patches")
 
 
 def series_features(samples: DataFrame, weights: DataFrame, patch_len: int = 16, stride: int = 8,
@@ -26,10 +36,9 @@ def series_features(samples: DataFrame, weights: DataFrame, patch_len: int = 16,
     combined = SG.combine_leads(samples, weights, record=record, lead=lead).withColumnRenamed("y", "v")
     combined = combined.withColumn("v", F.col("v").cast("double"))
     stats = SG.series_stats(combined, [record])
-    packed = SG.pack(combined, [record], max_len=SG.MAX_FFT_SAMPLES)
-    lags = SG.autocorr_top_lags(packed).select(record, "lags")
-    patches = SG.patches_packed(packed, patch_len, stride).select(record, "patches")
-    return SeriesFeatures(stats.join(lags, record), patches)
+    lags = SG.top_lags_long(combined, [record])
+    patches = SG.patches_long(combined, [record], patch_len, stride)
+    return SeriesFeatures(stats.join(lags, record), patches, combined, patch_len, stride, record)
 
 
 def prompts_for(examples: DataFrame, features: SeriesFeatures, evaluation: bool = False) -> DataFrame:
