@@ -4,7 +4,7 @@ from wavequery.functions import fixed4, fixed4_exact, pct_text
 from wavequery.plans.features import prompts_for, series_features
 from wavequery.plans.report import accuracy_report
 from wavequery.sources.annotations import file_positions
-from wavequery.sources.signals import attach_signals, packed_signals
+from wavequery.sources.signals import attach_signals, packed_signals, unpacked_signals
 from wavequery.sources import standins as S
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,17 @@ def test_file_positions_and_signal_join(spark):
     joined = attach_signals(ann, packed_signals(samples))
     got = {(r.ecg_path, r.sample_id): r.v for r in joined.collect()}
     assert got[("p/a", 2)] == [0.0, 1.0, 2.0] and got[("p/b", 1)] == [1.0, 1.0] and len(got) == 3
+
+
+def test_packed_signals_do_not_grow_with_the_recording(spark):
+    rows = [(r, "I", t, float(t * 3 + n)) for r, n in (("p/a", 1), ("p/a2", 4), ("p/b", 8), (None, 23)) for t in range(n)]
+    df = spark.createDataFrame(rows, "record_path string, lead string, t long, v double")
+    packed = packed_signals(df, chunk=4)
+    assert packed.selectExpr("max(size(v))").first()[0] == 4 and packed.count() == 1 + 1 + 2 + 6
+    assert sorted(map(tuple, unpacked_signals(packed, chunk=4).collect()), key=repr) == sorted(rows, key=repr)
+    for bad in (rows[:1] + rows[3:5], rows + rows[-1:], [r for r in rows if r[2] != 8], [r for r in rows if not 4 <= r[2] < 8]):
+        try:
+            packed_signals(spark.createDataFrame(bad, df.schema), chunk=4).collect()
+            raise AssertionError("expected a failure")
+        except Exception as e:
+            assert "gaps or duplicate" in str(e)

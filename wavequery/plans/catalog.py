@@ -1013,13 +1013,12 @@ def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sample_files", with_views(["signals"], "select record_id, lead, t, cast(v as double) as v from signals"))
 def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-3: decoded samples read from files, packed per lead and unpacked again (PRJ-14)."""
-    from wavequery.operators.signals import unpack
-    from wavequery.sources.signals import packed_signals, read_samples
+    from wavequery.sources.signals import packed_signals, read_samples, unpacked_signals
     from wavequery.streaming.runner import scratch
 
     path = scratch(spark, "samples")
     S.signals(spark, sf_dir).select("record_id", "lead", "t", "v").write.parquet(path)
-    return unpack(packed_signals(read_samples(spark, path), record="record_id"), ["record_id", "lead"])
+    return unpacked_signals(packed_signals(read_samples(spark, path), record="record_id"), record="record_id")
 
 
 def queries() -> dict[str, Query]:
