@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,29 +43,73 @@ _WORDS = re.compile(
 _CACHE = 400_000  # distinct words remembered per worker
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes."""
+    """texts -> their ids as little-endian unsigned 32-bit bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    tokenize, letters = tok.model.tokenize, _byte_alphabet()
+
+    def word(w: str) -> bytes:
+        # a normalised word of the split pattern goes to the merges as it is
+        ids = [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(part: str) -> bytes:
         return np.array(tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    memo = Memo(encode, _CACHE)
-    get = memo.__getitem__
+    words = Memo(word, _CACHE)
+    plain = lambda part: words[part] if part.isalpha() else b"".join(map(words.__getitem__, _WORDS.findall(part)))
+    other = Memo(encode, _CACHE // 4).__getitem__
 
-    def ids(text: str) -> bytes:
-        if "<|" not in text and _PLAIN.fullmatch(text):
-            return b"".join(map(get, _WORDS.findall(text.lower())))
+    def ids(texts: list[str]) -> list[bytes]:
         # nothing in the vocabulary's rules reaches across a blank, so parts between blanks are independent
-        return b"".join(map(get, text.replace("\n", " ").split(" ")))
+        is_plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
+        lowered = iter(_by_parts([t.lower() for t, p in zip(texts, is_plain) if p], plain))
+        others = iter(_by_parts([t for t, p in zip(texts, is_plain) if not p], other))
+        return [next(lowered if p else others) for p in is_plain]
 
     return ids
 
 
+def _by_parts(texts: list[str], encode: Callable[[str], bytes]) -> list[bytes]:
+    """Each text's ids: those of its parts between blanks, where every distinct part is encoded once."""
+    if not texts:
+        return []
+    parts = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+    coded = pc.dictionary_encode(parts.flatten())
+    distinct = [encode(part) for part in coded.dictionary.to_pylist()]
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
+    first = np.cumsum(size) - size
+    at = coded.indices.to_numpy()
+    size, first = size[at], first[at]
+    end = np.cumsum(size)
+    ids = np.frombuffer(b"".join(distinct), dtype="<u4")[np.repeat(first - (end - size), size) + np.arange(end[-1])]
+    cuts = np.concatenate([[0], end])[parts.offsets.to_numpy()].tolist()
+    return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def _portions(texts: list[str], rows: int = 2048, chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of up to ``rows`` texts with up to ``chars`` characters together (or one longer text)."""
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and (i - lo >= rows or held + len(t) > chars):
+            yield lo, i
+            lo, held = i, 0
+        held += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
@@ -74,11 +120,11 @@ def token_pieces(
         encode = _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in _portions(texts):
                 out: list[tuple] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = encode(text.as_py() or "") + end
+                for doc_id, ids in zip(doc_ids[lo:hi], encode(texts[lo:hi])):
+                    ids += end
                     n = len(ids) // 4
                     for start in range(0, n, window):
                         piece = ids[4 * start : 4 * (start + window)]
