@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -91,3 +92,34 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def as_matrix(column: pa.ChunkedArray | pa.Array, scale: int) -> np.ndarray:
+    """Rows of floor(scale * x) as doubles; components that a shorter vector lacks are zero."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = rows.value_lengths().to_numpy(zero_copy_only=False)
+    whole = np.zeros((len(lengths), int(lengths.max(initial=0))))
+    whole[np.arange(whole.shape[1]) < lengths[:, None]] = np.floor(rows.flatten().to_numpy().astype(np.float64) * scale)
+    return whole
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products, as 64-bit integers, of the rows of ``a`` with those of ``b`` (doubles that hold integers): by
+    doubles where no sum can pass 2**53, by 64-bit integers below 2**63, else by Python's own, which refuse a product beyond 64 bits."""
+    width = min(a.shape[1], b.shape[1])
+    a, b = a[:, :width], b[:, :width]
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * width
+    if bound < 2**53:
+        return (a @ b.T).astype(np.int64)
+    if bound < 2**62 and max(np.abs(a).max(), np.abs(b).max()) < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    left, right = [[[int(x) for x in row] for row in m] for m in (a, b)]
+    products = [[sum(map(operator.mul, x, y)) for y in right] for x in left]
+    if any(not -(2**63) <= p < 2**63 for row in products for p in row):
+        raise OverflowError("an inner product of floor(scale * x) does not fit 64 bits")
+    return np.array(products, dtype=np.int64).reshape(len(left), len(right))
+
+
+def finite_vector(name: str) -> str:
+    """SQL: the vector is there and all its components are finite numbers. An empty one is."""
+    return f"{name} is not null and forall({name}, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embeddings, langid, maxscore, packing, secrets, simhash, toxicity, urlfilter, warc
+from . import byte_bpe, embeddings, hard_negatives, langid, maxscore, packing, ranked_search, secrets, simhash, token_counts, toxicity, urlfilter, warc
 from .common import table
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+COUNTED = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, ranked_search.query_terms(table(spark, sf_dir, "benchmark")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), COUNTED)
+
+
 def _url_sql() -> str:
     host = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
@@ -144,9 +159,31 @@ from v join (select a, min(b) as c from reach group by a) r on r.a = v.vec_id"""
 s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from i q join i c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op11_ranked_search": r"""with words as (
+  select rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from (select row_number() over () as rid, doc_id, text from documents where text is not null)),
+lengths as (select rid, doc_id, count(*)::bigint as n from words group by rid, doc_id),
+sums as (select count(*)::bigint as docs, sum(n)::bigint as total from lengths),
+tfs as (select rid, t, count(*)::bigint as tf from words group by rid, t),
+weights as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from (select t, count(*)::bigint as df from tfs group by t), sums),
+asked as (select qid, item_id, t, count(*)::bigint as times from (
+  select qid, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from (select row_number() over () as qid, item_id, text from benchmark where text is not null)) group by all),
+scored as (select qid, item_id, rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::bigint as score
+  from asked join weights using (t) join tfs using (t) join lengths using (rid), sums group by all),
+ranked as (select *, row_number() over (partition by qid order by score desc, doc_id nulls last)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10""",
+    "op12_hard_negatives": """with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same) where k <= 5),
+n as (select anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+  row_number() over (partition by anchor_id, p.vec_id order by s.score desc, s.vec_id)::int as rank
+  from p join s using (anchor_id) where not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_url_filter, op3_warc, op4_secrets, op5_embeddings, op6_toxicity, op7_maxscore, op8_langid, op9_byte_bpe, op10_simhash)
+    for f in (op1_packing, op2_url_filter, op3_warc, op4_secrets, op5_embeddings, op6_toxicity, op7_maxscore, op8_langid, op9_byte_bpe, op10_simhash, op11_ranked_search, op12_hard_negatives, op13_token_counts)
 }
