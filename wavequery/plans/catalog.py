@@ -963,8 +963,8 @@ def annotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "prepared")
     prep = prepare(qa, mode="grouped", seed=42)
     path = prepared_path(root, "train", 42, True, "qa")
-    write_prepared(prep.ordered, prep.lookup, path)
-    rows, _lookup = write_prepared(prep.ordered, prep.lookup, path)  # second call reuses the materialisation
+    write_prepared(prep.ordered, prep.lookup, path, source=qa)
+    rows, _lookup = write_prepared(prep.ordered, prep.lookup, path, source=qa)  # second call reuses the materialisation
     scored = EV.mark_correct(EV.attach_predictions(rows, S.predictions(spark, sf_dir)))
     write_evaluation(scored, f"{root}/evaluation")
     back = spark.read.parquet(f"{root}/evaluation")
@@ -975,6 +975,8 @@ def annotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLIT_OF = {"train": 0, "valid": 1, "test": 2}
+#: Bytes of an annotation array that one task reads.
+ARRAY_SPLIT_BYTES = 1 << 18
 
 
 @register(
@@ -988,8 +990,8 @@ from s""",
     ),
 )
 def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-1/2: the examples as annotation files (arrays of at most 4096 records), read back by split, numbered (WIN-9)."""
-    from wavequery.sources.annotations import as_qa, file_positions as fp, read_split
+    """SRC-1/2: the examples as one JSON array per split, read back by byte ranges with their positions in the array."""
+    from wavequery.sources.annotations import as_qa, read_split, write_array
     from wavequery.streaming.runner import scratch
 
     root = scratch(spark, "annotations")
@@ -1000,14 +1002,39 @@ def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = []
     for split, k in _SPLIT_OF.items():
-        part = rows.where(F.col("seq") % 3 == k).groupBy(F.expr("seq div 4096").alias("_file"))
-        arrays = part.agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
-        arrays.write.option("maxRecordsPerFile", 1).text(f"{root}/template_{split}.json")
-        read = read_split(spark, root, split)
-        placed = fp(read, pos="pos")
-        found.append(as_qa(placed.withColumn("seq", F.col("sample_id"))).join(placed.select(F.col("sample_id").alias("seq"), "pos"), "seq"))
+        write_array(rows.where(F.col("seq") % 3 == k).select(record.alias("record"), "seq"), f"{root}/template_{split}.json", ["seq"])
+        read = read_split(spark, root, split, split_bytes=ARRAY_SPLIT_BYTES)
+        found.append(as_qa(read).withColumnRenamed("seq", "pos").join(read.select(F.col("seq").alias("pos"), "sample_id"), "pos"))
     both = found[0].unionByName(found[1]).unionByName(found[2])
-    return both.select("split", F.col("seq").alias("sample_id"), "pos", "question", "record_id", F.array_join("answer", ".").alias("answer_text"))
+    return both.select("split", "sample_id", "pos", "question", "record_id", F.array_join("answer", ".").alias("answer_text"))
+
+
+_BANK_NAMES = ["AUTOMOBILE", "BUILDING", "ETT", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@register(
+    "prompt_bank",
+    """with c as (select *, case when c_nationkey % 5 = 0 then 'ETTh' || c_nationkey else c_mktsegment end as data from customer),
+bank as (
+  select case when data like '%ETT%' then 'ETT' else data end as name, count(*) as n, min(c_custkey) as first_key from c group by 1)
+select c_custkey as record_id, data, 'The dataset ' || name || ' has ' || n || ' records.' || chr(10) || 'The first is ' || first_key || '.' || chr(10) as content
+from c join bank on name = case when data like '%ETT%' then 'ETT' else data end""",
+)
+def prompt_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-4: description files written per dataset name, read as the bank, and looked up: an ETT name has the ETT entry."""
+    from wavequery.sources.annotations import prompt_for, read_prompt_bank
+    from wavequery.streaming.runner import scratch
+
+    root = scratch(spark, "prompt-bank")
+    data = F.when(F.col("c_nationkey") % 5 == 0, F.concat(F.lit("ETTh"), "c_nationkey")).otherwise(F.col("c_mktsegment"))
+    records = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), data.alias("data"))
+    name = F.when(F.col("data").contains("ETT"), "ETT").otherwise(F.col("data"))
+    counts = records.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first_key"))
+    text = F.format_string("The dataset %s has %d records.\nThe first is %d.", "name", "n", "first_key")
+    counts = written(counts.select("name", text.alias("content")), "descriptions")
+    for each in _BANK_NAMES:
+        counts.where(F.col("name") == each).select("content").coalesce(1).write.text(f"{root}/{each}.txt")
+    return prompt_for(records, read_prompt_bank(spark, root)).select("record_id", "data", "content")
 
 
 @register("sample_files", with_views(["signals"], "select record_id, lead, t, cast(v as double) as v from signals"))
