@@ -38,6 +38,7 @@ TOP = 10
 BLOCK = 128  # postings of a block
 DOCUMENTS, BYTES = 8192, 16 << 20  # a shard is closed at so many documents or bytes of text
 FIRST_WINDOW, LAST_WINDOW = 256, 4096  # documents of the first window of a search; windows double up to the last
+_TASKS = 20_000  # search tasks, at most; a shard each where there are fewer
 _HEADS = 4  # lists whose best blocks give the first threshold
 # a term holds ASCII letters and digits and any byte of a character beyond ASCII; the rest parts terms
 _TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -331,7 +332,7 @@ def search(index: DataFrame, asked: DataFrame, k: int = TOP) -> DataFrame:
     """item_id, rank, doc_id, score. ``index`` as ``build_index``, ``asked`` as ``query_terms`` return them."""
     shards = index.where("term is null")
     terms_of = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    sums = shards.agg(F.sum(F.size("ids").cast("long")).alias("n"), F.sum(terms_of).alias("terms"), (F.max("part") + 1).alias("parts")).first()
+    sums = shards.agg(F.sum(F.size("ids").cast("long")).alias("n"), F.sum(terms_of).alias("terms"), (F.max("part") + 1).alias("parts"), F.count("*").alias("shards")).first()
     documents, total = sums["n"] or 0, sums["terms"] or 1
     wanted = asked.select("term").distinct()
     postings = staged(index.where("term is not null").join(wanted, "term", "left_semi"), "postings")
@@ -339,9 +340,10 @@ def search(index: DataFrame, asked: DataFrame, k: int = TOP) -> DataFrame:
     query = asked.join(weights, "term").groupBy("query", "item_id").agg(F.collect_list(F.struct("term", (F.col("w") * F.col("times")).alias("w"))).alias("asked"))
     query = staged(query, "weighted")
     # every query goes to every shard once; a shard's lists are never copied
-    places = shards.select("part", "shard")
+    places = shards.select("part", "shard").hint("merge")
     sent = query.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((sums["parts"] or 1) - 1)))).join(places, "part")
-    found = postings.unionByName(shards).groupBy("part", "shard").cogroup(sent.groupBy("part", "shard"))
+    dealt = lambda rows: rows.repartition(max(1, min(sums["shards"], _TASKS)), "part", "shard").groupBy("part", "shard")
+    found = dealt(postings.unionByName(shards)).cogroup(dealt(sent))
     found = found.applyInArrow(_search(k, documents, total), "query long, item_id long, doc_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
