@@ -77,6 +77,18 @@ def multi_groups(
         yield pa.Table.from_batches(held)
 
 
+def portions(texts: list[str], rows: int = 2048, chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of up to ``rows`` texts with up to ``chars`` characters together (or one longer text)."""
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and (i - lo >= rows or held + len(t) > chars):
+            yield lo, i
+            lo, held = i, 0
+        held += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
 class Memo(dict):
     """A cache that computes what is missing and starts afresh when it has ``limit`` entries,
     so that a worker's memory stays bounded whatever it reads. Long keys are not remembered."""

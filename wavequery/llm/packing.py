@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, only, staged
+from .common import Memo, only, portions, staged
 
 WINDOW, GRAIN, DEPTH, END_ID = 2048, 8, 3, 1
 
@@ -98,18 +98,6 @@ def _by_parts(texts: list[str], encode: Callable[[str], bytes]) -> list[bytes]:
     return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
-def _portions(texts: list[str], rows: int = 2048, chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of up to ``rows`` texts with up to ``chars`` characters together (or one longer text)."""
-    lo, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and (i - lo >= rows or held + len(t) > chars):
-            yield lo, i
-            lo, held = i, 0
-        held += len(t)
-    if texts:
-        yield lo, len(texts)
-
-
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
@@ -121,7 +109,7 @@ def token_pieces(
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _portions(texts):
+            for lo, hi in portions(texts):
                 out: list[tuple] = []
                 for doc_id, ids in zip(doc_ids[lo:hi], encode(texts[lo:hi])):
                     ids += end

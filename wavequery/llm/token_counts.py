@@ -20,25 +20,26 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import safe_parts
-from .common import Memo, only
+from .common import Memo, only, portions
 
 LIMIT = 512
-_CACHE = 400_000
+_CACHE = 1_000_000  # pieces remembered per worker
+_PLACE = (1 << 40) - 1
 _KNOWN = re.compile("[\0-ɏ]*")
 # fixed value: the split pattern of byte-level vocabulary files
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# a blank beside another white-space character or at an end of the text
-_OTHER_BLANKS = re.compile(r"\A | \Z| \s|\s ")
 
 
 def byte_letters() -> list[str]:
@@ -53,39 +54,47 @@ class Merges:
 
     def __init__(self, pairs: list[tuple[str, str]]):
         symbol = {letter: b for b, letter in enumerate(byte_letters())}
-        self.rank: dict[tuple[int, int], int] = {}
+        none: dict[int, int] = {}
+        self.rank = [none] * (256 + len(pairs))  # of a left symbol: right symbol -> rank
         for r, (left, right) in enumerate(pairs):
-            pair = symbol[left], symbol[right]
-            made = symbol.setdefault(left + right, 256 + r)
-            self.rank[pair] = r
-            if made != 256 + r:
+            a, b = symbol[left], symbol[right]
+            if self.rank[a] is none:
+                self.rank[a] = {}
+            self.rank[a][b] = r
+            if symbol.setdefault(left + right, 256 + r) != 256 + r:
                 raise ValueError("two merges make one symbol")
 
     def count(self, piece: bytes) -> int:
         """Tokens of one piece: its bytes less its merges."""
         n, rank = len(piece), self.rank
-        symbols = array("i", iter(piece))
-        heap = [r * n + i for i, pair in enumerate(zip(piece, piece[1:])) if (r := rank.get(pair)) is not None]
+        # an entry of the heap: the pair's rank, then its place
+        heap = [r << 40 | i for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := rank[a].get(b)) is not None]
         if not heap:
             return n
         heapify(heap)
-        after, before, merges = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), 0
+        if n < 4096:
+            symbols, after, before = list(piece), list(range(1, n + 1)), list(range(-1, n - 1))
+        else:
+            symbols, after, before = array("i", iter(piece)), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        merges = 0
         while heap:
-            r, i = divmod(heappop(heap), n)
+            entry = heappop(heap)
+            r, i = entry >> 40, entry & _PLACE
             j = after[i]
             # an entry is stale when either of its symbols has been merged since
-            if j >= n or symbols[i] < 0 or rank.get((symbols[i], symbols[j])) != r:
+            if j >= n or symbols[i] < 0 or rank[symbols[i]].get(symbols[j]) != r:
                 continue
             merges += 1
-            symbols[i], symbols[j] = 256 + r, -1
+            made = symbols[i] = 256 + r
+            symbols[j] = -1
             j = after[i] = after[j]
             if j < n:
                 before[j] = i
-                if (s := rank.get((256 + r, symbols[j]))) is not None:
-                    heappush(heap, s * n + i)
+                if (s := rank[made].get(symbols[j])) is not None:
+                    heappush(heap, s << 40 | i)
             h = before[i]
-            if h >= 0 and (s := rank.get((symbols[h], 256 + r))) is not None:
-                heappush(heap, s * n + h)
+            if h >= 0 and (s := rank[symbols[h]].get(made)) is not None:
+                heappush(heap, s << 40 | h)
         return n - merges
 
 
@@ -107,32 +116,58 @@ def _counter(path: str):
     special = [t["content"] for t in spec["added_tokens"]]
     cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    pieces = Memo(lambda piece: merges.count(piece.encode()), _CACHE)
+    pieces = Memo(lambda piece: merges.count(piece.encode()), _CACHE // 2)
 
     def part(text: str) -> int:
+        if (text[1:] if text[0] == " " else text).isalpha() and (text.isascii() or _KNOWN.fullmatch(text)):
+            return pieces[text]  # letters after a blank are one piece
         if _KNOWN.fullmatch(text):
             return sum(map(pieces.__getitem__, _PIECES.findall(text)))
         split = library.pre_tokenize_str(text)
         return sum(merges.count(bytes(map(letters.__getitem__, piece))) for piece, _ in split)
 
-    parts, tails = Memo(part, _CACHE), Memo(lambda text: part(" " + text), _CACHE)
+    parts = Memo(part, _CACHE)
 
     def segment(text: str) -> int:
-        if _OTHER_BLANKS.search(text):
-            return sum(map(parts.__getitem__, safe_parts(text)))
-        first, *rest = text.split(" ")
-        return parts[first] + sum(map(tails.__getitem__, rest))
+        return sum(map(parts.__getitem__, safe_parts(text)))
 
     def count(text: str) -> int:
         found = cut.split(text) if cut else [text]
         return sum(segment(s) for s in found if s) + len(found) - 1
 
-    return count
+    def counts(texts: list[str]) -> list[int]:
+        return [count(t) if n is None else n for t, n in zip(texts, _by_words(texts, parts, special))]
+
+    return counts
+
+
+def _by_words(texts: list[str], parts: dict[str, int], special: list[str]) -> list[int | None]:
+    """Counts of texts, every distinct word counted once; None where a blank is no safe boundary or a special string is there."""
+    words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    ends = words.offsets.to_numpy()
+    coded = pc.dictionary_encode(words.flatten())
+    at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    # a word that is empty or has white space at an end stands beside a blank that is no safe boundary
+    odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() or any(t in w for t in special) for w in distinct), bool, len(distinct))
+    heads = np.zeros(len(at), dtype=bool)
+    heads[ends[:-1]] = True
+    bad = np.concatenate([[0], np.cumsum(odd[at])])
+    simple = bad[ends[1:]] == bad[ends[:-1]]
+    in_simple = np.repeat(simple, np.diff(ends))
+    counts = np.zeros(len(at), dtype=np.int64)
+    for before, where in (("", heads & in_simple), (" ", ~heads & in_simple)):
+        used = np.zeros(len(distinct), dtype=bool)
+        used[at[where]] = True
+        of_word = np.zeros(len(distinct), dtype=np.int64)
+        of_word[used] = [parts[before + distinct[i]] for i in np.flatnonzero(used).tolist()]
+        counts[where] = of_word[at[where]]
+    total = np.concatenate([[0], np.cumsum(counts)])
+    return [n if s else None for n, s in zip((total[ends[1:]] - total[ends[:-1]]).tolist(), simple.tolist())]
 
 
 def count_text(text: str, path: str) -> int:
     """Tokens of one text under the vocabulary file at ``path``."""
-    return _counter(path)(text)
+    return _counter(path)([text])[0]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +176,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for batch in batches:
-            counts = [count(t.as_py() or "") for t in batch.column("text")]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            counts = [n for lo, hi in portions(texts) for n in count(texts[lo:hi])]
             yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = only(docs, doc_id=id_col, text=text_col)
