@@ -124,7 +124,7 @@ def test_sorted_lower_median_equals_percentile_disc_on_a_split_series(spark):
     rnd = random.Random(11)
     series = {1: [rnd.randint(0, 50) for _ in range(301)], 2: [rnd.randint(0, 5) for _ in range(40)], 3: [7.0]}
     df = _long(spark, series)
-    got = {r.record_id: r.median_v for r in SG.lower_median_sorted(df, ["record_id"], num_partitions=5).collect()}
+    got = {r.record_id: r.median_v for r in SG.lower_median(df, ["record_id"]).collect()}
     expect = {k: float(sorted(v)[(len(v) + 1) // 2 - 1]) for k, v in series.items()}
     assert got == expect
     native = df.groupBy("record_id").agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m"))
@@ -151,10 +151,10 @@ def test_lags_of_series_above_the_packing_bound(spark):
     rows += [(None, t, float(t % 7)) for t in range(49)] + [(9, t, 0.0) for t in range(30)] + [(10, t, float("nan") if t == 3 else 1.0) for t in range(30)]
     df = spark.createDataFrame(rows, "record_id long, t long, v double")
     want = {r.record_id: r.lags for r in SG.autocorr_top_lags(SG.pack(df, ["record_id"])).collect()}
-    for block, run in ((8, 2), (16, 16), (5, 3)):
-        blocked = SG.autocorr_top_lags_blocked(df, ["record_id"], block=block, run=run).collect()
-        assert {r.record_id: r.lags for r in blocked} == want and len(blocked) == len(want)
-    assert {r.record_id: r.lags for r in SG.top_lags_long(df, ["record_id"], max_len=20, block=16).collect()} == want
+    for cells in (1, 16, 100, 1 << 20):
+        dealt = SG.autocorr_top_lags_distributed(df, ["record_id"], cells=cells).collect()
+        assert {r.record_id: r.lags for r in dealt} == want and len(dealt) == len(want)
+    assert {r.record_id: r.lags for r in SG.top_lags_long(df, ["record_id"], max_len=20, cells=64).collect()} == want
     assert want[10] is None and want[9] == [0, 1, 2, 3, 4]
 
 
@@ -206,3 +206,40 @@ def test_statistics_of_null_series_null_samples_and_nan(spark):
     got = {r.record_id: (r.min_v, r.max_v, r.median_v, r.n) for r in SG.series_stats(df, ["record_id"]).collect()}
     assert got[None] == (1.0, 4.0, 2.0, 4) and got[1] == (5.0, 5.0, 5.0, 2) and got[3] == (None, None, None, 1)
     assert all(x != x for x in got[2][:3])
+
+
+def test_selection_is_exact_with_coarse_sketches_ties_and_nulls(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    series = {
+        1: [rnd.gauss(0, 1) for _ in range(6000)], 2: [rnd.randint(0, 3) for _ in range(900)], 3: [5.0] * 70, 4: [10.0**e for e in range(-300, 300)],
+        5: [2.0], 6: [1.0, 2.0], 7: list(range(1000, 0, -1)), None: [rnd.random() for _ in range(333)], 9: [float("inf"), 1.0, -float("inf"), 0.0, -0.0],
+    }
+    rows = [(k, t, float(x)) for k, v in series.items() for t, x in enumerate(v)] + [(1, 99_999, None), (10, 0, None)]
+    df = spark.createDataFrame(rows, "record_id long, t long, v double").repartition(5)
+    want = {k: float(sorted(v)[(len(v) + 1) // 2 - 1]) for k, v in series.items()}
+    for middle, evenly, accuracy in ((SG._MIDDLE, SG._EVENLY, SG._ACCURACY), ([0.0, 1.0], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], 40)):
+        for name, value in (("_MIDDLE", middle), ("_EVENLY", evenly), ("_ACCURACY", accuracy)):
+            monkeypatch.setattr(SG, name, value)
+        assert {r.record_id: r.median_v for r in SG.lower_median(df, ["record_id"]).collect()} == want
+    stats = {r.record_id: r.median_v for r in SG.series_stats(df, ["record_id"]).collect()}
+    assert stats == want | {10: None}
+    assert SG.lower_median(df.where("t < 0"), ["record_id"]).count() == 0
+
+
+def test_distributed_transform_refuses_gaps_and_repeated_times(spark):
+    for times in ([0, 1, 3, 4], [0, 1, 1, 3], [1, 2, 3, 4]):
+        df = spark.createDataFrame([(1, t, 1.0) for t in times], "record_id long, t long, v double")
+        try:
+            SG.autocorr_top_lags_distributed(df, ["record_id"], cells=4).collect()
+            raise AssertionError("expected a failure")
+        except Exception as e:  # noqa: BLE001
+            assert "gaps" in str(e)
+
+
+def test_distributed_transform_holds_few_numbers_and_grows_in_proportion():
+    for n in (1000, 2000, 4000, 1 << 20, (1 << 24) + 1):
+        n1, n2, c, r = SG._factors(n, 1 << 12)
+        assert n1 * n2 >= 2 * n and n1 * n2 < 8 * n and n1 * c <= max(1 << 12, n1) and r * n2 <= max(1 << 12, n2)
+        assert n2 // c + n1 // r <= 2 * (8 * n // (1 << 12) + 1) + 2 * max(n1, n2) // max(1, (1 << 12) // max(n1, n2))

@@ -119,11 +119,11 @@ def point_adjust_window(
 
 def point_adjust(
     df: DataFrame, series: str = "series_id", t: str = "t", gt: str = "gt", pred: str = "pred", fill_first: bool = False,
-    num_partitions: int | None = None, chunk: int = 1 << 16,
+    num_partitions: int | None = None, chunk: int = 1 << 16, pos: str | None = None,
 ) -> DataFrame:
     """WIN-6 for series of any length; a huge series is split over many tasks.
 
-    1. Rows are numbered globally in (series, t) order (``with_positions``).
+    1. Rows are numbered globally in (series, t) order (``with_positions``), unless they come with such positions in ``pos``.
     2. Per (series, chunk of ``chunk`` positions), the last ``gt = 0`` position is a partial
        aggregate; a window over these few rows carries it into the chunks after it.
     3. A window inside each chunk finishes it: every row gets its run, the last ``gt = 0`` position
@@ -135,7 +135,8 @@ def point_adjust(
     """
     from wavequery.operators.ordering import same, with_positions
 
-    rows = with_positions(df, [series, t], pos="_pos", num_partitions=num_partitions).df
+    columns = [c for c in df.columns if c != pos]
+    rows = df.withColumnRenamed(pos, "_pos") if pos else with_positions(df, [series, t], pos="_pos", num_partitions=num_partitions).df
     rows = rows.withColumn("_chunk", F.floor(F.col("_pos") / chunk).cast("bigint"))
     zero = F.when(F.col(gt) == 0, F.col("_pos"))
     chunks = rows.groupBy(series, "_chunk").agg(F.max(zero).alias("_zero"), F.min("_pos").alias("_at"))
@@ -151,4 +152,4 @@ def point_adjust(
     fill = (F.col(gt) == 1) & (F.col("_hit") == 1)
     if not fill_first:
         fill = fill & (F.col("_pos") != F.col("_start"))
-    return out.withColumn("adjusted", F.when(fill, F.lit(1)).otherwise(F.col(pred))).select(*df.columns, "adjusted")
+    return out.withColumn("adjusted", F.when(fill, F.lit(1)).otherwise(F.col(pred))).select(*columns, "adjusted")

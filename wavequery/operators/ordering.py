@@ -10,17 +10,19 @@ globally without that:
    joined later, and readers still prune columns;
 3. count rows per partition number (a partial aggregation);
 4. pos = offset of the partition + rank inside it; the offsets are a table of one row per
-   partition, joined on the partition number (it never reaches the driver or the plan).
+   partition, joined on the partition number.
 
 The order key must be unique (append a unique column); then ``pos`` does not
 depend on the number of partitions.
+
+``seeded_positions`` numbers seeded shuffles, whose order keys are md5 digests and so uniform: leading digits
+give equal partitions whatever the data. No bounds are sampled; see there.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,30 +45,74 @@ class Numbered:
     total: int  # number of rows
 
 
-def with_positions(df: DataFrame, order: list[Column | str], pos: str = "pos", num_partitions: int | None = None,
-                   persist_input: bool = False) -> Numbered:
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _ranked(df: DataFrame, name: str, dealt: DataFrame, order: list[Column]) -> DataFrame:
+    """``dealt`` sorted within its partitions and written, with ``_pid`` (the partition) and ``_rank`` (the place in it)."""
+    dealt = dealt.sortWithinPartitions(*order)
+    numbered = {"_pid": F.spark_partition_id(), "_rank": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))}
+    return written(dealt.select(*df.columns, *[c.alias(n) for n, c in numbered.items()]), name)
+
+
+def _ranged(df: DataFrame, order: list[Column | str], num_partitions: int | None) -> DataFrame:
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    # the range bounds are sampled in a first pass over the input and the shuffle is a
-    # second one; ``persist_input`` keeps the input between them (measured slower than
-    # recomputing for cheap inputs, so off by default; the result does not depend on it)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
-    ranged = kept.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    ranged = ranged.withColumns(
-        {"_pid": F.spark_partition_id(), "_rank": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))}
-    )
-    stable = written(ranged, "numbered")
-    if persist_input:
-        kept.unpersist()
-    counts = stable.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = written(counts.select("_pid", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "offsets")
-    total = offsets.agg(F.sum("_n")).first()[0] or 0
-    out = stable.join(F.broadcast(offsets.drop("_n")), "_pid").withColumn(pos, F.col("_off") + F.col("_rank"))
+    # the range bounds are sampled in a first pass over the input, the shuffle is a second one
+    return _ranked(df, "numbered", df.repartitionByRange(n, *order_cols), order_cols)
+
+
+def _offsets(stable: DataFrame) -> tuple[DataFrame, int]:
+    """(_pid, _off) and the total. The counts are a row per partition of the shuffle, as many as the driver keeps of its tasks anyway."""
+    counts = sorted((r["_pid"], r["_n"]) for r in stable.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    total, offsets = 0, []
+    for pid, rows in counts:
+        offsets.append((pid, total))
+        total += rows
+    return F.broadcast(stable.sparkSession.createDataFrame(offsets, "_pid int, _off long")), total
+
+
+def with_positions(df: DataFrame, order: list[Column | str], pos: str = "pos", num_partitions: int | None = None) -> Numbered:
+    stable = _ranged(df, order, num_partitions)
+    offsets, total = _offsets(stable)
+    out = stable.join(offsets, "_pid").withColumn(pos, F.col("_off") + F.col("_rank"))
     return Numbered(out.select(*df.columns, pos), total)
 
 
+#: Leading digits of a group's md5 whose cells are summed on the driver's side of a window: 4,096 prefixes.
+GROUP_DIGITS = 3
+
+
+def seeded_positions(df: DataFrame, seed: int, key: str, group: str | None = None, pos: str = "pos", num_partitions: int | None = None) -> Numbered:
+    """Positions in the order of ``grouped_shuffle_order`` (or ``global_shuffle_order`` without a group), by radix.
+
+    1. A row's partition is given by the leading digits of its own md5, which are uniform: all partitions are equal, and every group,
+       also one that has a third of the rows, is spread over all of them. No bounds are sampled, so the input is read once; rows are shuffled once.
+    2. Partitions are sorted by (group's md5, group, row's md5) and written with each row's rank.
+    3. One count table, a row per (group, partition), gives the first position of each: partitions follow each other within a group as
+       their digits do. Its running sums are taken within prefixes of the group's md5 and over these.
+
+    A null group comes first, its rows by their own keys; a null key counts as empty.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    digest = F.coalesce(seeded_key(seed, group, own), seeded_key(seed, own)) if group else seeded_key(seed, own)
+    named = df.withColumns({"_row": digest, "_group": F.col(group) if group else F.lit(0)})
+    named = named.withColumn("_digest", seeded_key(seed, "_group") if group else F.lit(""))
+    part = (F.conv(F.substring("_row", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)).cast("int")
+    order = [F.col(c) for c in ("_digest", "_group", "_row", key)]
+    kept = df.withColumns({"_group": F.col(group) if group else F.lit(0)})
+    stable = _ranked(kept, "seeded", named.repartitionById(n, part), order)
+    cells = stable.groupBy("_group", "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_low"))
+    cells = cells.withColumn("_digest", F.coalesce(seeded_key(seed, "_group"), F.lit("")) if group else F.lit(""))
+    cells = cells.withColumn("_prefix", F.substring("_digest", 1, GROUP_DIGITS))
+    rows_before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("_inside", rows_before(Window.partitionBy("_prefix").orderBy("_digest", "_group", "_pid")))
+    prefixes = cells.groupBy("_prefix").agg(F.sum("_n").alias("_n"))
+    prefixes = prefixes.select("_prefix", rows_before(Window.orderBy("_prefix")).alias("_before"))  # 4,097 rows at most
+    cells = cells.join(prefixes, "_prefix").select("_group", "_pid", (F.col("_before") + F.col("_inside") - F.col("_low")).alias("_off"))
+    placed = same(stable, written(cells, "cells"), ["_group", "_pid"])
+    return Numbered(placed.withColumn(pos, F.col("_off") + F.col("_rank")).select(*df.columns, pos), stable.count())
+
+
 def grouped_shuffle_order(seed: int, group: str, key: str) -> list[Column]:
     """TOP-1: question groups in seeded order, rows seeded inside each group; groups stay contiguous."""
     return [seeded_key(seed, group), F.col(group), seeded_key(seed, group, key), F.col(key)]
@@ -102,15 +148,23 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
 
 
 def series_index(df: DataFrame, series: list[str], order: list[Column | str], out: str = "t",
-                 length: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row inside its series, in ``order`` (plus the series length).
+                 length: str | None = None, num_partitions: int | None = None, position: str | None = None) -> DataFrame:
+    """0-based position of each row inside its series, in ``order`` (plus the series length). ``position`` keeps the
+    global one, by which operators on ordered series need not number the rows again.
 
-    One form for every size: rows are numbered globally in (series, order), where range partitions
-    split a huge series, and each series' first position and length are partial aggregates joined back on
-    the series key (unique on that side; null is a series of its own).
+    One form for every size: rows are range-partitioned by (series, order), which splits a huge series, and ranked
+    (as in ``with_positions``). A count table, a row per series and partition, gives a series' rows in the partitions before and its
+    length; it is joined back on (series, partition), unique on that side. Null is a series of its own.
     """
     keys = [F.col(c) for c in series] + [F.col(c) if isinstance(c, str) else c for c in order]
-    numbered = with_positions(df, keys, pos="_gpos", num_partitions=num_partitions).df
-    aggs = [F.min("_gpos").alias("_start")] + ([F.count(F.lit(1)).alias(length)] if length else [])
-    bounds = numbered.groupBy(*series).agg(*aggs)
-    return same(numbered, bounds, series).withColumn(out, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start")
+    stable = _ranged(df, keys, num_partitions)
+    cells = stable.groupBy(*series, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_low"))
+    whole = Window.partitionBy(*series)
+    earlier = F.coalesce(F.sum("_n").over(whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = [F.sum("_n").over(whole).alias(length)] if length else []
+    cells = written(cells.select(*series, "_pid", (earlier - F.col("_low")).alias("_shift"), *more), "cells")
+    placed = same(stable, cells, [*series, "_pid"]).withColumn(out, F.col("_shift") + F.col("_rank"))
+    if position:
+        offsets, _ = _offsets(stable)
+        placed = placed.join(offsets, "_pid").withColumn(position, F.col("_off") + F.col("_rank"))
+    return placed.select(*df.columns, out, *([length] if length else []), *([position] if position else []))

@@ -97,10 +97,12 @@ def affine_inverse(z, mean, std) -> Column:
     return _c(z) * _c(std) + _c(mean)
 
 
-def inverse_zscore(scaled: DataFrame, params: DataFrame, keys: list[str], z: str = "z", out: str = "v_back") -> DataFrame:
-    """Inverse with each series' *own* parameters (the reference reuses the last fitted one)."""
-    cols = [c for c in scaled.columns if c not in ("mean", "std", "flat")]
-    return scaled.select(*cols).join(params, keys).withColumn(out, affine_inverse(z, "mean", "std"))
+def inverse_zscore(scaled: DataFrame, params: DataFrame | None = None, keys: list[str] | None = None, z: str = "z", out: str = "v_back") -> DataFrame:
+    """Inverse with each series' *own* parameters (the reference reuses the last fitted one): those that ``zscore`` left in
+    the rows, or ``params`` joined on ``keys``."""
+    if params is not None:
+        scaled = scaled.drop("mean", "std", "flat").join(params, keys)
+    return scaled.withColumn(out, affine_inverse(z, "mean", "std"))
 
 
 def zscore_packed(packed: DataFrame, v: str = "v", out: str = "z") -> DataFrame:
@@ -118,15 +120,25 @@ def zscore_packed(packed: DataFrame, v: str = "v", out: str = "z") -> DataFrame:
 
 # ----------------------------------------------------------------------------- statistics (AGG-5/6/7, WIN-2)
 
+#: Fractions at which a series is sketched: close to the middle first, then evenly. A sketch may be off by one sample in ``_ACCURACY``, far
+#: less than the fractions are apart, so that a round leaves about a sixtieth of what it starts from.
+_MIDDLE, _EVENLY, _ACCURACY = [0.0, 0.498, 0.5, 0.502, 1.0], [i / 128 for i in range(129)], 2000
+
+
+def _sketch(v: str | Column, fractions: list[float]) -> Column:
+    return F.percentile_approx(v, F.array(*[F.lit(f) for f in fractions]), _ACCURACY)
+
+
 def series_stats(long: DataFrame, keys: list[str], t: str = "t", v: str = "v") -> DataFrame:
     """min, max, lower median, trend (= sum of first differences = last - first), length.
 
     The trend telescopes to ``max_by(v, t) - min_by(v, t)``, so all but the median are partial
     aggregates and no window over the series is needed. The median (the lower one; null samples do not count)
-    comes from ``lower_median_sorted``, which splits a series of any size.
+    is selected by ``kth_smallest``, which splits a series of any size and starts from a sketch taken in the same pass.
     NaN propagates: any NaN sample makes the statistics NaN.
     """
     from wavequery.operators.ordering import same
+    from wavequery.session import written
 
     x = F.col(v).cast("double")
     nan = F.lit(float("nan"))
@@ -137,27 +149,63 @@ def series_stats(long: DataFrame, keys: list[str], t: str = "t", v: str = "v") -
         F.max(x).alias("max_v"),
         (F.max_by(x, t) - F.min_by(x, t)).alias("trend"),
         F.count(F.lit(1)).alias("n"),
+        F.count(x).alias("_n"),
+        _sketch(x, _MIDDLE).alias("_q"),
     )
-    stats = same(stats, lower_median_sorted(long.where(x.isNotNull()), keys, t, v), keys, "left")
-    return stats.select(*keys, *[number(c) for c in ("min_v", "max_v", "median_v", "trend")], "n")
+    stats = written(stats, "statistics")
+    rows = long.select(*keys, x.alias("_v")).where(F.col("_v").isNotNull())
+    sketch = stats.where("_n > 0").select(*keys, "_n", F.ceil(F.col("_n") / 2).alias("_k"), "_q")
+    median = kth_smallest(rows, keys, "_v", sketch, _MIDDLE).withColumnRenamed("_v", "median_v")
+    return same(stats, median, keys, "left").select(*keys, *[number(c) for c in ("min_v", "max_v", "median_v", "trend")], "n")
 
 
-def lower_median_sorted(long: DataFrame, keys: list[str], t: str = "t", v: str = "v",
-                        num_partitions: int | None = None) -> DataFrame:
-    """Exact lower median for series of any size: (keys..., median_v).
+def lower_median(long: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
+    """Exact lower median (sample ceil(n/2) of n by value) for series of any size: (keys..., median_v). Nulls do not count."""
+    rows = long.select(*keys, F.col(v).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _sketch("_v", _MIDDLE).alias("_q"))
+    sketch = sketch.withColumn("_k", F.ceil(F.col("_n") / 2))
+    return kth_smallest(rows, keys, "_v", sketch, _MIDDLE).withColumnRenamed("_v", "median_v")
 
-    ``percentile_disc`` would keep a value->count map per group in one task. Here the samples are numbered globally in (keys, v, t) order
-    (range partitions split a huge series), each series' first position and length
-    come from partial aggregates, and the row at first + ceil(n/2) - 1 is the median.
+
+def kth_smallest(rows: DataFrame, keys: list[str], v: str, sketch: DataFrame, fractions: list[float]) -> DataFrame:
+    """Exact selection without a sort: (keys..., v), the value of rank ``_k`` (from 1) among the ``_n`` of each series.
+    ``sketch``: keys..., _n, _k and ``_q``, the series' values at the ``fractions`` by a mergeable sketch (a partial aggregate).
+
+    A round takes the two sketched values around the wanted rank and counts the values below, at, between and above them. The
+    counts are exact: they say whether one of the two is the answer, or which of the other parts holds it and at which rank. Only that part,
+    a small share of the series, is sketched for the next round; a sketch that errs costs a round, never a wrong answer. Each round drops the
+    two values with all their ties.
     """
-    from wavequery.operators.ordering import same, with_positions
+    from wavequery.operators.ordering import same
+    from wavequery.session import written
 
-    numbered = with_positions(long.select(*keys, t, F.col(v).cast("double").alias(v)), [*keys, v, t], pos="_pos",
-                              num_partitions=num_partitions)
-    bounds = numbered.df.groupBy(*keys).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    target = (F.col("_start") + F.ceil(F.col("_n") / 2) - 1).cast("bigint")
-    picked = same(numbered.df, bounds, keys).where(F.col("_pos") == target)
-    return picked.select(*keys, F.col(v).alias("median_v"))
+    answers = None
+    while True:
+        at = F.array(*[F.lit(f) for f in fractions])
+        near = F.size(F.filter(at, lambda f: f * F.col("_n") < F.col("_k")))  # fractions below the rank
+        low = F.get("_q", F.greatest(near - 1, F.lit(0)))
+        high = F.get("_q", F.least(near, F.lit(len(fractions) - 1)))
+        bounds = sketch.select(*keys, F.col("_k").cast("bigint").alias("_k"), low.alias("_lo"), high.alias("_hi"))
+        x, lo, hi = F.col(v), F.col("_lo"), F.col("_hi")
+        part = F.when(x < lo, 0).when(x == lo, 1).when(x < hi, 2).when(x == hi, 3).otherwise(4)
+        counted = same(rows, bounds, keys).groupBy(*keys).agg(
+            F.first("_k").alias("_k"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), *[F.count_if(part == i).alias(f"_c{i}") for i in range(5)]
+        )
+        upto = [sum((F.col(f"_c{j}") for j in range(i)), F.lit(0)) for i in range(6)]
+        where = F.when(F.col("_k") <= upto[1], 0)
+        for i in range(1, 5):
+            where = where.when(F.col("_k") <= upto[i + 1], i)
+        before = F.element_at(F.array(*upto[:5]), F.col("_part") + 1)
+        found = written(counted.withColumn("_part", where).select(*keys, "_part", (F.col("_k") - before).alias("_k"), "_lo", "_hi"), "selected")
+        done = found.where("_part in (1, 3)").select(*keys, F.when(F.col("_part") == 1, lo).otherwise(hi).alias(v))
+        answers = done if answers is None else answers.unionByName(done)
+        left = found.where("_part in (0, 2, 4)")
+        if left.isEmpty():
+            return answers
+        rows = written(same(rows, left, keys).where(part == F.col("_part")).select(*keys, v), "narrowed")
+        fractions = _EVENLY
+        sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _sketch(v, fractions).alias("_q"))
+        sketch = written(same(sketch, left.select(*keys, "_k"), keys), "sketches")
 
 
 def first_differences(long: DataFrame, keys: list[str], t: str = "t", v: str = "v", chunk: int = 1 << 16) -> DataFrame:
@@ -274,8 +322,8 @@ def _top_lags(series: pd.Series, k: int = TOP_K_LAGS) -> pd.Series:
         f = np.fft.rfft(x)
         c = np.fft.irfft(f * np.conj(f), n=n)  # true circular autocorrelation for every n
         c = (c + np.roll(c[::-1], 1)) / 2.0  # c[tau] == c[n - tau] exactly
-        scale = abs(c[0]) if c[0] != 0 else 1.0
-        key = np.round(c / scale, 9)
+        energy = float(x @ x)
+        key = np.rint(c / (energy if energy != 0 else 1.0) * 1e9)
         order = np.lexsort((np.arange(n), -key))  # value desc, then lag asc
         out.append(order[: min(k, n)].astype(np.int64).tolist())
     return pd.Series(out)
@@ -299,10 +347,9 @@ def autocorr_top_lags(packed: DataFrame, v: str = "v", out: str = "lags") -> Dat
 MAX_FFT_SAMPLES = 1 << 22
 
 
-def top_lags_long(long: DataFrame, keys: list[str], t: str = "t", v: str = "v", max_len: int = MAX_FFT_SAMPLES,
-                  block: int = 1 << 18) -> DataFrame:
-    """AGG-17 + TOP-5 for series of any length: (keys..., lags). Series of up to ``max_len`` samples are packed,
-    longer ones go through ``autocorr_top_lags_blocked``."""
+def top_lags_long(long: DataFrame, keys: list[str], t: str = "t", v: str = "v", max_len: int = MAX_FFT_SAMPLES, cells: int = 1 << 20) -> DataFrame:
+    """AGG-17 + TOP-5 for series of any length: (keys..., lags). Series of up to ``max_len`` samples are transformed in one
+    task each, longer ones by ``autocorr_top_lags_distributed``; values are rounded alike."""
     from wavequery.operators.ordering import same
     from wavequery.session import written
 
@@ -312,58 +359,93 @@ def top_lags_long(long: DataFrame, keys: list[str], t: str = "t", v: str = "v",
         return autocorr_top_lags(pack(rows, keys)).select(*keys, "lags")
     sized = same(written(rows, "series"), lens, keys)
     short = autocorr_top_lags(pack(sized.where(F.col("_n") <= max_len).drop("_n"), keys)).select(*keys, "lags")
-    return short.unionByName(autocorr_top_lags_blocked(sized.where(F.col("_n") > max_len).drop("_n"), keys, block))
+    return short.unionByName(autocorr_top_lags_distributed(sized.where(F.col("_n") > max_len).drop("_n"), keys, cells))
 
 
-def autocorr_top_lags_blocked(long: DataFrame, keys: list[str], block: int = 1 << 18, run: int = 16, k: int = TOP_K_LAGS) -> DataFrame:
-    """The same lags from (keys..., t, v) without a whole series in one task: (keys..., lags).
+def _factors(n: int, cells: int) -> tuple[int, int, int, int]:
+    """Sides of the transform of a series of n samples, padded to a power of two of at least 2n: rows N1 and columns N2, and the
+    columns C and rows R that one task holds, of up to ``cells`` numbers."""
+    p = (2 * n - 1).bit_length()
+    n1, n2 = 1 << p // 2, 1 << p - p // 2
+    return n1, n2, max(1, min(n2, cells // n1)), max(1, min(n1, cells // n2))
 
-    A series is cut into blocks. Blocks i and i + d give the products at lags (d - 1) * block to (d + 1) * block by one
-    FFT; ``run`` neighbouring pairs of one d are summed as spectra in one task, the rest per lag by groupBy. Lags tau and
-    n - tau have the same value. The work grows with the square of the number of blocks, the memory of a task does not.
+
+def _twiddles(rows: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
+    return np.exp(-2j * np.pi * (rows[:, None] * columns % size) / size)
+
+
+def _top_lags_transform(table: pa.Table, keys: list[str], cells: int, step: str) -> pa.Table:
+    """One group of one step of the four-step transform: see ``autocorr_top_lags_distributed``."""
+    n = table.column("_n")[0].as_py()
+    n1, n2, c, r = _factors(n, cells)
+    whole = lambda axis: np.concatenate(
+        [np.frombuffer(x, dtype=np.complex128).reshape(-1, c) for x in table.sort_by("_at").column("_data").to_pylist()], axis=axis
+    )
+
+    def out(group: list[int], at: int, parts: list[np.ndarray]) -> pa.Table:
+        same = [pa.array([table.column(k)[0].as_py()] * len(parts), table.schema.field(k).type) for k in keys]
+        data = pa.array([np.ascontiguousarray(x).tobytes() for x in parts], pa.binary())
+        return pa.table([*same, pa.array([n] * len(parts)), pa.array(group, pa.int64()), pa.array([at] * len(parts), pa.int64()), data], names=[*keys, "_n", "_g", "_at", "_data"])
+
+    g = table.column("_g")[0].as_py()
+    if step == "columns":
+        t, v = table.column("_t").to_numpy(), table.column("_v").to_numpy()
+        if len(np.unique(t)) < len(t):
+            raise ValueError("series has gaps or duplicate time indexes")
+        x = np.zeros((n1, c))
+        x[t // n2, t % n2 - g * c] = v
+        a = np.fft.fft(x, axis=0) * _twiddles(np.arange(n1), g * c + np.arange(c), n1 * n2)
+        return out(list(range(n1 // r)), g, [a[i * r : (i + 1) * r] for i in range(n1 // r)])
+    if step == "rows":
+        power = np.abs(np.fft.fft(whole(1), axis=1)) ** 2
+        b = np.fft.ifft(power, axis=1) * _twiddles(g * r + np.arange(r), np.arange(n2), n1 * n2).conj()
+        return out(list(range(n2 // c)), g, [b[:, i * c : (i + 1) * c] for i in range(n2 // c)])
+    products = np.fft.ifft(whole(0), axis=0).real
+    lag = (np.arange(n1)[:, None] * n2 + (g * c + np.arange(c))).ravel()
+    keep = lag < n
+    lag, products = lag[keep], products.ravel()[keep]
+    products = np.where(2 * lag == n, 2 * products, products)  # its own mirror
+    same = [pa.array([table.column(k)[0].as_py()] * len(lag), table.schema.field(k).type) for k in keys]
+    return pa.table([*same, pa.array(np.full(len(lag), n)), pa.array(np.minimum(lag, n - lag)), pa.array(products)], names=[*keys, "_n", "_lag", "_r"])
+
+
+def autocorr_top_lags_distributed(long: DataFrame, keys: list[str], cells: int = 1 << 20, k: int = TOP_K_LAGS) -> DataFrame:
+    """The same lags from (keys..., t, v) for a series of any length, no task holding more than ``cells`` of its numbers: (keys..., lags).
+
+    A four-step Fourier transform. The series, padded with zeros to N = N1 * N2 >= 2n numbers, is a matrix of N1 rows:
+    1. tasks of some columns each transform them and multiply by the twiddle factors;
+    2. the matrix is transposed by a shuffle; tasks of some rows each transform them, take the power spectrum and
+       transform that back along the same rows, so that no further transpose is needed;
+    3. shuffled back to columns, the inverse transform of those gives the products at all lags.
+    The products at tau and n - tau add up to the circular value of both. Work is O(n log n) and linear in the number of tasks.
     """
     from pyspark.sql import Window
 
     from wavequery.operators.ordering import same
 
+    cells = 1 << cells.bit_length() - 1  # a power of two, as the sides are
     info = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("t").alias("_t0"), F.max("t").alias("_t1"),
-        F.max(F.col("v").isNull() | F.isnan("v")).alias("_nan"),
+        F.max(F.col("v").isNull() | F.isnan("v")).alias("_nan"), F.sum(F.col("v") * F.col("v")).alias("_c0"),
     )
-    blocks = long.groupBy(*keys, F.floor(F.col("t") / block).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_s"))
-    ok = F.size(F.array_distinct("_s.t")) == F.size("_s")
     whole = (F.col("_t0") == 0) & (F.col("_t1") == F.col("_n") - 1)
-    blocks = same(blocks, info, keys).where(F.when(ok & whole, F.lit(True)).otherwise(F.raise_error(F.lit("series has gaps or duplicate time indexes"))))
-    last = F.floor((F.col("_n") - 1) / block)
-    # as the first of a pair: (d, b); as the second: (d, b - d); a block that is both in one run is sent once
-    first = F.transform(F.sequence(F.lit(0).cast("long"), last - F.col("_b")), lambda d: F.struct(d.alias("d"), F.floor(F.col("_b") / run).alias("g")))
-    second = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_b")), lambda d: F.struct(d.alias("d"), F.floor((F.col("_b") - d) / run).alias("g")))
-    dealt = blocks.where(~F.col("_nan")).select(*keys, "_n", "_b", F.col("_s.v").alias("v"), F.explode(F.array_union(first, second)).alias("_at"))
-    dealt = dealt.select(*keys, F.col("_at.d").alias("_d"), F.col("_at.g").alias("_g"), "_n", "_b", "v")
-
-    def products(table: pa.Table) -> pa.Table:
-        d, g, n = (table.column(c)[0].as_py() for c in ("_d", "_g", "_n"))
-        at = {b: x for x, b in enumerate(table.column("_b").to_pylist())}
-        spectrum = lambda b: np.fft.rfft(table.column("v")[at[b]].values.to_numpy(), 2 * block)
-        total = np.zeros(block + 1, dtype=complex)
-        for i in range(g * run, (g + 1) * run):
-            if i in at and i + d in at:
-                total += np.conj(spectrum(i)) * spectrum(i + d)
-        r = np.fft.irfft(total, 2 * block)
-        off = np.concatenate([np.arange(block), np.arange(-block, 0)])  # lags of the inverse, relative to d * block
-        lag = d * block + off
-        keep = (lag >= 0) & (lag < n) & (off > -block)
-        lag, r = lag[keep], r[keep]
-        r = np.where(2 * lag == n, 2 * r, r)
-        cols = [pa.array([table.column(c)[0].as_py()] * len(lag), table.schema.field(c).type) for c in keys]
-        return pa.table([*cols, pa.array(np.full(len(lag), n)), pa.array(np.minimum(lag, n - lag)), pa.array(r)], names=[*keys, "_n", "_lag", "_r"])
-
+    rows = same(long, info, keys).where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("series has gaps or duplicate time indexes"))))
+    # the sides of _factors: the length in bits of 2n - 1
+    p = F.length(F.bin(F.col("_n") * 2 - 1))
+    n1, n2 = (F.expr(f"shiftleft(1L, int({x}))") for x in ("_p div 2", "_p - _p div 2"))
+    columns = F.greatest(F.lit(1), F.least(n2, F.expr(f"{cells}L div shiftleft(1L, int(_p div 2))")))
+    rows = rows.where(~F.col("_nan")).withColumn("_p", p).select(
+        *keys, "_n", F.floor(F.pmod("t", n2) / columns).alias("_g"), F.col("t").cast("long").alias("_t"), F.col("v").cast("double").alias("_v")
+    )
     types = ", ".join(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in keys)
-    parts = dealt.groupBy(*keys, "_d", "_g").applyInArrow(products, f"{types}, _n long, _lag long, _r double")
-    # lag 0 and its mirror n are one; any other lag gets r[lag] + r[n - lag]
-    c = parts.groupBy(*keys, "_n", "_lag").agg(F.sum("_r").alias("_c"))
-    energy = long.groupBy(*keys).agg(F.sum(F.col("v") * F.col("v")).alias("_c0"))
-    c = same(c, energy, keys)
+
+    def step(df: DataFrame, name: str, schema: str) -> DataFrame:
+        return df.groupBy(*keys, "_g").applyInArrow(lambda table: _top_lags_transform(table, keys, cells, name), f"{types}, _n long, {schema}")
+
+    parts = "_g long, _at long, _data binary"
+    products = step(step(step(rows, "columns", parts), "rows", parts), "lags", "_lag long, _r double")
+    c = products.groupBy(*keys, "_n", "_lag").agg(F.sum("_r").alias("_c"))
+    c = same(c, info.select(*keys, "_c0"), keys)
     key = F.rint(F.col("_c") / F.when(F.col("_c0") != 0, F.col("_c0")).otherwise(1.0) * 1e9)
     both = F.array_distinct(F.array(F.col("_lag"), F.pmod(F.col("_n") - F.col("_lag"), F.col("_n"))))
     ranked = c.select(*keys, key.alias("_key"), F.explode(both).alias("_lag"))

@@ -132,7 +132,7 @@ from binary_labels group by rollup (series_id)""",
     ),
 )
 def elementwise_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EV.elementwise_accuracy(S.binary_labels(spark, sf_dir), by="series_id")
+    return EV.elementwise_accuracy(S.label_rows(spark, sf_dir), by="series_id")
 
 
 @register(
@@ -150,7 +150,7 @@ from h""",
     ),
 )
 def point_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return EV.point_adjust(S.binary_labels(spark, sf_dir))
+    return EV.point_adjust(S.binary_labels(spark, sf_dir, position="place"), pos="place")
 
 
 # --------------------------------------------------------------------------- preparation
@@ -422,8 +422,8 @@ def lead_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavequery.operators.signals import inverse_zscore, zscore
 
     keys = ["record_id", "lead"]
-    scaled, params = zscore(S.signals(spark, sf_dir), keys)
-    back = inverse_zscore(scaled, params, keys)
+    scaled, _ = zscore(S.signals(spark, sf_dir), keys)
+    back = inverse_zscore(scaled, keys=keys)
     return back.select("record_id", "lead", "t", F.round("v_back", 6).alias("v_back"), "flat")
 
 

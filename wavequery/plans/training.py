@@ -25,9 +25,9 @@ def number_examples(qa: DataFrame, mode: str = "grouped", seed: int = DEFAULT_SE
                     key: str = "seq") -> O.Numbered:
     """Number all examples in the chosen order (before any limit)."""
     if mode == "grouped":
-        return O.with_positions(qa, O.grouped_shuffle_order(seed, group, key))
+        return O.seeded_positions(qa, seed, key, group)
     if mode == "global":
-        return O.with_positions(qa, O.global_shuffle_order(seed, key))
+        return O.seeded_positions(qa, seed, key)
     if mode == "file":
         joined, order = O.file_order(qa, group, key)
         numbered = O.with_positions(joined, order)

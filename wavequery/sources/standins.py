@@ -86,18 +86,24 @@ def signals_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def binary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered 0/1 ground truth and prediction per series: (series_id, t, gt, pred)."""
-    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    ev = series_index(ev, ["user_id"], ["ts", "event_id"])
-    return ev.select(
-        F.col("user_id").alias("series_id"),
-        "t",
-        (F.col("value") > 20).cast("int").alias("gt"),
-        (F.col("value") > 45).cast("int").alias("pred"),
+def _labels(events: DataFrame, *more: str) -> DataFrame:
+    return events.select(
+        F.col("user_id").alias("series_id"), *more, (F.col("value") > 20).cast("int").alias("gt"), (F.col("value") > 45).cast("int").alias("pred")
     )
 
 
+def binary_labels(spark: SparkSession, sf_dir: str, position: str | None = None) -> DataFrame:
+    """Ordered 0/1 ground truth and prediction per series: (series_id, t, gt, pred), with the global position if named."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    ev = series_index(ev, ["user_id"], ["ts", "event_id"], position=position)
+    return _labels(ev, "t", *([position] if position else []))
+
+
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``binary_labels`` without an order, for what needs none: (series_id, gt, pred)."""
+    return _labels(table(spark, sf_dir, "events"))
+
+
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation loss per (run, epoch), exact rationals: (run_id, epoch, val_loss)."""
     epoch = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
