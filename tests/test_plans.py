@@ -7,8 +7,8 @@ from wavequery.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-# queries whose operator is Python by design (FFT lags, dense attention, sequential fold)
-ALLOWED_PYTHON = {"autocorr_top_lags", "prompt_text", "prototype_blend", "early_stopping_delta", "prototype_values", "combined_prompt_text"}
+# queries whose operator is Python by design (FFT lags, dense products, sequential fold)
+ALLOWED_PYTHON = {"autocorr_top_lags", "prompt_text", "prototype_blend", "early_stopping_delta", "prototype_values", "combined_prompt_text", "batch_cosine", "batch_similarity_mse"}
 # queries that run a stream or a sink before returning (their result is a scan of written files)
 MATERIALISED = {"stream_early_stop", "stream_accuracy", "annotation_roundtrip"}
 

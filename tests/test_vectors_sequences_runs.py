@@ -210,3 +210,42 @@ def test_row_vectors_give_the_cell_form_error(spark):
     assert want.keys() == got.keys()
     for b in want:
         assert want[b][0] == got[b][0] and math.isclose(want[b][1], got[b][1])
+
+
+def test_gram_blocks_of_any_width_give_the_same_similarities(spark):
+    rng = np.random.default_rng(8)
+    vecs = [(b, i, rng.normal(size=11).tolist()) for b in (0, 1, 2) for i in range(5)]
+    vecs += [(1, 5, [0.0] * 11), (1, 6, None), (1, 7, [1.0] * 4), (1, 8, []), (2, 5, [None] + [1.0] * 10), (None, 0, [2.0, 1.0]), (None, 3, [1.0, 0.0])]
+    df = spark.createDataFrame(vecs, "batch_id long, idx int, embedding array<double>").repartition(3)
+    held = {(b, i): v for b, i, v in vecs}
+
+    def sim(v, w):
+        if v is None or w is None or len(v) != len(w) or None in v or None in w or not any(v) or not any(w):
+            return None
+        return float(np.dot(v, w) / math.sqrt(np.dot(v, v) * np.dot(w, w)))
+
+    for width in (1, 3, 4, 11, 4096):
+        got = V.cosine_rows(df, width=width).collect()
+        assert {(r.batch_id, r.i) for r in got} == set(held)
+        for r in got:
+            assert r.js == sorted(i for b, i in held if b == r.batch_id)
+            for j, s in zip(r.js, r.sims):
+                want = sim(held[r.batch_id, r.i], held[r.batch_id, j])
+                assert (s is None) == (want is None) and (s is None or math.isclose(s, want, abs_tol=1e-12))
+    assert V.cosine_rows(df.where("idx > 99")).count() == 0
+
+
+def test_fifty_prototype_blocks_give_the_one_block_result_and_write_vectors_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    q, k = rng.normal(size=(40, 4)) * 20, rng.normal(size=(50, 4)) * 20
+    df = spark.createDataFrame([(i, q[i].tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    protos = spark.createDataFrame([(j, k[j].tolist()) for j in range(50)], "label long, proto array<double>")
+    names = []
+    write = V.written
+    monkeypatch.setattr(V, "written", lambda d, name: (names.append(name), write(d, name))[1])
+    one = {r.vec_id: r for r in V.prototype_blend(df, protos, n_heads=2).collect()}
+    assert names == []
+    many = {r.vec_id: r for r in V.prototype_blend(df, protos, n_heads=2, block_bytes=64).collect()}
+    assert names.count("vectors") == 1 and names.count("states") == 50
+    for i in range(40):
+        assert np.allclose(one[i].blend, many[i].blend) and np.allclose(one[i].weights, many[i].weights) and many[i].proto_keys == list(range(50))

@@ -1,11 +1,11 @@
 """Vector operators: flatten, normalise, in-batch cosine, similarity-vs-score error, prototype blend.
 
-In-batch cosine gathers each batch once (a fixed size B, so the pair count is n * B, never a
+In-batch cosine sums Gram matrices over blocks of dimensions (a batch has a fixed size B, so the pair count is n * B, never a
 data-dependent square) and yields one row of B similarities per vector.
 
 The prototype blend attends every vector to a prototype set. Instead of a cross join, prototypes are
 broadcast in blocks of checked bytes; each Arrow batch of vectors does the attention as numpy matrix
-products.
+products, and the blocks' softmax states are merged.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavequery.functions import dot, l2_norm, normalize
+from wavequery.functions import l2_norm, normalize
 from wavequery.operators.ordering import with_positions
 from wavequery.session import written
 
@@ -35,19 +36,86 @@ def normalize_vectors(df: DataFrame, col: str = "embedding", out: str = "unit")
     return df.withColumn("norm", l2_norm(col)).withColumn(out, normalize(col))
 
 
-def cosine_rows(df: DataFrame, col: str = "embedding", batch: str = "batch_id", idx: str = "idx") -> DataFrame:
+#: Components of a vector that stand in one row while a batch's products are summed.
+BLOCK_WIDTH = 4096
+
+
+def cosine_rows(df: DataFrame, col: str = "embedding", batch: str = "batch_id", idx: str = "idx", width: int = BLOCK_WIDTH) -> DataFrame:
     """VEC-3, one row per vector: (batch_id, i, js, sims) over the batch's vectors in ``idx`` order.
 
-    A batch (B vectors, a fixed size) is gathered once by a grouped aggregate; a vector is never copied into pair rows.
+    Vectors are cut into blocks of ``width`` dimensions. A batch's blocks follow each other in one sorted partition, and the Gram
+    matrix (B x B, a fixed size) is the sum of one numpy product per block: neither a row nor a task ever holds a batch of whole
+    vectors. A similarity is null if a vector is null, zero, has a null component, or another length.
     """
-    unit = normalize_vectors(df.select(batch, F.col(idx).alias("i"), col), col)
-    whole = unit.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct("i", "unit"))).alias("_m"))
-    against = lambda a: F.struct(
-        a["i"].alias("i"),
-        F.transform("_m", lambda b: b["i"]).alias("js"),
-        F.transform("_m", lambda b: dot(a["unit"], b["unit"])).alias("sims"),
-    )
-    return whole.select(batch, F.explode(F.transform("_m", against)).alias("_r")).select(batch, "_r.*")
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.coalesce(F.size(col), F.lit(0)) / width).cast("int") - 1)))
+    whole = F.when(~F.exists(F.col(col), lambda x: x.isNull()), F.col(col).cast("array<double>"))
+    cut = df.select(batch, F.col(idx).alias("i"), whole.alias("_v"), at.alias("_block"))
+    cut = cut.select(batch, "_block", "i", F.slice("_v", F.col("_block") * width + 1, width).alias("_x"), F.size("_v").alias("_n"))
+    sorted_blocks = cut.repartition(batch).sortWithinPartitions(batch, "_block", "i")
+    kinds = {c: cut.schema[c].dataType.simpleString() for c in (batch, "i")}
+    return sorted_blocks.mapInArrow(_gram(batch), f"`{batch}` {kinds[batch]}, i {kinds['i']}, js array<{kinds['i']}>, sims array<double>")
+
+
+def _gram(batch: str):
+    """Sums the Gram matrices of a batch's blocks in a stream sorted by (batch, block, i)."""
+
+    def run(batches):
+        held: list[pa.Table] = []  # slices of the block being read
+        state: dict = {}
+
+        def add() -> None:
+            part = pa.concat_tables(held).combine_chunks()
+            held.clear()
+            rows = part.column("_x").combine_chunks()
+            size = np.nan_to_num(rows.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            x = np.zeros((len(size), int(size.max(initial=0))))
+            x[np.arange(x.shape[1]) < size[:, None]] = rows.flatten().to_numpy()
+            if "i" not in state:
+                total = part.column("_n").to_numpy(zero_copy_only=False).astype(float)
+                state.update(i=part.column("i").combine_chunks(), total=total, at=np.arange(len(x)), gram=x @ x.T)
+                return
+            # vectors that end before this block are not in it
+            places = {v: k for k, v in enumerate(state["i"].to_pylist())}
+            there = np.array([places[v] for v in part.column("i").to_pylist()])
+            state["gram"][np.ix_(there, there)] += x @ x.T
+
+        def finish(key) -> pa.RecordBatch:
+            gram, total, i = state["gram"], state["total"], state["i"]
+            b = len(total)
+            norm = np.sqrt(np.diag(gram))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sims = gram / np.outer(norm, norm)
+            null = (total[:, None] != total) | ~(total >= 0)[:, None] | (norm == 0)[:, None] | (norm == 0)
+            ends = pa.array(np.arange(b + 1) * b, pa.int32())
+            js = pa.ListArray.from_arrays(ends, pa.concat_arrays([i] * b))
+            cells = pa.ListArray.from_arrays(ends, pa.array(sims.ravel(), pa.float64(), mask=null.ravel()))
+            keys = pa.array([key.as_py()] * b, key.type)
+            state.clear()
+            return pa.record_batch([keys, i, js, cells], names=[batch, "i", "js", "sims"])
+
+        now = None
+        for piece in batches:
+            table = pa.Table.from_batches([piece])
+            if not table.num_rows:
+                continue
+            names, block = table.column(batch), table.column("_block").to_numpy()
+            coded = names.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (coded[1:] != coded[:-1])) + 1).tolist(), table.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = names[lo]
+                mark = (key.as_py(), int(block[lo]))
+                if held and mark != now:
+                    add()
+                if state and mark[0] != now[0]:
+                    yield finish(pa.scalar(now[0], key.type))
+                held.append(table.slice(lo, hi - lo))
+                now = mark
+        if held:
+            kind = held[0].schema.field(batch).type
+            add()
+            yield finish(pa.scalar(now[0], kind))
+
+    return run
 
 
 def batch_cosine(df: DataFrame, col: str = "embedding", batch: str = "batch_id", idx: str = "idx") -> DataFrame:
@@ -112,7 +180,7 @@ def mean_prototypes(df: DataFrame, group: str = "label", col: str = "embedding")
 
 
 def _attend(block, col: str, n_heads: int, weights: bool):
-    """One block of prototypes against Arrow batches of vectors: folds the block into each row's softmax state."""
+    """The softmax state of Arrow batches of vectors over one block of prototypes: per head the maximum, the mass and the weighted sum."""
 
     def run(batches):
         k, v = block.value
@@ -125,25 +193,42 @@ def _attend(block, col: str, n_heads: int, weights: bool):
                 q = np.zeros((len(part), k.shape[1]))
                 if there.any():
                     q[there] = np.stack([np.asarray(x, dtype=np.float64) for x in part[col][there]])
-                top, mass, acc = (np.stack(part[c].to_numpy()) for c in ("_top", "_mass", "_acc"))
-                raw = []
+                top, mass, acc, raw = np.empty((len(part), n_heads)), np.empty((len(part), n_heads)), np.empty((len(part), v.shape[1])), []
                 for h in range(n_heads):
-                    out = slice(h * wv, (h + 1) * wv)
                     s = q[:, h * wk : (h + 1) * wk] @ k[:, h * wk : (h + 1) * wk].T * softmax_scale(wk)
-                    new = np.maximum(top[:, h], s.max(axis=1))
-                    shrink, e = np.exp(top[:, h] - new), np.exp(s - new[:, None])
-                    mass[:, h] = mass[:, h] * shrink + e.sum(axis=1)
-                    acc[:, out] = acc[:, out] * shrink[:, None] + e @ v[:, out]
-                    top[:, h] = new
+                    top[:, h] = s.max(axis=1)
+                    e = np.exp(s - top[:, h, None])
+                    mass[:, h] = e.sum(axis=1)
+                    acc[:, h * wv : (h + 1) * wv] = e @ v[:, h * wv : (h + 1) * wv]
                     raw.append(s)
                 part["_top"], part["_mass"], part["_acc"] = list(top), list(mass), list(acc)
                 if weights:
-                    part["_raw"] = [[np.concatenate([old[h], raw[h][r]]).tolist() for h in range(n_heads)] for r, old in enumerate(part["_raw"])]
+                    part["_raw"] = [[raw[h][r].tolist() for h in range(n_heads)] for r in range(len(part))]
                 yield part
 
     return run
 
 
+def _merged(partial: DataFrame, n_heads: int, weights: bool) -> DataFrame:
+    """One state per row from those of the blocks, in one aggregation: with M the largest maximum of a head, masses and weighted sums are
+    scaled by exp(maximum - M) and added; raw scores are put together in the blocks' order."""
+    gathered = partial.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_block", "_top", "_mass", "_acc", *(["_raw"] if weights else [])))).alias("_p"))
+    heads = F.array(*[F.lit(h) for h in range(n_heads)])
+    top = F.transform(heads, lambda h: F.array_max(F.transform("_p", lambda p: F.get(p["_top"], h))))
+    gathered = gathered.withColumn("_top", top)
+    shrink = lambda p, h: F.exp(F.get(p["_top"], h) - F.get("_top", h))
+    add = lambda f: F.aggregate(F.transform("_p", f), F.lit(0.0), lambda a, x: a + x)
+    width = F.size(F.get("_p", F.lit(0))["_acc"])
+    head_of = lambda d: F.floor(d * n_heads / width).cast("int")
+    out = gathered.select(
+        "_row", "_top",
+        F.transform(heads, lambda h: add(lambda p: F.get(p["_mass"], h) * shrink(p, h))).alias("_mass"),
+        F.transform(F.sequence(F.lit(0), width - 1), lambda d: add(lambda p: F.get(p["_acc"], d) * shrink(p, head_of(d)))).alias("_acc"),
+        *([F.transform(heads, lambda h: F.flatten(F.transform("_p", lambda p: F.get(p["_raw"], h)))).alias("_raw")] if weights else []),
+    )
+    return out
+
+
 def prototype_blend(df: DataFrame, prototypes: DataFrame, n_heads: int, col: str = "embedding", proto_key: str = "label",
                     proto_col: str = "proto", max_prototypes: int | None = None, value_col: str | None = None,
                     weights: bool = True, block_bytes: int = 64 << 20) -> DataFrame:
@@ -154,9 +239,10 @@ def prototype_blend(df: DataFrame, prototypes: DataFrame, n_heads: int, col: str
     array<array<double>> ([head][prototype]) and ``proto_keys`` (the prototype order); a null vector and an
     empty prototype table give nulls.
 
-    Dense attention is a matrix product per Arrow batch. Prototypes are broadcast in blocks of at most
-    ``block_bytes``; a row carries the running maximum, mass and weighted sum of its softmax from one block to
-    the next, so any number of prototypes gives the same result. ``max_prototypes`` is a caller's own limit.
+    Dense attention is a matrix product per Arrow batch. Prototypes are broadcast in blocks of at most ``block_bytes``, one
+    at a time. The softmax over a block is a small state (maximum, mass, weighted sum) that merges with those of other blocks: beyond one
+    block, the vectors are written once, each block's states are written beside them, and one aggregation merges
+    these, so any number of prototypes gives the same result. ``max_prototypes`` is a caller's own limit.
     """
     value_col = value_col or proto_col
     shape = prototypes.agg(F.count(F.lit(1)), F.min(F.size(proto_col)), F.max(F.size(proto_col)), F.min(F.size(value_col)), F.max(F.size(value_col)))
@@ -173,28 +259,34 @@ def prototype_blend(df: DataFrame, prototypes: DataFrame, n_heads: int, col: str
         raise ValueError(f"{n_heads} heads do not divide the dimensions {k_max} and {v_max}")
     step = max(1, block_bytes // (8 * (k_max + v_max)))
     listed = prototypes.select(F.col(proto_key).alias("key"), F.col(proto_col).alias("k"), F.col(value_col).alias("v"))
-    if n > step:
-        listed = with_positions(listed, ["key"], pos="pos").df
-    zero = lambda x, size: F.array_repeat(F.lit(x).cast("double"), size)
-    state = df.select("*", zero("-Infinity", n_heads).alias("_top"), zero(0, n_heads).alias("_mass"), zero(0, v_max).alias("_acc"))
-    if weights:
-        state = state.withColumn("_raw", F.array_repeat(F.array().cast("array<double>"), n_heads))
+    state = "_top array<double>, _mass array<double>, _acc array<double>" + ", _raw array<array<double>>" * weights
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in state.split(", "))]
     keys = []
-    for lo in range(0, n, step):
-        part = listed.where((F.col("pos") >= lo) & (F.col("pos") < lo + step)) if n > step else listed
+
+    def over(vectors: DataFrame, part: DataFrame) -> DataFrame:
         rows = part.orderBy("key").collect()  # at most block_bytes
         if weights:
-            keys += [r["key"] for r in rows]
+            keys.extend(r["key"] for r in rows)
         block = df.sparkSession.sparkContext.broadcast(tuple(np.array([r[c] for r in rows], dtype=np.float64) for c in ("k", "v")))
-        state = state.mapInPandas(_attend(block, col, n_heads, weights), state.schema)
-        if n > step:
-            state = written(state, "blend")
-            block.unpersist()
+        found = vectors.select("*", *empty)
+        return found.mapInPandas(_attend(block, col, n_heads, weights), found.schema)
+
+    if n <= step:
+        states = over(df, listed)
+    else:
+        listed = with_positions(listed, ["key"], pos="pos").df
+        vectors = written(df.withColumn("_row", F.monotonically_increasing_id()), "vectors")  # once, with their numbers
+        partial = None
+        for lo in range(0, n, step):
+            found = over(vectors.select("_row", col), listed.where((F.col("pos") >= lo) & (F.col("pos") < lo + step)))
+            found = written(found.drop(col).withColumn("_block", F.lit(lo)), "states")
+            partial = found if partial is None else partial.unionByName(found)
+        states = vectors.join(_merged(partial, n_heads, weights), "_row").drop("_row")
     width = v_max // n_heads
     share = lambda raw, h: F.transform(raw, lambda s: F.exp(s - F.get("_top", h)) / F.get("_mass", h))
     blend = F.transform("_acc", lambda x, d: x / F.get("_mass", F.floor(d / width).cast("int")))
     there = F.col(col).isNotNull()
-    out = state.withColumn("blend", F.when(there, blend))
+    out = states.withColumn("blend", F.when(there, blend))
     if weights:
         out = out.withColumn("weights", F.when(there, F.transform("_raw", share)))
         out = out.withColumn("proto_keys", F.array(*[F.lit(x).cast(prototypes.schema[proto_key].dataType) for x in keys]))

@@ -468,7 +468,7 @@ def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavequery.functions import trend_word
     from wavequery.operators.signals import series_stats as st
 
-    s = st(S.signals_one(spark, sf_dir), ["record_id"])
+    s = st(S.signal_rows(spark, sf_dir), ["record_id"], t="at")
     return s.select("record_id", "min_v", "max_v", "median_v", F.round("trend", 6).alias("trend"),
                     trend_word("trend").alias("trend_word"), "n")
 

@@ -77,6 +77,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``signals_one`` without positions, for what needs the order only: (record_id, at, v); ``at`` is what ``t`` numbers."""
+    at = F.struct("ts", "event_id").alias("at")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), at, F.col("value").alias("v"))
+
+
 def signals_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long-form single-channel signal: (record_id, t, v, vc, n)."""
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
