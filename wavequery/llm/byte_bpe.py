@@ -5,6 +5,10 @@ the pattern always starts there and none looks back, so the parts' ids follow ea
 the whole text's. Parts are encoded once per worker and remembered (a bounded cache). Decoding
 joins the raw bytes of the ids, so any bytes survive, also cut UTF-8 sequences.
 
+The library's regular expressions run out of stack on about a million white-space characters in a row. A run of ``_LONG`` or more is
+therefore matched here, by the pattern's own rule (all of it but the last character where more text follows), and its bytes go to the library's
+merges as the one piece that they are.
+
 Null text counts as empty; an empty text has no ids; rows are independent, so empty tables, ties and
 repeated rows need no rule; further columns of the input are ignored.
 """
@@ -27,6 +31,9 @@ from .common import Memo, only
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
 _CACHE = 400_000
+_LONG = 10_000
+# fixed values: the characters that the library's patterns take for white space
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG)
 
 
 @lru_cache(maxsize=2)
@@ -49,7 +56,15 @@ def _encoder(path: str, pattern: str):
     enc = encoding(path, pattern)
 
     def pack(part: str) -> bytes:
-        return np.array(enc.encode_ordinary(part), dtype="<u4").tobytes()
+        if len(part) < _LONG:
+            return np.array(enc.encode_ordinary(part), dtype="<u4").tobytes()
+        out, at = [], 0
+        for run in _RUN.finditer(part):
+            end = run.end() if run.end() == len(part) else run.end() - 1
+            out += [enc.encode_ordinary(part[at : run.start()]), enc._encode_single_piece(part[run.start() : end])]
+            at = end
+        out.append(enc.encode_ordinary(part[at:]))
+        return b"".join(np.array(ids, dtype="<u4").tobytes() for ids in out)
 
     whole, tail = Memo(pack, _CACHE), Memo(lambda part: pack(" " + part), _CACHE)
     get, get_tail = whole.__getitem__, tail.__getitem__
