@@ -8,8 +8,9 @@ together stay below the threshold are non-essential: a vector without impact in
 Essential postings are traversed for the whole shard, a few terms at a time; the others are probed for those vectors only
 whose partial score and the remaining bounds are competitive. Shards return k rows a query, which are merged.
 
-Ties go to the smaller id. Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with
-a null id. Missing components of a shorter vector count as zero. Rows that share an id are one candidate with the best of their scores, and
+Scores are exact: a table whose largest component, squared and times the dimensions, passes 2**62 is refused (OverflowError), since a product
+might not fit 64 bits. Ties go to the smaller id. Vectors that are null or hold null or non-finite components take no part, nor do rows with
+a null id; an empty vector scores zero. Missing components of a shorter vector count as zero. Rows that share an id are one candidate with the best of their scores, and
 an id's own rows are no candidates of its query. Empty tables and tables without queries give no rows; further columns are ignored.
 """
 
@@ -92,7 +93,7 @@ def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.column("vector").combine_chunks()
         lengths = rows.value_lengths().to_numpy()
-        dim = int(lengths.max(initial=0))
+        dim = int(lengths.max(initial=1))
         x = np.zeros((len(lengths), dim), dtype=np.int64)
         x[np.arange(dim) < lengths[:, None]] = rows.flatten().to_numpy()
         ids, query = table.column("vec_id").to_numpy(), table.column("is_query").to_numpy()
@@ -111,10 +112,13 @@ def _search(k: int):
 def search(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query``: a condition on vec_id."""
     rows = only(vectors, vec_id="vec_id", vector="embedding").withColumn("vec_id", F.col("vec_id").cast("long"))
-    finite = "vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    finite = "vec_id is not null and vector is not null and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     whole = rows.where(finite).select(
         "vec_id", F.transform("vector", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector"), is_query.alias("is_query")
     )
+    size = rows.where(finite).agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(F.floor(x.cast("double") * scale).cast("double"))))), F.max(F.size("vector"))).first()
+    if (size[0] or 0.0) ** 2 * (size[1] or 0) >= 2**62:
+        raise OverflowError("inner products of floor(scale * x) may not fit 64 bits")
     whole = staged(whole.distinct(), "integers")
     n = whole.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     shards, blocks = max(1, -(-n["n"] // shard)), max(1, -(-n["q"] // queries))
