@@ -122,13 +122,15 @@ def _secrets_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     lists, empty = [], "[]::struct(s bigint, r int, e bigint, k varchar)[]"
     for i, r in enumerate(secrets.RULES):
-        rx = quote(r.pattern)
+        rx = quote(r.plain or r.pattern)
         hits = f"regexp_extract_all(t, {rx}, 0)"
+        # a plain form may take in a character before the span, which is its group
+        skip = f" + length({hits}[i]) - length(regexp_extract_all(t, {rx}, 1)[i])" if r.plain and "(eyJ" in r.plain else ""
         keep = f"regexp_extract_all(t, {rx}, {r.group})"
         starts = f"(list_sum(list_transform(regexp_split_to_array(t, {rx})[:i], lambda x: length(x))) + coalesce(list_sum(list_transform({hits}[:i - 1], lambda x: length(x))), 0))::bigint"
         lists.append(
             f"case when regexp_matches(t, {rx}) then list_transform(list_filter(range(1, len({hits}) + 1), lambda i: length({keep}[i]) >= {r.minimum}), "
-            f"lambda i: {{'s': {starts}, 'r': {i}, 'e': ({starts} + length({hits}[i]))::bigint, 'k': {quote(r.kind)}}}) else {empty} end"
+            f"lambda i: {{'s': ({starts}{skip})::bigint, 'r': {i}, 'e': ({starts} + length({hits}[i]))::bigint, 'k': {quote(r.kind)}}}) else {empty} end"
         )
     # the short runs of letters a-f are a third of all text; long runs are the same spans
     joined = ", ".join(lists).replace("'[0-9a-f]+'", "'[0-9a-f]{16,}'")

@@ -22,18 +22,21 @@ from pyspark.sql import functions as F
 
 from .common import only, staged
 
-# Candidates are (id, rules) rows; a table of up to this many is broadcast (under 64 MB), a larger one is joined by shuffling.
-BROADCAST_ROWS = 2_000_000
+# Candidates are (id, rules) rows of at most 200 bytes each, all rules' names included; a table of up to this many rows (under 64 MB) is
+# broadcast, a larger one is joined by shuffling.
+BROADCAST_ROWS = 300_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``minimum``: code points that ``group`` must have."""
+    """``minimum``: code points that ``group`` must have. ``plain``: the same pattern for engines without look-around and possessive
+    repeats; where it has a group, that is the span, at the match's end."""
 
     kind: str
     pattern: str
     group: int = 0
     minimum: int = 0
+    plain: str | None = None
 
 
 # fixed values: the base rules and their patterns
@@ -44,15 +47,23 @@ BASE = (Rule("assign", ASSIGN, 2, 12), Rule("access", ACCESS, 0, 18), Rule("hex"
 _KEY = "[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
 # a key runs to its END line, with no other line of five dashes between; without one, over the header lines and
 # the base64 that follow (and on to the next character that cannot be of a key); else it is the BEGIN line alone
-_TO_END = f"[^-]*(?:-{{1,4}}[^-]+){{0,64}}-----END {_KEY}"
-_UNENDED = r"(?:[>\\nr\x20\t\r\n]*[A-Z][A-Za-z-]*:[^\r\n]*){0,8}[>\\nr\x20\t\r\n]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=>\\\x20\t\r\n]*"
-PRIVATE_KEY = f"-----BEGIN {_KEY}(?:{_TO_END}|{_UNENDED})?"
+# whatever the number of lines and dashes; possessive repeats, so that a search takes one pass and no stack
+_TO_END = rf"(?:(?!-----)[\s\S])*+-----END {_KEY}"
+_HEADER, _BASE64 = r"[>\\nr\x20\t\r\n]*[A-Z][A-Za-z-]*:[^\r\n]*", r"[>\\nr\x20\t\r\n]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=>\\\x20\t\r\n]*"
+_LINES = f"(?:{_HEADER}[\\r\\n])*"
+PRIVATE_KEY = f"-----BEGIN {_KEY}(?:{_TO_END}|{_LINES}+(?:{_HEADER})?{_BASE64}|(?:{_HEADER})?{_BASE64})?"
+# this one also takes in base64 of a later header's value where no body follows
+_PRIVATE_KEY = f"-----BEGIN {_KEY}(?:(?:[^-]|-{{1,4}}[^-])*-----END {_KEY}|{_LINES}(?:{_HEADER})?{_BASE64})?"
+# a token starts where no character of one stands before, so that a run of them is searched once
+_PART = "[A-Za-z0-9_-]{8,}"
+JWT = rf"(?<![A-Za-z0-9_-])eyJ{_PART}+\.eyJ{_PART}+\.{_PART}"
+_JWT = rf"(?:^|[^A-Za-z0-9_-])(eyJ{_PART}\.eyJ{_PART}\.{_PART})"
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", PRIVATE_KEY),
+    Rule("jwt", JWT, plain=_JWT),
+    Rule("private_key", PRIVATE_KEY, plain=_PRIVATE_KEY),
 )
 RULES = BASE + MORE
 
