@@ -150,7 +150,7 @@ def test_hashing_meets_pairs_at_the_threshold():
 @pytest.mark.parametrize("shard,queries", [(8192, 2048), (25, 4)])
 def test_maxscore_against_brute_force(spark, shard, queries):
     rows = _odd_vectors()
-    ints = [(r[0], [math.floor(256 * x) for x in r[1]]) for r in rows if r[1] and all(x is not None and math.isfinite(x) for x in r[1])]
+    ints = [(r[0], [math.floor(256 * x) for x in r[1]]) for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
     want = []
     for q in sorted({i for i, _ in ints if i % 5 == 0}):
         best = {}
@@ -279,3 +279,23 @@ def test_long_groups_cross_batches():
     keys = [1, 2, 2, 3, 3, 3, 4, 5, 5]
     batches = [pa.record_batch([pa.array(keys[i : i + 2]), pa.array(list(range(i, i + len(keys[i : i + 2]))))], names=["k", "v"]) for i in range(0, 9, 2)]
     assert [g.column("v").to_pylist() for g in multi_groups(batches, ["k"])] == [[1, 2], [3, 4, 5], [7, 8]]
+
+
+def test_maxscore_refuses_products_beyond_64_bits(spark):
+    ask = lambda big: maxscore.search(_vectors(spark, [(0, [big, 1.0], 1), (1, [big, 2.0], 1), (2, [1.0], 1)]), F.col("vec_id") == 0)
+    for big in (2e7, 2e8, 1e30):
+        with pytest.raises(OverflowError):
+            ask(big)
+    near = float(np.float32(1.0e6))
+    assert [r.score for r in ask(near).collect()] == [int(256 * near) ** 2 + 256 * 512, int(256 * near) * 256]
+    assert maxscore.search(_vectors(spark, [(0, [], 1), (1, [], 1)]), F.col("vec_id") == 0).collect()[0].score == 0
+
+
+def test_language_words_and_ngrams_are_kept_beside_a_large_language(docs):
+    large = [(i, " ".join(f"gro{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(i * 300, i * 300 + 300)), "big") for i in range(40)]
+    small = [(1000, "ixquo zemblat", "few"), (1001, "vrakul", "few")]
+    model = langid.fit(docs(large + small))
+    assert {"ixquo", "zemblat", "vrakul", "groaaa"} <= set(model.words) and len(model.words) == 40 * 300 + 3
+    assert any("embla" in table for table in model.grams)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs([(1, "zemblat"), (2, "vraku"), (3, "embla"), (4, "grobaa")]), model).collect()}
+    assert got == {1: "few", 2: "few", 3: "few", 4: "big"}

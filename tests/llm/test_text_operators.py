@@ -223,3 +223,66 @@ def test_representatives_keep_one_row_per_group(docs):
     kept = simhash.representatives(df, simhash.near_duplicates(df)).select("doc_id", "text").collect()
     assert sorted(((r.doc_id, r.text) for r in kept if r.doc_id is not None)) == [(3, b), (5, a), (9, "c")]
     assert len(kept) == 4  # the texts without words are one group, of which one row stays
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u3000"])
+def test_byte_bpe_of_long_blank_runs(blank):
+    enc = byte_bpe.encoding(BYTES, P.PATTERN)
+    ids = lambda t: np.frombuffer(byte_bpe.encode_text(t, BYTES, P.PATTERN), "<u4").tolist()
+    for n in (byte_bpe._LONG - 1, byte_bpe._LONG, byte_bpe._LONG + 1, 200_000):
+        run = blank * n
+        for text in (run, run + "y", "x" + run, "a b" + run + "c d" + run, run + "\n" + run + "z", "x" + run + " y z"):
+            assert ids(text) == enc.encode_ordinary(text)
+    longest = "x" + blank * 2_000_000 + "y"
+    assert byte_bpe.decode_ids(byte_bpe.encode_text(longest, BYTES, P.PATTERN), BYTES, P.PATTERN) == longest.encode()
+
+
+@pytest.mark.parametrize("letter", ["a", "!", "7"])
+def test_byte_bpe_of_two_million_letters(letter):
+    text = letter * 2_000_000
+    assert byte_bpe.decode_ids(byte_bpe.encode_text(text, BYTES, P.PATTERN), BYTES, P.PATTERN) == text.encode()
+
+
+def _masked(docs, *texts):
+    got = secrets.redacted(docs(list(enumerate(texts)))).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_private_keys_of_any_length_are_masked_whole(docs):
+    body = "MIIEpAIBAAKCAQEA" * 40
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    notes = "\n".join(f"{i}-note: x-y--z---" for i in range(5000))
+    headers = "\n".join(f"Name-{chr(65 + i % 26)}: v{i}" for i in range(3000))
+    texts = [
+        f"a {begin}\n{notes}\n{body}\n{end} b", f"a {begin}\n{headers}\n\n{body}\n.b", f"a {begin}\nx ----- y {end} b",
+        f"a {begin}{'-' * 7}{end} b", "a " + f"{begin}\n" * 3000 + "b",
+    ]
+    got = _masked(docs, *texts)
+    assert got[0] == "a [SECRET] b" and got[1] == "a [SECRET].b"
+    assert got[2] == "a [SECRET]\nx ----- y " + end + " b" and got[3] == f"a [SECRET]{'-' * 7}{end} b"
+    assert got[4].count("[SECRET]") == 3000 and "BEGIN" not in got[4]
+
+
+def test_tokens_are_found_in_linear_time(docs):
+    import time
+
+    token = "eyJ" + "k" * 20 + ".eyJ" + "l" * 20 + "." + "m" * 20
+    long = token + " " + "eyJkkkkk" * 125_000 + " x" + token + " " + token
+    start = time.perf_counter()
+    (got,) = _masked(docs, long)
+    assert time.perf_counter() - start < 30
+    assert got == "[SECRET] " + "eyJkkkkk" * 125_000 + " x" + token + " [SECRET]"
+
+
+def test_plain_patterns_match_as_the_others():
+    import random
+
+    rng = random.Random(6)
+    parts = ["-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----", "--", "-", "A-b: c d\n", "\n", "\nQUJD" * 5, "x ", "eyJabcdefgh", ".", "eyJ_-aaaaaaa", " "]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        for rule in secrets.RULES:
+            if rule.plain:
+                a = [m.span() for m in re.finditer(rule.pattern, text)]
+                b = [m.span(1) if rule.kind == "jwt" else m.span() for m in re.finditer(rule.plain, text)]
+                assert a == b, text

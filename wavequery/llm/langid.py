@@ -6,8 +6,8 @@ text's languages are compared by the sum over all its words; the score is the so
 evidence per word times ``min(words, EVIDENCE)``.
 
 The model is fitted on at most ``SAMPLE`` labelled documents (whole texts, the lowest by hash of
-the id) and keeps the most frequent (language, word) counts, ``VOCABULARY`` at most, ties together;
-both are parameters.
+the id), a parameter; the model keeps every word and every n-gram of those, however rare, so that a small language beside a large
+one loses none.
 
 Null text, a text without a letter, or no model at all: ``und`` with score 0. Rows with a null id
 or lang are not learned from. Ties between languages go to the first name, repeated rows are scored
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import only, staged
 
-SAMPLE, VOCABULARY, ORDERS, SMOOTHING, EVIDENCE = 8_000, 120_000, (5, 4, 3, 2, 1), 0.1, 20
+SAMPLE, ORDERS, SMOOTHING, EVIDENCE = 8_000, (5, 4, 3, 2, 1), 0.1, 20
 UND = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
@@ -81,15 +81,13 @@ def build(rows: list[tuple[str, str, int]]) -> Model:
                 word.append(i)
         table = np.zeros((len(seen), len(langs)))
         np.add.at(table, gram, counts[word])
-        kept = table.sum(axis=1) >= 3
-        row = np.cumsum(kept) - 1 + first
-        grams.append({g: int(row[i]) for g, i in seen.items() if kept[i]})
-        parts.append(_evidence(table[kept], table.sum(axis=0)))
+        grams.append({g: i + first for g, i in seen.items()})
+        parts.append(_evidence(table, table.sum(axis=0)))
         first += len(parts[-1])
     return Model(langs, np.concatenate(parts), words, grams)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = only(docs, doc_id=id_col, text=text_col, lang=lang_col).where("text is not null and lang is not null and doc_id is not null")
     # the sample's ids are at most ``sample`` rows, so that table can be broadcast
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
@@ -105,16 +103,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, id_
 
     counts = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = staged(counts, "word-counts")
-    # the least count that leaves no more than ``vocabulary`` rows; only a histogram of counts comes here
-    least, kept = None, 0
-    for r in counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect():
-        if kept + r["rows"] > vocabulary:
-            break
-        least, kept = r["n"], kept + r["rows"]
-    if least is None:
-        return build([])
-    top = counts.where(F.col("n") >= least).toArrow()
-    return build(list(zip(*(top.column(c).to_pylist() for c in ("lang", "word", "n")))))
+    found = counts.toArrow()  # the words of the sample, all of them
+    return build(list(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")))))
 
 
 class Scorer:
@@ -157,7 +147,7 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (or doc_id alone) with lang_pred and score."""
     keep = keep or [id_col]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ``vocabulary``
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded sample
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
