@@ -10,10 +10,24 @@ from wavequery.sources import standins as S
 SF = "/root/testdata/sf0.001"
 
 
-def test_exact_formatting_variant(spark):
-    df = spark.createDataFrame([(0.03125,), (0.00015,), (12.5,)], "x double")
-    got = [(r.a, r.b) for r in df.select(fixed4("x").alias("a"), fixed4_exact("x").alias("b")).collect()]
-    assert got == [("0.0313", "0.0312"), ("0.0002", "0.0001"), ("12.5000", "12.5000")]
+def test_four_decimals_are_those_of_the_exact_binary_value(spark):
+    import math
+    import random
+    import struct
+
+    rng = random.Random(3)
+    values = [0.03125, 0.00015, 12.5, -0.03125, 0.0, -0.0, -0.00001, 1e-300, 0.99995, 0.999949999, 123456789.00005, 2.5e-5, 7.5e-5, float("nan"), float("inf"), -float("inf"), 1e15, 2.0**38]
+    values += [k / 32 for k in range(-200, 200)] + [k * 0.00005 for k in range(-500, 500)] + [rng.uniform(-1e4, 1e4) for _ in range(2000)]
+    for k in range(2000):  # ties and their neighbours of all sizes
+        tie = (2 * rng.randrange(1 << rng.randrange(1, 44)) + 1) / 20000
+        values += [tie, math.nextafter(tie, math.inf), math.nextafter(tie, -math.inf)]
+    bits = (rng.getrandbits(64) for _ in range(20000))
+    values += [x for x in (struct.unpack("d", struct.pack("Q", b))[0] for b in bits) if abs(x) < 2**38]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, x double")
+    got = {r.i: (r.a, r.b) for r in df.select("i", fixed4("x").alias("a"), fixed4_exact("x").alias("b")).collect()}
+    assert got.pop(-1)[0] is None
+    assert [(values[i], g[0]) for i, g in got.items() if g[0] != f"{values[i]:.4f}"] == []
+    assert all(g[1] == f"{values[i]:.4f}" for i, g in got.items() if not math.isnan(values[i]))
     assert spark.range(1).select(pct_text(F.lit(66.666)).alias("p")).collect()[0].p == "66.67"
 
 

@@ -107,3 +107,30 @@ def test_prepared_sink_is_keyed_by_split_and_reused(spark):
     assert [r.x for r in rows.collect()] == [1]
     rows_v, _ = A.write_prepared(spark.createDataFrame([(3,)], "x int"), a, valid)
     assert [r.x for r in rows_v.collect()] == [3]
+
+
+def test_watermark_deduplication_drops_repeats_and_late_rows_and_sheds_state(spark):
+    from wavequery.streaming.accuracy import running_accuracy
+
+    examples = spark.createDataFrame([(i, "q", ["yes"]) for i in range(40)], "seq long, question_type string, answer array<string>")
+    day = lambda i, d, text="yes": (i, text, d)
+    waves = [
+        [day(i, i) for i in range(10)],  # days 0 to 9
+        [day(i, i) for i in range(8, 20)] + [day(9, 9), day(12, 12)],  # 8 and 9 again
+        [day(i, i) for i in range(30, 40)] + [day(19, 19, "no")],  # 19 again, with another text
+        [day(2, 2, "no"), day(25, 25, "no"), day(39, 39)],  # 2 is late, 39 again; 25 is new but later than the delay
+    ]
+    root = scratch(spark, "test-dedup")
+    schema = "seq long, prediction string, at timestamp"
+    held, results = [], []
+    for wave in waves:
+        rows = spark.createDataFrame(wave, "seq long, prediction string, d int")
+        rows.selectExpr("seq", "prediction", "timestamp_seconds((d + 100) * 86400) as at").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = running_accuracy(spark.readStream.schema(schema).parquet(f"{root}/in"), examples, event_time="at", delay="5 days")
+        q = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: results.append([tuple(r) for r in df.collect()]))
+        q = q.option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
+        q.awaitTermination()
+        held.append(min(p["stateOperators"][-1]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]))
+        last = results[-1]
+    assert last == [("q", 30, 30, 100.0)]  # 0 to 19 and 30 to 39, each once, by their first text
+    assert held[-1] <= 12  # keys of the last days only, not all 30

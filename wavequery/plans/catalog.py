@@ -608,6 +608,31 @@ def combined_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches.select("record_id", (F.col("patch_id") * 16 + F.col("offset")).cast("int").alias("d"), F.col("v").alias("x"))
 
 
+@register("patch_vectors", ORACLE["combined_patches"])
+def patch_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-1: a record's patches as a matrix, flattened to its vector by the operator."""
+    from wavequery.operators.vectors import flatten_matrix
+
+    vectors = flatten_matrix(_combined_features(spark, sf_dir).patches, "patches")
+    return vectors.select("record_id", F.posexplode("vec").alias("d", "x"))
+
+
+@register(
+    "fixed_text",
+    """select event_id, printf('%.4f', (event_id % 4096 - 2048) / 32.0::double) as tie, printf('%.4f', value / 7.0::double) as plain,
+       printf('%.4f', (event_id % 977 - 488) * 0.00005::double) as near from events""",
+)
+def fixed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-4: four-decimal text with many exact ties (multiples of 1/32) and values next to ties."""
+    from wavequery.functions import fixed4
+
+    k = F.col("event_id")
+    return S.table(spark, sf_dir, "events").select(
+        "event_id", fixed4((k % 4096 - 2048) / F.lit(32.0)).alias("tie"), fixed4(F.col("value") / F.lit(7.0)).alias("plain"),
+        fixed4((k % 977 - 488) * F.lit(0.00005)).alias("near"),
+    )
+
+
 # --------------------------------------------------------------------------- vectors
 
 _UNIT_SQL = """
@@ -939,6 +964,28 @@ def stream_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
+@register("stream_accuracy_dedup", ORACLE["accuracy_by_question_type"])
+def stream_accuracy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2 with bounded state: predictions arrive by their orders' dates in two waves, the second repeats rows of the month before it; a third
+    brings old rows again, long after their keys have left the state. Each run goes on from the checkpoint of the one before."""
+    from wavequery.streaming.accuracy import running_accuracy
+    from wavequery.streaming.runner import run_complete, scratch, stage
+
+    dates = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    preds = written(S.predictions(spark, sf_dir).join(dates, "seq"), "dated")
+    middle = F.lit("1998-06-01").cast("timestamp")
+    month_before = (F.col("at") < middle) & (F.col("at") >= F.lit("1998-05-01").cast("timestamp"))
+    waves = (preds.where(F.col("at") < middle), preds.where((F.col("at") >= middle) | month_before), preds.where(F.col("at") < F.lit("1997-01-01").cast("timestamp")))
+    examples = written(S.qa(spark, sf_dir), "examples")
+    root = scratch(spark, "stream-dedup")
+    src, sink, ckpt = f"{root}/in", f"{root}/out", f"{root}/ckpt"
+    for wave in waves:
+        stage([wave], src)
+        stream = spark.readStream.schema(preds.schema).parquet(src)
+        run_complete(running_accuracy(stream, examples, event_time="at", delay="60 days"), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
 # --------------------------------------------------------------------------- sinks
 
 @register(

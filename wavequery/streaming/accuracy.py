@@ -2,8 +2,8 @@
 
 Stream-static join of arriving predictions to the examples, the same built-in
 parse/set-equality as the batch report, then a streaming aggregation whose
-state is one row per category. Optional de-duplication by example key keeps one
-state entry per seen key (use a RocksDB state store at scale).
+state is one row per category. Repeated predictions can be dropped by example key: with an event time and a delay the state holds the
+keys of the last ``delay`` only, and rows that come later than that are dropped too; without, one entry per key for ever.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from wavequery.operators.evaluate import attach_predictions, mark_correct
 
 
 def running_accuracy(predictions: DataFrame, examples: DataFrame, category: str = "question_type", key: str = "seq",
-                     dedup: bool = False) -> DataFrame:
-    if dedup:
+                     dedup: bool = False, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    if event_time is not None:
+        predictions = predictions.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key]).drop(event_time)
+    elif dedup:
         predictions = predictions.dropDuplicates([key])
     scored = mark_correct(attach_predictions(examples, predictions, key))
     agg = scored.groupBy(category).agg(
