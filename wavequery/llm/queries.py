@@ -86,7 +86,7 @@ def _url_sql() -> str:
     rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in ordered)
     said = " ".join(f"when {fits(h, p)} then '{v}'" for v, h, p in ordered)
     shape = "regexp_replace({}, '[0-9]+', '#', 'g')"
-    return f"""with split as (select row_number() over () as rid, page_id, {host} as host, {path} as path from pages),
+    return f"""with recursive split as (select row_number() over () as rid, page_id, {host} as host, {path} as path from pages),
 parts as (select *, string_split(host, '.') as labels, list_filter(string_split(path, '/'), lambda x: x <> '') as dirs from split),
 urls as (select rid, page_id, host, path, case {rule} end as rule, case {said} end as said,
   list_sort(list_filter([
@@ -96,15 +96,15 @@ urls as (select rid, page_id, host, path, case {rule} end as rule, case {said} e
     case when len(labels) >= 3 then 'sub=' || labels[1] end,
     case when len(dirs) >= 1 then 'dir1=' || {shape.format('dirs[1]')} end,
     case when len(dirs) >= 2 then 'dir2=' || {shape.format('dirs[2]')} end,
+    case when len(dirs) >= 3 then 'rest=' || {shape.format("array_to_string(dirs[3:], '/')")} end,
     case when regexp_extract(path, '\\.([A-Za-z0-9]{{1,8}})$', 1) <> '' then 'ext=' || lower(regexp_extract(path, '\\.([A-Za-z0-9]{{1,8}})$', 1)) end,
-    'depth=' || least(len(dirs), 9)], lambda x: x is not null)) as tokens from parts),
+    'depth=' || len(dirs)], lambda x: x is not null)) as tokens from parts),
 labelled as (select * from urls where said is not null),
 total as (select count(*) as n from labelled),
 item as (select rid, said, unnest(tokens) as t from labelled),
 sets as (
-  select rid, said, [t] as a from item
-  union all select x.rid, x.said, [x.t, y.t] from item x join item y on x.rid = y.rid and x.t < y.t
-  union all select x.rid, x.said, [x.t, y.t, z.t] from item x join item y on x.rid = y.rid and x.t < y.t join item z on z.rid = x.rid and y.t < z.t),
+  select rid, said, [t] as a, t as last from item
+  union all select s.rid, s.said, list_append(s.a, i.t), i.t from sets s join item i on i.rid = s.rid and i.t > s.last),
 counts as (select a, said, count(*) as c from sets group by a, said),
 alls as (select a, sum(c) as f from counts group by a),
 rules as (select a, said as v, c::double / f as confidence, c::double / n as support

@@ -6,8 +6,9 @@ and support are kept, unless a part of their tokens says the same with no less c
 the best rule that they match; without any, ``DEFAULT``. Rules are matched by an inverted index: each is posted
 under its rarest token, and what a url's tokens fetch is compared in full.
 
-A url has at most 8 tokens (registered name, host, directories, ...), so a label's itemsets are at most 2**9 times
-1 / support, whatever the input: the rule table is bounded by these parameters and is broadcast.
+A url has at most 9 tokens, which name all its labels and directories (the first two directories on their own, all that follow as one), so
+a label's itemsets are at most 2**10 times 1 / support, whatever the input: the rule table is bounded by these parameters and is
+broadcast. Rules may have any number of tokens. Urls of any length are judged whole.
 
 Null urls and urls without ``://`` have empty host and path; they are judged like any other. Best rule: confidence, support, fewer
 tokens, then the last in text order. Curated rules that fit with equal length: the one listed first. Without labelled urls
@@ -30,7 +31,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-SUPPORT, CONFIDENCE, TOKENS, DEFAULT = 0.005, 0.9, 3, "allow"
+SUPPORT, CONFIDENCE, DEFAULT = 0.005, 0.9, "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -55,7 +56,7 @@ def curated(rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens() -> Column:
-    """Tokens of host and path, at most 8, sorted."""
+    """Tokens of host and path, at most 9, sorted."""
     labels, dirs = F.split("host", r"\."), F.filter(F.split("path", "/"), lambda x: x != "")
     shape = lambda x: F.regexp_replace(x, "[0-9]+", "#")
     named = lambda name, value: F.concat(F.lit(f"{name}="), value)
@@ -70,28 +71,28 @@ def tokens() -> Column:
                 F.when(F.size(labels) >= 3, named("sub", labels[0])),
                 F.when(F.size(dirs) >= 1, named("dir1", shape(dirs[0]))),
                 F.when(F.size(dirs) >= 2, named("dir2", shape(dirs[1]))),
+                F.when(F.size(dirs) >= 3, named("rest", shape(F.array_join(F.slice(dirs, 3, F.greatest(F.size(dirs), F.lit(1))), "/")))),
                 F.when(ext != "", named("ext", F.lower(ext))),
-                named("depth", F.least(F.size(dirs), F.lit(9)).cast("string")),
+                named("depth", F.size(dirs).cast("string")),
             )
         )
     )
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, size: int = TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules antecedent (sorted tokens), verdict, confidence, support from rows tokens, verdict."""
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("verdict=")) & (F.size("antecedent") <= size))
+    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("verdict=")))
     rules = rules.select(
         F.sort_array("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 9, 1 << 20).alias("verdict"), "confidence", "support"
     )
     rules = staged(rules, "rules")
-    # what is left when one or two of up to three tokens go
-    less = F.transform("antecedent", lambda x: F.array_except("antecedent", F.array(x)))
-    fewer = F.filter(F.array_union(less, F.transform("antecedent", lambda x: F.array(x))), lambda a: (F.size(a) > 0) & (F.size(a) < F.size("antecedent")))
-    inner = rules.select("antecedent", "verdict", "confidence", F.explode(fewer).alias("less"))
-    other = rules.select(F.col("antecedent").alias("less"), "verdict", F.col("confidence").alias("said"))
-    redundant = inner.join(other, ["less", "verdict"]).where("said >= confidence").select("antecedent", "verdict").distinct()
+    # a rule that is part of another is met under its first token
+    part = rules.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("said"), F.col("antecedent")[0].alias("token"))
+    whole = rules.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("token"))
+    inside = (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0)
+    redundant = whole.join(part, ["token", "verdict"]).where(inside & (F.col("said") >= F.col("confidence"))).select("antecedent", "verdict").distinct()
     return rules.join(redundant, ["antecedent", "verdict"], "left_anti")
 
 
