@@ -299,3 +299,16 @@ def test_language_words_and_ngrams_are_kept_beside_a_large_language(docs):
     assert any("embla" in table for table in model.grams)
     got = {r.doc_id: r.lang_pred for r in langid.predict(docs([(1, "zemblat"), (2, "vraku"), (3, "embla"), (4, "grobaa")]), model).collect()}
     assert got == {1: "few", 2: "few", 3: "few", 4: "big"}
+
+
+def test_a_rule_of_four_tokens_and_a_third_directory_decide(spark):
+    import itertools
+
+    rules = (("block", "s1.k.net", "/b/b/b/"), ("allow", "net", "/"))
+    rows = [(100 * k + i, f"http://s{s}.k.net/{'ab'[x]}/{'ab'[y]}/{'ab'[z]}/") for k, (s, x, y, z) in enumerate(itertools.product((0, 1), repeat=4)) for i in range(40)]
+    rows += [(9000 + k, f"http://s{s}.k.dev/{'ab'[x]}/{'ab'[y]}/{'ab'[z]}/") for k, (s, x, y, z) in enumerate(itertools.product((0, 1), repeat=4))]
+    rows += [(9100, "http://s1.k.dev/b/b/b/" + "d/" * 20_000), (9101, "x" * 500_000), (9102, "http://" + "l." * 20_000 + "dev/" + "y" * 200_000)]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert got[9015].verdict == "block" and got[9015].mined == "dir1=b dir2=b rest=b sub=s1"
+    assert all(got[9000 + k].verdict == "allow" and got[9000 + k].mined for k in range(15))
+    assert all(got[k].verdict == "allow" for k in (9100, 9101, 9102)) and len(got) == len(rows)

@@ -79,8 +79,12 @@ def sharded(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
         each = F.coalesce("parts", F.lit(1).cast("long"))
         sizes = sizes.join(F.broadcast(large), "key", "left").select("key", (F.col("size") / each).cast("long").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), each - 1)).alias("part"))
         sizes = sizes.select(last(F.col("part")).alias("key"), "size")
-        rows = rows.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(large), "key", "left")
-        rows = rows.withColumn("key", last(F.pmod("at", each))).drop("at", "parts")
+        # rows of a large key are alike, so only a number deals them out; it is written with them, for a task that runs again may number
+        # its rows otherwise
+        dealt = rows.join(F.broadcast(large), "key").withColumn("at", F.monotonically_increasing_id())
+        dealt = staged(dealt.withColumn("key", last(F.pmod("at", "parts"))).drop("at", "parts"), "dealt-rows")
+        others = rows.join(F.broadcast(large.select("key")), "key", "left_anti").withColumn("key", last(F.lit(0).cast("long")))
+        rows = others.unionByName(dealt)
     placed = with_positions(sizes.select("key", "size"), ["key"]).df.withColumn("chunk", F.expr(f"pos div {CHUNK}"))
     chunks = placed.groupBy("chunk").agg(F.sum("size").alias("sum"))
     earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per CHUNK keys
