@@ -8,9 +8,9 @@ from wavequery.plans import catalog
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 # queries whose operator is Python by design (FFT lags, dense products, sequential fold)
-ALLOWED_PYTHON = {"autocorr_top_lags", "prompt_text", "prototype_blend", "early_stopping_delta", "prototype_values", "combined_prompt_text", "batch_cosine", "batch_similarity_mse"}
+ALLOWED_PYTHON = {"autocorr_top_lags", "prompt_text", "prototype_blend", "early_stopping_delta", "prototype_values", "combined_prompt_text", "batch_cosine", "batch_similarity_mse", "early_stopping_chunked"}
 # queries that run a stream or a sink before returning (their result is a scan of written files)
-MATERIALISED = {"stream_early_stop", "stream_accuracy", "annotation_roundtrip"}
+MATERIALISED = {"stream_early_stop", "stream_accuracy", "stream_accuracy_dedup", "annotation_roundtrip"}
 
 
 def _plan(df) -> str:
@@ -33,6 +33,6 @@ def test_flagship_scans_are_pruned_and_filters_pushed(spark):
     assert "SinglePartition" not in text
 
 
-@pytest.mark.parametrize("key", ["batch_assignment", "pair_scores", "grouped_shuffle_pos", "point_adjust"])
+@pytest.mark.parametrize("key", ["batch_assignment", "pair_scores", "grouped_shuffle_pos", "point_adjust", "first_differences", "series_stats", "combined_patches", "sample_files", "annotation_files"])
 def test_ordering_queries_avoid_single_partition(spark, key):
     assert "SinglePartition" not in _plan(E.queries()[key](spark, SF))

@@ -249,3 +249,36 @@ def test_fifty_prototype_blocks_give_the_one_block_result_and_write_vectors_once
     assert names.count("vectors") == 1 and names.count("states") == 50
     for i in range(40):
         assert np.allclose(one[i].blend, many[i].blend) and np.allclose(one[i].weights, many[i].weights) and many[i].proto_keys == list(range(50))
+
+
+def test_chunks_of_a_run_compose_to_the_fold(spark):
+    import random
+
+    rng = random.Random(9)
+    runs = {None: 40, "hot": 600, "short": 1, "down": 90, "up": 90, "ties": 80, "gaps": 100, "nothing": 12}
+    rows = []
+    for name, n in runs.items():
+        for e in range(n):
+            loss = {"down": 100.0 - e, "up": float(e), "ties": float(rng.randrange(3)), "nothing": None}.get(name, rng.choice([rng.random() * 5, rng.random() * 5 / (1 + e / 40)]))
+            if name == "gaps" and (e < 7 or rng.random() < 0.3):
+                loss = rng.choice([None, float("nan")])
+            rows.append((name, e * 2, loss))
+    df = spark.createDataFrame(rows, "run_id string, epoch long, val_loss double").repartition(6)
+    fields = ("run_id", "epoch", "improved", "best_loss", "counter", "stop")
+    key = lambda r: (r.run_id or "", r.epoch)
+    for delta, patience, chunk in ((0.0, 5, 16), (0.3, 5, 1), (0.3, 9, 7), (1.0, 30, 64), (0.1, 0, 16), (0.0, 3, 1 << 16)):
+        want = [tuple(r[f] for f in fields) for r in sorted(R.early_stopping_fold(df, patience=patience, delta=delta).collect(), key=key)]
+        got = [tuple(r[f] for f in fields) for r in sorted(R.early_stopping_chunked(df, patience=patience, delta=delta, chunk=chunk).collect(), key=key)]
+        assert got == want
+    with pytest.raises(ValueError):
+        R.early_stopping_chunked(df, delta=-0.1)
+    assert R.early_stopping_chunked(df.where("epoch < 0")).count() == 0
+
+
+def test_a_hot_run_is_dealt_over_many_tasks(spark):
+    df = spark.createDataFrame([("hot", e, float(e % 17)) for e in range(4000)], "run_id string, epoch long, val_loss double")
+    out = R.early_stopping_chunked(df, chunk=100, delta=0.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    spread = [r[0] for r in df.selectExpr("pmod(hash(run_id, epoch div 100), 8)").distinct().collect()]
+    assert len(spread) == 8 and out.count() == 4000

@@ -887,6 +887,18 @@ def early_stopping_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return early_stopping_fold(S.run_metrics(spark, sf_dir), patience=5, delta=EARLY_DELTA)
 
 
+#: Epochs of a chunk: small, so that the runs of the tables fall into several.
+RUN_CHUNK = 8
+
+
+@register("early_stopping_chunked", ORACLE["early_stopping_delta"])
+def early_stopping_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule with a margin, composed over chunks of a run that are worked on by different tasks."""
+    from wavequery.operators.runs import early_stopping_chunked as es
+
+    return es(S.run_metrics(spark, sf_dir), patience=5, delta=EARLY_DELTA, chunk=RUN_CHUNK)
+
+
 @register(
     "loss_history",
     with_views(
