@@ -312,3 +312,55 @@ def test_a_rule_of_four_tokens_and_a_third_directory_decide(spark):
     assert got[9015].verdict == "block" and got[9015].mined == "dir1=b dir2=b rest=b sub=s1"
     assert all(got[9000 + k].verdict == "allow" and got[9000 + k].mined for k in range(15))
     assert all(got[k].verdict == "allow" for k in (9100, 9101, 9102)) and len(got) == len(rows)
+
+
+def _plain_language(model, text):
+    """The model's rule restated word by word, without caches or matrices."""
+    import re
+
+    total, n = [0.0] * len(model.langs), 0
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        if not any(c.isalpha() for c in word):
+            continue
+        n += 1
+        if word in model.words:
+            rows = [model.words[word]]
+        else:
+            rows = []
+            for order, table_ in zip(langid.ORDERS, model.grams):
+                padded = f" {word} "
+                rows = [table_[padded[k : k + order]] for k in range(len(padded) - order + 1) if padded[k : k + order] in table_]
+                if rows:
+                    break
+        for k in range(len(total)):
+            total[k] += sum(float(model.evidence[r][k]) for r in rows) / len(rows) if rows else 0.0
+    if not n:
+        return "und", 0.0
+    best = max(range(len(total)), key=lambda k: (total[k], -k))
+    return model.langs[best], 1 / sum(math.exp((t - total[best]) / n * min(n, langid.EVIDENCE)) for t in total)
+
+
+def test_languages_equal_a_plain_scorer(spark):
+    d = table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.fit(d.where(langid.training_rows()))
+    got = langid.predict(d, model, keep=["doc_id", "text"]).collect()
+    assert len(got) == d.count()
+    for r in got:
+        lang, score = _plain_language(model, r.text)
+        assert lang == r.lang_pred and math.isclose(score, r.score, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_toxicity_equals_a_plain_scorer_and_finds_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(d, labels, toxicity.training_rows())
+    held = toxicity.score(d.where(~toxicity.training_rows()), model, keep=["doc_id", "text"])
+    rows = held.join(labels.select("doc_id", "toxic"), "doc_id", "left").collect()
+    hits = {0: [0, 0], 1: [0, 0]}
+    for r in rows:
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in set(toxicity.text_features(r.text).tolist()))
+        plain = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert math.isclose(plain, r.score, rel_tol=1e-9, abs_tol=1e-12) and r.predicted == int(r.score >= 0.5)
+        if r.toxic is not None:
+            hits[r.toxic][r.predicted] += 1
+    assert hits[1][1] / sum(hits[1]) > 0.75 and hits[0][1] / sum(hits[0]) < 0.06
