@@ -12,7 +12,7 @@ def _c(col) -> Column:
 
 def set_equal(a, b) -> Column:
     """Equality of two lists as sets: order and duplicates ignored (PRJ-9)."""
-    return F.array_sort(F.array_distinct(_c(a))) == F.array_sort(F.array_distinct(_c(b)))
+    return F.sort_array(F.array_distinct(_c(a))) == F.sort_array(F.array_distinct(_c(b)))
 
 
 def dice(a, b) -> Column:

@@ -69,7 +69,7 @@ def pair_score_rows(
     )
     lk = lookup.select(F.col(question).alias("_q"), F.col(record).alias("_rid"), F.col(answer).alias("_la"))
     probed = probe.join(lk, ["_q", "_rid"], "left")
-    vectors = probed.groupBy("batch_id", "_q").agg(F.array_sort(F.collect_list(F.struct("j", "_la"))).alias("_v"))
+    vectors = probed.groupBy("batch_id", "_q").agg(F.sort_array(F.collect_list(F.struct("j", "_la"))).alias("_v"))
     rows = batched.select("batch_id", F.col("idx").alias("i"), F.col(question).alias("_q"), F.col(answer).alias("_gt"))
     joined = rows.join(vectors, ["batch_id", "_q"])
 
@@ -102,23 +102,23 @@ def pair_scores(
 def matrix_from_rows(rows: DataFrame) -> DataFrame:
     """AGG-15 from row vectors: (batch_id, matrix) with rows in i order (B rows per batch)."""
     return rows.groupBy("batch_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "scores"))), lambda s: s["scores"]).alias("matrix")
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "scores"))), lambda s: s["scores"]).alias("matrix")
     )
 
 
 def score_matrix(pairs: DataFrame) -> DataFrame:
     """AGG-15: cells -> (batch_id, matrix array<array<double>>), rows by i, columns by j (B bounded)."""
     rows = pairs.groupBy("batch_id", "i").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "score"))), lambda s: s["score"]).alias("row")
+        F.transform(F.sort_array(F.collect_list(F.struct("j", "score"))), lambda s: s["score"]).alias("row")
     )
     return rows.groupBy("batch_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda s: s["row"]).alias("matrix")
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "row"))), lambda s: s["row"]).alias("matrix")
     )
 
 
 def batch_columns(batched: DataFrame, cols: list[str]) -> DataFrame:
     """AGG-16: one row per batch, each requested column as an array in ``idx`` order (B bounded)."""
-    packed = batched.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("idx", *cols))).alias("_rows"))
+    packed = batched.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("idx", *cols))).alias("_rows"))
     return packed.select("batch_id", *[F.transform("_rows", _field(c)).alias(c) for c in cols])
 
 
