@@ -263,7 +263,7 @@ def test_queries_match_their_sql(spark):
     from wavequery.llm.queries import ORACLE
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for key, sql in ORACLE.items():
         df = E.queries()[key](spark, "/root/testdata/sf0.001")
