@@ -282,13 +282,13 @@ def test_long_groups_cross_batches():
 
 
 def test_maxscore_refuses_products_beyond_64_bits(spark):
-    ask = lambda big: maxscore.search(_vectors(spark, [(0, [big, 1.0], 1), (1, [big, 2.0], 1), (2, [1.0], 1)]), F.col("vec_id") == 0)
+    ask = lambda big: maxscore.search(_vectors(spark, [(0, [big, 1.0], 1, "", ""), (1, [big, 2.0], 1, "", ""), (2, [1.0], 1, "", "")]), F.col("vec_id") == 0)
     for big in (2e7, 2e8, 1e30):
         with pytest.raises(OverflowError):
             ask(big)
     near = float(np.float32(1.0e6))
     assert [r.score for r in ask(near).collect()] == [int(256 * near) ** 2 + 256 * 512, int(256 * near) * 256]
-    assert maxscore.search(_vectors(spark, [(0, [], 1), (1, [], 1)]), F.col("vec_id") == 0).collect()[0].score == 0
+    assert maxscore.search(_vectors(spark, [(0, [], 1, "", ""), (1, [], 1, "", "")]), F.col("vec_id") == 0).collect()[0].score == 0
 
 
 def test_language_words_and_ngrams_are_kept_beside_a_large_language(docs):
