@@ -77,16 +77,19 @@ def multi_groups(
         yield pa.Table.from_batches(held)
 
 
-def portions(texts: list[str], rows: int = 2048, chars: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of up to ``rows`` texts with up to ``chars`` characters together (or one longer text)."""
-    lo, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and (i - lo >= rows or held + len(t) > chars):
-            yield lo, i
-            lo, held = i, 0
-        held += len(t)
-    if texts:
-        yield lo, len(texts)
+def portions(batch: pa.RecordBatch, column: int, rows: int = 1024, chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch of up to ``rows`` rows with up to ``chars`` characters in the text ``column`` (or one longer text),
+    with their texts; a null one is empty. No more texts than those of ``rows`` rows are held at once."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        texts = [t or "" for t in part.column(column).to_pylist()]
+        lo, held = 0, 0
+        for i, t in enumerate(texts):
+            if i > lo and held + len(t) > chars:
+                yield part.slice(lo, i - lo), texts[lo:i]
+                lo, held = i, 0
+            held += len(t)
+        yield part.slice(lo), texts[lo:]
 
 
 class Memo(dict):

@@ -31,7 +31,7 @@ from .common import only, staged
 SAMPLE, ORDERS, SMOOTHING, EVIDENCE = 8_000, (5, 4, 3, 2, 1), 0.1, 20
 UND = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 @dataclass
@@ -58,7 +58,7 @@ class Model:
 
 def _evidence(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     v = np.log((counts + SMOOTHING) / (totals + SMOOTHING * len(counts)))
-    return v - v.mean(axis=1, keepdims=True)
+    return (v - v.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def build(rows: list[tuple[str, str, int]]) -> Model:

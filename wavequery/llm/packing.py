@@ -108,10 +108,9 @@ def token_pieces(
         encode = _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in portions(texts):
+            for part, texts in portions(batch, 1):
                 out: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[lo:hi], encode(texts[lo:hi])):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts)):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, window):

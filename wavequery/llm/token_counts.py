@@ -176,9 +176,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts = [n for lo, hi in portions(texts) for n in count(texts[lo:hi])]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            for part, texts in portions(batch, 2):
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(count(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = only(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
