@@ -38,6 +38,7 @@ TOP = 10
 BLOCK = 128  # postings of a block
 DOCUMENTS, BYTES = 8192, 16 << 20  # a shard is closed at so many documents or bytes of text
 FIRST_WINDOW, LAST_WINDOW = 256, 4096  # documents of the first window of a search; windows double up to the last
+_ROWS = 10_000  # lists of an Arrow batch
 _TASKS = 20_000  # search tasks, at most; a shard each where there are fewer
 _HEADS = 4  # lists whose best blocks give the first threshold
 # a term holds ASCII letters and digits and any byte of a character beyond ASCII; the rest parts terms
@@ -87,7 +88,10 @@ class _ShardBuilder:
             return
         n = np.array([len(w) for w in self.words])
         docs = len(n)
-        key = np.concatenate(self.words).astype(np.int64) * docs + np.repeat(np.arange(docs), n)
+        key = np.concatenate(self.words, dtype=np.int64)
+        self.words = []
+        key *= docs
+        key += np.repeat(np.arange(docs), n)
         key.sort()
         at, tf = _runs(np.concatenate([[True], key[1:] != key[:-1]]))
         term, doc = np.divmod(key[at], docs)
@@ -128,25 +132,30 @@ class _ShardBuilder:
         data_end = np.append(begin, len(data))
         table["at"] = begin - np.repeat(begin[of_list], blocks_end - of_list)
         pairs_end = np.concatenate([[0], np.cumsum(table["pairs"], dtype=np.int64)])
-        names = np.empty(len(self.vocabulary), dtype=object)
-        names[:] = [w.decode() for w in self.vocabulary]
-        cut = lambda whole, ends, size: [whole[a * size : b * size] for a, b in zip(ends[of_list].tolist(), ends[blocks_end].tolist())]
-        every = np.arange(len(starts) + 1)
-        columns = {
-            "term": pa.array(names[term[first]].tolist(), pa.string()),
-            "df": pa.array(df, pa.int64()),
-            "blocks": pa.array(cut(table.tobytes(), every, _BLOCKS.itemsize), pa.binary()),
-            "pairs": pa.array(cut(pairs.tobytes(), pairs_end, _PAIRS.itemsize), pa.binary()),
-            "postings": pa.array(cut(data.tobytes(), data_end, 1), pa.binary()),
-        }
+        del gap, within, place, level, order, before, best, picked
+        names = list(self.vocabulary)
+        table_bytes, pair_bytes, data_bytes = table.tobytes(), pairs.tobytes(), data.tobytes()
         many = len(first)
-        none = pa.nulls(many, pa.list_(pa.int64()))
-        place_of = {"part": pa.array([part] * many, pa.int32()), "shard": pa.array([shard] * many, pa.int32())}
-        lists = pa.RecordBatch.from_pydict({**place_of, **columns, "ids": none, "lengths": none})
-        for lo in range(0, many, 10_000):
-            yield lists.slice(lo, 10_000)
-        whole = {"part": [part], "shard": [shard], "term": [None], "df": [None], "blocks": [None], "pairs": [None], "postings": [None], "ids": [self.ids], "lengths": [n.tolist()]}
-        yield pa.RecordBatch.from_pydict(whole, schema=lists.schema)
+        for lo in range(0, many, _ROWS):
+            hi = min(many, lo + _ROWS)
+
+            def cut(whole: bytes, ends: np.ndarray, size: int) -> pa.Array:
+                parts = zip(ends[of_list[lo:hi]].tolist(), ends[blocks_end[lo:hi]].tolist())
+                return pa.array([whole[a * size : b * size] for a, b in parts], pa.binary())
+
+            none = pa.nulls(hi - lo, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array([part] * (hi - lo), pa.int32()), "shard": pa.array([shard] * (hi - lo), pa.int32()),
+                    "term": pa.array([names[t].decode() for t in term[first[lo:hi]].tolist()], pa.string()), "df": pa.array(df[lo:hi], pa.int64()),
+                    "blocks": cut(table_bytes, np.arange(len(starts) + 1), _BLOCKS.itemsize), "pairs": cut(pair_bytes, pairs_end, _PAIRS.itemsize),
+                    "postings": cut(data_bytes, data_end, 1), "ids": none, "lengths": none,
+                }
+            )
+        kinds = {"part": pa.int32(), "shard": pa.int32(), "term": pa.string(), "df": pa.int64(), "blocks": pa.binary(), "pairs": pa.binary(), "postings": pa.binary()}
+        kinds |= {"ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64())}
+        whole = dict.fromkeys(kinds, [None]) | {"part": [part], "shard": [shard], "ids": [self.ids], "lengths": [n.tolist()]}
+        yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in whole.items()})
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
