@@ -104,6 +104,30 @@ def test_written_arrays_are_one_array_over_files(spark):
     assert A.read_annotations(spark, empty).count() == 0
 
 
+def test_small_ranges_grow_with_the_array(spark):
+    path = os.path.join(_folder(train=json.dumps([_annotation(i) for i in range(3000)])), "train.json")
+    cores = spark.sparkContext.defaultParallelism
+    back = A.read_annotations(spark, path, split_bytes=200)
+    assert back.rdd.getNumPartitions() <= J.RANGES_PER_CORE * cores
+    assert [(r.seq, r.sample_id) for r in back.orderBy("seq").collect()] == [(i, i) for i in range(3000)]
+    assert J.fitted(path, 1 << 30, cores) == 1 << 30 and J.fitted(path, 1, 1 << 30) == 1
+    assert J.fitted(_folder(), 7, cores) == 7
+
+
+def test_annotation_files_reads_each_array_once(spark):
+    from wavequery.plans import catalog
+
+    root = scratch(spark, "test-tables")
+    spark.range(40).selectExpr("id as o_orderkey", "id % 5 as o_custkey", "concat('q', id % 3, '\"{') as o_orderpriority").write.parquet(f"{root}/orders.parquet")
+    spark.range(5).selectExpr("id as c_custkey", "'M' as c_mktsegment").write.parquet(f"{root}/customer.parquet")
+    spark.range(80).selectExpr("id div 2 as l_orderkey", "if(id % 2 = 0, 'A', 'R') as l_returnflag", "'F' as l_linestatus").write.parquet(f"{root}/lineitem.parquet")
+    found = catalog.QUERIES["annotation_files"](spark, root)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan json_array") == 3 and "Join" not in plan and "Exchange" not in plan
+    want = [(["train", "valid", "test"][i % 3], i, i // 3, f'q{i % 3}"{{', i % 5, "AF.RF") for i in range(40)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_a_changed_file_is_noticed(spark):
     folder = _folder(a="[" + _text(_records(50)) + "]")
     rows = J.read_json_arrays(spark, folder, 500)

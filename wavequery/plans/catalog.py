@@ -1034,7 +1034,7 @@ def annotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLIT_OF = {"train": 0, "valid": 1, "test": 2}
-#: Bytes of an annotation array that one task reads.
+#: Bytes of an annotation array that one task reads at least.
 ARRAY_SPLIT_BYTES = 1 << 18
 
 
@@ -1063,7 +1063,7 @@ def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for split, k in _SPLIT_OF.items():
         write_array(rows.where(F.col("seq") % 3 == k).select(record.alias("record"), "seq"), f"{root}/template_{split}.json", ["seq"])
         read = read_split(spark, root, split, split_bytes=ARRAY_SPLIT_BYTES)
-        found.append(as_qa(read).withColumnRenamed("seq", "pos").join(read.select(F.col("seq").alias("pos"), "sample_id"), "pos"))
+        found.append(as_qa(read, "sample_id").withColumnRenamed("seq", "pos"))
     both = found[0].unionByName(found[1]).unionByName(found[2])
     return both.select("split", "sample_id", "pos", "question", "record_id", F.array_join("answer", ".").alias("answer_text"))
 

@@ -24,7 +24,7 @@ def split_path(root: str, split: str) -> str:
 def read_annotations(spark: SparkSession, path: str, split: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """SRC-1: JSON arrays of annotations with the fixed schema, plus ``seq``, the position over the file or the folder's files in name order.
 
-    A large array is read by many tasks, one per ``split_bytes``, and positions come with the rows: no shuffle, no numbering
+    A large array is read by many tasks, of ``split_bytes`` at least, and positions come with the rows: no shuffle, no numbering
     (``json_array``). For a store that only Spark can open, use ``read_annotations_whole``. ``file_positions`` numbers rows by
     (template_id, question_id, sample_id) instead (WIN-9).
     """
@@ -68,12 +68,12 @@ def file_positions(annotations: DataFrame, pos: str = "seq") -> DataFrame:
     return with_positions(annotations.drop(pos) if pos in annotations.columns else annotations, keys, pos=pos).df
 
 
-def as_qa(annotations: DataFrame) -> DataFrame:
-    """Annotation rows -> the (seq, question, question_type, attribute_type, record_id, answer) shape (PRJ-2)."""
+def as_qa(annotations: DataFrame, *more: str) -> DataFrame:
+    """Annotation rows -> the (seq, question, question_type, attribute_type, record_id, answer) shape (PRJ-2), and ``more`` of their columns."""
     return annotations.select(
         "seq", "question", "question_type", "attribute_type", F.col("ecg_id")[0].alias("record_id"), "answer", *[
             c for c in ("ecg_path", "split") if c in annotations.columns
-        ]
+        ], *more
     )
 
 

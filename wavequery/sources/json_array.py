@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT_BYTES = 64 << 20
+#: Ranges a core beyond which they grow, up to SPLIT_BYTES: a task of a few hundred records costs more to start than to run.
+RANGES_PER_CORE = 4
 _PIECE = 4 << 20  # bytes held at once while scanning
 _ROWS = 4096  # records of an Arrow batch, at most
 _QUOTE, _BACKSLASH, _OPEN = 34, 92, 123
@@ -78,6 +80,12 @@ def ranges(path: str, split_bytes: int) -> list[Range]:
     return [Range(*c, number=i) for i, c in enumerate(cuts)]
 
 
+def fitted(path: str, split_bytes: int, cores: int) -> int:
+    """``split_bytes`` at least, and more, up to SPLIT_BYTES, where these would be over RANGES_PER_CORE ranges a core."""
+    share = -(-sum(size for _, size in list_files(path)) // max(1, RANGES_PER_CORE * cores))
+    return max(split_bytes, min(SPLIT_BYTES, share))
+
+
 class _Marks:
     """Quotes and braces of consecutive pieces of one file; remembers a run of backslashes at a piece's end."""
 
@@ -257,8 +265,10 @@ class JsonArraySource(DataSource):
 
 
 def read_json_arrays(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(seq, value) of all records under ``path``; one scan for the summaries, then a lazy one for the records."""
+    """(seq, value) of all records under ``path``; one scan for the summaries, then a lazy one for the records.
+    ``split_bytes`` is the least that a task reads (``fitted``)."""
     spark.dataSource.register(JsonArraySource)
+    split_bytes = fitted(path, split_bytes, spark.sparkContext.defaultParallelism)
     source = lambda what: spark.read.format("json_array").option("splitBytes", split_bytes).option("what", what)
     found = [json.loads(r["summary"]) for r in source("summaries").load(path).collect()]  # one row per byte range
     states = [(int(r.in_string), r.depth, r.first) for r in chain(ranges(path, split_bytes), found)]
