@@ -44,6 +44,32 @@ def test_diagonal_miss_and_asymmetry(spark):
     assert cells[(0, 1)] == (0.0, False)
 
 
+def test_agreement_of_odd_answers_equals_the_cell_form(spark):
+    batched = [
+        (0, 0, "q", 1, ["a", "a", "b"]), (0, 1, "q", 2, []), (0, 2, "q", 3, None), (0, 3, "p", 1, ["b", None]), (0, 4, None, 4, ["a"]), (0, 5, "q", None, ["c"]),
+        (1, 0, "p", 9, ["z"]), (1, 1, "p", 2, ["x", "y"]), (None, 0, "q", 1, ["a"]),
+    ]
+    lookup = [("q", 1, ["b", "a"]), ("q", 2, []), ("q", 3, ["a", None]), ("q", 4, None), ("p", 1, [None, "b", "b"]), ("p", 2, ["y"])]
+    df = spark.createDataFrame(batched, "batch_id long, idx int, question string, record_id long, answer array<string>")
+    lk = spark.createDataFrame(lookup, "question string, record_id long, answer array<string>")
+    rows = Q.pair_score_rows(df, lk)
+    assert "array_intersect" not in rows._jdf.queryExecution().optimizedPlan().toString()  # interpreted for every cell
+    held = {(q, r): a for q, r, a in lookup}
+
+    def score(i, gt, j, la):
+        if la is None:
+            return float(i == j)
+        return None if gt is None or not gt + la else 2.0 * len(set(gt) & set(la)) / (len(gt) + len(la))
+
+    want = {}
+    for b, i, q, _, gt in batched:
+        if b is not None and q is not None:
+            las = [(j, held.get((q, r))) for c, j, _, r, _ in batched if c == b]
+            want[b, i] = [score(i, gt, j, la) for j, la in las], [la is not None for _, la in las]
+    got = rows.collect()
+    assert {(r.batch_id, r.i): (r.scores, r.known) for r in got} == want and len(got) == len(want)
+
+
 def test_drop_last_and_limit(spark):
     qa = _qa(spark, [(i, f"q{i % 3}", i, ["a"]) for i in range(70)])
     batched, pairs = training_batches(qa, batch_size=32, mode="grouped")

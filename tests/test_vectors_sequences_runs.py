@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -235,6 +236,23 @@ def test_gram_blocks_of_any_width_give_the_same_similarities(spark):
     assert V.cosine_rows(df.where("idx > 99")).count() == 0
 
 
+def test_similarities_of_small_batches_leave_together(monkeypatch):
+    rng = np.random.default_rng(2)
+    n, x = 60, rng.normal(size=(60, 3))
+    stream = pa.record_batch({
+        "batch_id": pa.array([k // 2 if k > 1 else None for k in range(n)], pa.int64()), "_block": pa.array([0] * n, pa.int32()), "i": pa.array([k % 2 for k in range(n)], pa.int32()),
+        "_x": pa.array(x.tolist(), pa.list_(pa.float64())), "_n": pa.array([3] * n, pa.int32()),
+    })
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for cells, pieces in ((1 << 20, 1), (8, 15), (1, 30)):
+        monkeypatch.setattr(V, "CELLS", cells)
+        got = list(V._gram("batch_id")(iter([stream.slice(0, 7), stream.slice(7)])))
+        assert len(got) == pieces
+        rows = pa.Table.from_batches(got).to_pylist()
+        assert [(r["batch_id"], r["i"], r["js"]) for r in rows] == [(k // 2 if k > 1 else None, k % 2, [0, 1]) for k in range(n)]
+        assert np.allclose([r["sims"] for r in rows], [unit[k] @ unit[k // 2 * 2 : k // 2 * 2 + 2].T for k in range(n)])
+
+
 def test_fifty_prototype_blocks_give_the_one_block_result_and_write_vectors_once(spark, monkeypatch):
     rng = np.random.default_rng(4)
     q, k = rng.normal(size=(40, 4)) * 20, rng.normal(size=(50, 4)) * 20

@@ -6,8 +6,9 @@ Plan shape of ``pair_scores`` (the centre of the reference):
             -> explode both -> probe (batch, q, j, record)                   ~ n * |Q_b| rows
     probe LEFT JOIN lookup ON (q, record)                                    one shuffle on the probe key
           -> group by (batch, q): looked-up answers as a vector over j      bounded by B
-    rows (batch, i, q, answer) JOIN vectors ON (batch, q)                    n rows
-          -> transform: row i's scores over j; posexplode -> B^2 cells       generated last, never shuffled
+    rows (batch, i, q, answer) -> group by (batch, q): rows as a vector over i    bounded by B
+          JOIN vectors ON (batch, q)                                         one row per batch and question
+          -> one matrix product per row: scores of its rows over j; posexplode -> B^2 cells    generated last, never shuffled
 
 The lookup is probed once per (batch, question, column), not once per cell, so
 the shuffled volume is ~B times smaller than probing the B^2 cells. The lookup
@@ -17,10 +18,12 @@ side, which AQE's skew-join handling splits.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavequery.functions import dice
 from wavequery.operators.ordering import Numbered
 
 
@@ -54,8 +57,9 @@ def pair_score_rows(
 
     Cell (i, j): if (question of row i, record of column j) is in the lookup, Dice of
     row i's answer and the looked-up answer (this overrides the diagonal); else 1 on
-    the diagonal, 0 elsewhere. The looked-up answers are gathered per (batch, question)
-    into a column vector (bounded by B), so rows are joined to vectors, not cells.
+    the diagonal, 0 elsewhere. The looked-up answers and the rows are gathered per (batch, question)
+    into vectors (bounded by B), so neither cells nor copies of a vector are shuffled; the cells of a
+    (batch, question) are one product of matrices over the answers' elements (``_agreement``).
     """
     # one aggregation per batch (bounded: B columns, <= B questions) gives the probe set
     per_batch = batched.groupBy("batch_id").agg(
@@ -71,15 +75,68 @@ def pair_score_rows(
     probed = probe.join(lk, ["_q", "_rid"], "left")
     vectors = probed.groupBy("batch_id", "_q").agg(F.sort_array(F.collect_list(F.struct("j", "_la"))).alias("_v"))
     rows = batched.select("batch_id", F.col("idx").alias("i"), F.col(question).alias("_q"), F.col(answer).alias("_gt"))
-    joined = rows.join(vectors, ["batch_id", "_q"])
-
-    def cell(c):
-        known = c["_la"].isNotNull()
-        return F.when(known, dice(F.col("_gt"), c["_la"])).when(F.col("i") == c["j"], F.lit(1.0)).otherwise(F.lit(0.0))
-
-    return joined.select(
-        "batch_id", "i", F.transform("_v", cell).alias("scores"), F.transform("_v", lambda c: c["_la"].isNotNull()).alias("known")
-    )
+    rows = rows.groupBy("batch_id", "_q").agg(F.collect_list(F.struct("i", "_gt")).alias("_rows"))
+    joined = rows.join(vectors, ["batch_id", "_q"]).select("batch_id", "_rows", "_v")
+    kinds = {c: batched.schema[c].dataType.simpleString() for c in ("batch_id", "idx")}
+    return joined.mapInArrow(_agreement, f"batch_id {kinds['batch_id']}, i {kinds['idx']}, scores array<double>, known array<boolean>")
+
+
+#: Cells of the batches that ``_agreement`` puts out at once.
+CELLS = 1 << 20
+
+
+def _agreement(batches):
+    """Score rows of Arrow batches of (batch_id, rows, columns): common elements by a product of 0/1 matrices over the elements both sides have."""
+    for piece in batches:
+        rows, cols = piece.column("_rows"), piece.column("_v")
+        sizes = np.cumsum(rows.value_lengths().to_numpy().astype(np.int64) * cols.value_lengths().to_numpy())
+        lo = 0
+        while lo < piece.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CELLS, side="right")))
+            yield _score_rows(piece.column("batch_id").slice(lo, hi - lo), rows.slice(lo, hi - lo), cols.slice(lo, hi - lo))
+            lo = hi
+
+
+def _elements(answers: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the answers, where their elements begin, and which are null."""
+    sizes = pc.fill_null(answers.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, np.concatenate([[0], np.cumsum(sizes)]), answers.is_null().to_numpy(zero_copy_only=False)
+
+
+def _score_rows(batch: pa.Array, rows: pa.ListArray, cols: pa.ListArray) -> pa.RecordBatch:
+    n_rows, n_cols = (x.value_lengths().to_numpy().astype(np.int64) for x in (rows, cols))
+    i, truth = pc.struct_field(rows.flatten(), "i"), pc.struct_field(rows.flatten(), "_gt")
+    j, found = pc.struct_field(cols.flatten(), "j"), pc.struct_field(cols.flatten(), "_la")
+    (len_r, at_r, null_r), (len_c, at_c, null_c) = _elements(truth), _elements(found)
+    coded = pa.concat_arrays([truth.flatten(), found.flatten()]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+    codes_r, codes_c = coded[: at_r[-1]], coded[at_r[-1] :]
+    of_r, of_c = np.repeat(np.arange(len(len_r)), len_r), np.repeat(np.arange(len(len_c)), len_c)
+    is_i, is_j = i.to_numpy(zero_copy_only=False), j.to_numpy(zero_copy_only=False)
+    scores, known, nulls = [], [], []
+    end_r, end_c = np.cumsum(n_rows), np.cumsum(n_cols)
+    for r0, r1, c0, c1 in zip(end_r - n_rows, end_r, end_c - n_cols, end_c):
+        r, c = slice(r0, r1), slice(c0, c1)
+        in_r, in_c = slice(at_r[r0], at_r[r1]), slice(at_c[c0], at_c[c1])
+        both = np.intersect1d(codes_r[in_r], codes_c[in_c])
+        marks = []
+        for codes, of, n in ((codes_r[in_r], of_r[in_r] - r0, r1 - r0), (codes_c[in_c], of_c[in_c] - c0, c1 - c0)):
+            place = np.searchsorted(both, codes)
+            hit = np.flatnonzero(place < len(both))
+            hit = hit[both[place[hit]] == codes[hit]]
+            mark = np.zeros((n, len(both)))
+            mark[of[hit], place[hit]] = 1.0
+            marks.append(mark)
+        total = (len_r[r, None] + len_c[c]).astype(float)
+        there = np.broadcast_to(~null_c[c], total.shape)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dice = marks[0] @ marks[1].T * 2.0 / total
+        scores.append(np.where(there, dice, is_i[r, None] == is_j[c]).ravel())
+        nulls.append((there & (null_r[r, None] | (total == 0))).ravel())
+        known.append(there.ravel())
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.repeat(n_cols, n_rows))]), pa.int32())
+    scores = pa.array(np.concatenate(scores), pa.float64(), mask=np.concatenate(nulls))
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (scores, pa.array(np.concatenate(known)))]
+    return pa.record_batch([batch.take(pa.array(np.repeat(np.arange(len(batch)), n_rows))), i, *lists], names=["batch_id", "i", "scores", "known"])
 
 
 def pair_scores(

@@ -38,6 +38,8 @@ def normalize_vectors(df: DataFrame, col: str = "embedding", out: str = "unit")
 
 #: Components of a vector that stand in one row while a batch's products are summed.
 BLOCK_WIDTH = 4096
+#: Similarities of finished batches that are put out at once.
+CELLS = 1 << 20
 
 
 def cosine_rows(df: DataFrame, col: str = "embedding", batch: str = "batch_id", idx: str = "idx", width: int = BLOCK_WIDTH) -> DataFrame:
@@ -60,60 +62,82 @@ def _gram(batch: str):
     """Sums the Gram matrices of a batch's blocks in a stream sorted by (batch, block, i)."""
 
     def run(batches):
-        held: list[pa.Table] = []  # slices of the block being read
+        held: list[tuple] = []  # slices of the block being read: lengths, components, whole lengths, i
         state: dict = {}
+        done: list[tuple] = []  # batches whose similarities are not yet put out
+        cells = 0  # of these
 
         def add() -> None:
-            part = pa.concat_tables(held).combine_chunks()
+            size, flat, total = (np.concatenate([h[k] for h in held]) if len(held) > 1 else held[0][k] for k in range(3))
+            i = pa.concat_arrays([h[3] for h in held]) if len(held) > 1 else held[0][3]
             held.clear()
-            rows = part.column("_x").combine_chunks()
-            size = np.nan_to_num(rows.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            x = np.zeros((len(size), int(size.max(initial=0))))
-            x[np.arange(x.shape[1]) < size[:, None]] = rows.flatten().to_numpy()
+            width = int(size.max(initial=0))
+            if len(flat) == width * len(size):
+                x = flat.reshape(len(size), width)
+            else:
+                x = np.zeros((len(size), width))
+                x[np.arange(width) < size[:, None]] = flat
             if "i" not in state:
-                total = part.column("_n").to_numpy(zero_copy_only=False).astype(float)
-                state.update(i=part.column("i").combine_chunks(), total=total, at=np.arange(len(x)), gram=x @ x.T)
+                state.update(i=i, total=total, gram=x @ x.T)
                 return
             # vectors that end before this block are not in it
             places = {v: k for k, v in enumerate(state["i"].to_pylist())}
-            there = np.array([places[v] for v in part.column("i").to_pylist()])
+            there = np.array([places[v] for v in i.to_pylist()])
             state["gram"][np.ix_(there, there)] += x @ x.T
 
-        def finish(key) -> pa.RecordBatch:
+        def finish(key) -> bool:
+            nonlocal cells
             gram, total, i = state["gram"], state["total"], state["i"]
             b = len(total)
             norm = np.sqrt(np.diag(gram))
             with np.errstate(divide="ignore", invalid="ignore"):
                 sims = gram / np.outer(norm, norm)
             null = (total[:, None] != total) | ~(total >= 0)[:, None] | (norm == 0)[:, None] | (norm == 0)
-            ends = pa.array(np.arange(b + 1) * b, pa.int32())
-            js = pa.ListArray.from_arrays(ends, pa.concat_arrays([i] * b))
-            cells = pa.ListArray.from_arrays(ends, pa.array(sims.ravel(), pa.float64(), mask=null.ravel()))
-            keys = pa.array([key.as_py()] * b, key.type)
             state.clear()
-            return pa.record_batch([keys, i, js, cells], names=[batch, "i", "js", "sims"])
-
-        now = None
+            done.append((key, i, b, sims.ravel(), null.ravel()))
+            cells += b * b
+            return cells >= CELLS
+
+        def put_out() -> pa.RecordBatch:
+            """The batches done so far in one Arrow batch: one for each of them costs more to pass on than to work out."""
+            nonlocal cells
+            sizes = np.array([x[2] for x in done])
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.repeat(sizes, sizes))]), pa.int32())
+            i = pa.concat_arrays([x[1] for x in done])
+            others = [np.tile(np.arange(hi - b, hi), b) for hi, b in zip(np.cumsum(sizes), sizes)]
+            js = pa.ListArray.from_arrays(ends, i.take(pa.array(np.concatenate(others))))
+            sims = pa.array(np.concatenate([x[3] for x in done]), pa.float64(), mask=np.concatenate([x[4] for x in done]))
+            keys = pa.array([x[0] for x in done], kind).take(pa.array(np.repeat(np.arange(len(done)), sizes)))
+            out = pa.record_batch([keys, i, js, pa.ListArray.from_arrays(ends, sims)], names=[batch, "i", "js", "sims"])
+            done.clear()
+            cells = 0
+            return out
+
+        now = kind = None
         for piece in batches:
-            table = pa.Table.from_batches([piece])
-            if not table.num_rows:
+            if not piece.num_rows:
                 continue
-            names, block = table.column(batch), table.column("_block").to_numpy()
-            coded = names.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (coded[1:] != coded[:-1])) + 1).tolist(), table.num_rows]
+            names, block, x, ids = piece.column(batch), piece.column("_block").to_numpy(), piece.column("_x"), piece.column("i")
+            kind = names.type
+            # the piece's components once for all its batches
+            size = np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat, at = x.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+            total = piece.column("_n").to_numpy(zero_copy_only=False).astype(float)
+            coded = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (coded[1:] != coded[:-1])) + 1).tolist(), piece.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
-                key = names[lo]
-                mark = (key.as_py(), int(block[lo]))
+                mark = (names[lo].as_py(), int(block[lo]))
                 if held and mark != now:
                     add()
-                if state and mark[0] != now[0]:
-                    yield finish(pa.scalar(now[0], key.type))
-                held.append(table.slice(lo, hi - lo))
+                if state and mark[0] != now[0] and finish(now[0]):
+                    yield put_out()
+                held.append((size[lo:hi], flat[at[lo] : at[hi]], total[lo:hi], ids.slice(lo, hi - lo)))
                 now = mark
         if held:
-            kind = held[0].schema.field(batch).type
             add()
-            yield finish(pa.scalar(now[0], kind))
+            finish(now[0])
+        if done:
+            yield put_out()
 
     return run
 
